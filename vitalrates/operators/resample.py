@@ -39,8 +39,9 @@ def bootstrap_weights(
         limits.append(int(total * STEPS))
         term /= k + 1
 
-    def weight(rep: int) -> Column:
-        u = _steps(keys, seed, rep)
-        return reduce(lambda a, b: a + b, [(u >= F.lit(x)).cast("int") for x in limits[:10]])
-
-    return df.withColumn(name, F.array(*[weight(rep) for rep in range(times)]))
+    draws = F.transform(
+        F.sequence(F.lit(0), F.lit(times - 1)),
+        lambda rep: F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed), rep), F.lit(STEPS)),
+    )
+    weights = F.transform(draws, lambda u: reduce(lambda a, b: a + b, [(u >= F.lit(x)).cast("int") for x in limits[:10]]))
+    return df.withColumn(name, weights)

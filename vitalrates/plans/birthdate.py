@@ -106,7 +106,7 @@ def final_model(training: DataFrame, roles: Roles, levels: dict[str, list[str]],
     data = assembler.transform(data)
     regression = LinearRegression(
         labelCol=roles.outcome, featuresCol="features", predictionCol="pred", elasticNetParam=1.0, regParam=penalty,
-        standardization=True, maxIter=1000, tol=1e-10,
+        standardization=True, maxIter=500, tol=1e-9,
     )
     stages += [assembler, regression.fit(data)]
     return PipelineModel(stages=stages)
@@ -145,16 +145,20 @@ def fit_birth_date_model(
     share: float = 0.8, seed: int = 1, order: str | None = None,
 ) -> BirthDateFit:
     """Split, tune over bootstrap replicates, refit on the training share, and score the held-out share."""
-    dated = training_rows.filter(F.col(roles.outcome).isNotNull())
-    levels = level_lists(dated, roles, order)
-    training, testing = train_test_split(dated, [roles.identifier], share, seed)
-    scores = tune(training, roles, levels, times, penalties, seed)
-    kept = scores.sparkSession.createDataFrame(
-        bounded_rows(scores, 10_000, "penalties"), scores.schema
-    )
-    penalty = best_row(kept, "rmse", "penalty").first()["penalty"]
-    model = final_model(training, roles, levels, penalty)
-    return BirthDateFit(model, penalty, kept, holdout_metrics(model, testing, roles))
+    columns = list(dict.fromkeys([roles.identifier, *roles.numbers, *roles.factors, roles.outcome]))
+    columns += [order] if order and order not in columns else []
+    # Tuning and fitting read the litter-level rows several times; the joins behind them run once.
+    dated = training_rows.filter(F.col(roles.outcome).isNotNull()).select(*columns).persist()
+    try:
+        levels = level_lists(dated, roles, order)
+        training, testing = train_test_split(dated, [roles.identifier], share, seed)
+        scores = tune(training, roles, levels, times, penalties, seed)
+        kept = scores.sparkSession.createDataFrame(bounded_rows(scores, 10_000, "penalties"), scores.schema)
+        penalty = best_row(kept, "rmse", "penalty").first()["penalty"]
+        model = final_model(training, roles, levels, penalty)
+        return BirthDateFit(model, penalty, kept, holdout_metrics(model, testing, roles))
+    finally:
+        dated.unpersist()
 
 
 def impute_birth_dates(trials: DataFrame, model: PipelineModel, roles: Roles = Roles()) -> DataFrame:
