@@ -3,8 +3,12 @@
 Every Newton step is one scan: rows are scored in Arrow batches, each task adds up its own weighted products, and the
 shuffle carries one line per group level. Factors with few levels, such as the year, are solved together with the
 fixed effects in one small dense system. Up to two factors may have any number of levels, as long as each level of
-the first belongs to one level of the second (a litter has one dam): eliminating the first and then the second
-leaves the small system, exactly, with nothing but group-wise sums.
+the first (inner) belongs to one level of the second (outer), as a litter has one dam: eliminating the inner and then
+the outer levels leaves the small system, exactly, with nothing but group-wise sums.
+
+The level lines are eliminated by the functions `_inner_sums`, `_outer_sums`, `_move_outer` and `_move_inner`. Up to
+`LOOKUP_MAX_ROWS` levels they run on the driver; above it they run on the executors, over lines kept in the shared
+checkpoint folder.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,11 +55,11 @@ class _State:
 
     sds: tuple[float, ...]
     dense: np.ndarray
-    levels: DataFrame | None = None
+    levels: DataFrame | pd.DataFrame | None = None
     objective: float = math.inf
     decrement: float = math.inf
     schur: np.ndarray | None = None
-    effects: tuple[DataFrame, DataFrame] | None = None
+    outer: DataFrame | pd.DataFrame | None = None
 
 
 @dataclass
@@ -68,19 +73,27 @@ class _Problem:
     n: int
     hot: list
     hot_outer: list
+    driver_levels: bool
     passes: int = 0
-    owned: list[DataFrame] = field(default_factory=list)
+    broadcasts: list[Broadcast] = field(default_factory=list)
 
     @property
     def factors(self) -> list[str]:
         return [*self.small, *self.nested]
 
+    def release(self) -> None:
+        """Give back the level tables sent out for the scan that is done."""
+        while self.broadcasts:
+            self.broadcasts.pop().destroy()
+
     @property
     def size(self) -> int:
         return len(self.x) + sum(len(v) for v in self.small_levels.values())
 
 
-def _prepare(df: DataFrame, y: str, x: Sequence[str], groups: Sequence[str], small_levels: int) -> _Problem:
+def _prepare(
+    df: DataFrame, y: str, x: Sequence[str], groups: Sequence[str], small_levels: int, driver_levels: int
+) -> _Problem:
     """Sort the factors into small and large ones, check nesting, and keep only what a scan needs."""
     counts = df.agg(
         F.count("*").alias("__n"), *[F.countDistinct(g).alias(g) for g in groups]
@@ -109,121 +122,242 @@ def _prepare(df: DataFrame, y: str, x: Sequence[str], groups: Sequence[str], sma
     ).persist()
     hot = hot_keys(rows, "__a") if large else []
     hot_outer = hot_keys(rows, "__b") if len(large) == 2 else []
+    on_driver = all(counts[g] <= driver_levels for g in large)
     return _Problem(
-        rows, list(x), small, levels, large, {g: counts[g] for g in groups}, counts["__n"], hot, hot_outer
+        rows, list(x), small, levels, large, {g: counts[g] for g in groups}, counts["__n"], hot, hot_outer, on_driver
+    )
+
+
+def _values(count: int) -> list[str]:
+    return [f"v{j}" for j in range(count)]
+
+
+def _schema(count: int, head: str) -> str:
+    return head + ", " + ", ".join(f"{v} double" for v in _values(count))
+
+
+def _summed(df: DataFrame, keys: Sequence[str], carried: Sequence[str], count: int) -> DataFrame:
+    return df.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in carried], *[F.sum(v).alias(v) for v in _values(count)]
     )
 
 
+def _block_lines(block: np.ndarray, **columns) -> pd.DataFrame:
+    out = pd.DataFrame(block, columns=_values(block.shape[1]))
+    return out.assign(i=np.arange(len(block)), **columns)
+
+
+def _by_level(keys: pd.Series, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row sums per key, and the position of the first row of each key."""
+    code, levels = pd.factorize(keys, use_na_sentinel=False)
+    total = np.zeros((len(levels), sums.shape[1]))
+    np.add.at(total, code, sums)
+    return total, np.unique(code, return_index=True)[1]
+
+
 def _scan(problem: _Problem, state: _State) -> DataFrame:
-    """Weighted products at the current coefficients: one line per inner level, and one per dense row."""
+    """Weighted products at the current coefficients: one line per inner level (kind 1) and per dense row (kind 0).
+
+    A level line holds the weight, the residual and the weighted dense columns; a dense row its products, its
+    gradient and, in the first row, the log-likelihood.
+    """
     p, size, x = len(problem.x), problem.size, problem.x
     codes = [f"__code_{g}" for g in problem.small]
     scale = {f"__code_{g}": sd for g, sd in zip(problem.small, state.sds)}
-    dense = state.dense.copy()
-    width = size + 2
-    values = [f"v{j}" for j in range(width)]
-    empty = {"a": None, "b": None, "ua": 0.0, "ub": 0.0}
+    dense, width = state.dense.copy(), size + 2
+    columns = ["kind", "i", "a", "b", "ua", "ub", *_values(width)]
+    shared = None
+    if isinstance(state.levels, pd.DataFrame):
+        shared = problem.rows.sparkSession.sparkContext.broadcast(state.levels.set_index("a")[["ua", "ub", "off"]])
+        problem.broadcasts.append(shared)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        products, gradient, loglik = np.zeros((size, size)), np.zeros(size), 0.0
+        block = np.zeros((size, width))
         for pdf in batches:
             n = len(pdf)
             if not n:
                 continue
+            if shared is None:
+                ua, ub, off = (pdf[c].to_numpy(float) for c in ("ua", "ub", "off"))
+            else:
+                at = shared.value.index.get_indexer(pdf["__a"])
+                ua, ub, off = shared.value.to_numpy()[at].T
             s = np.zeros((n, size))
             s[:, :p] = pdf[x].to_numpy(float)
             for c in codes:
                 s[np.arange(n), pdf[c].to_numpy()] = scale[c]
             y = pdf["__y"].to_numpy(float)
-            eta = s @ dense + pdf["off"].to_numpy(float)
+            eta = s @ dense + off
             mu = 1.0 / (1.0 + np.exp(-eta))
             w, r = mu * (1.0 - mu), y - mu
-            loglik += float(y @ eta - np.logaddexp(0.0, eta).sum())
             weighted = s * w[:, None]
-            products += s.T @ weighted
-            gradient += s.T @ r
-            key, levels = pd.factorize(pdf["__a"], use_na_sentinel=False)
-            sums = np.zeros((len(levels), width))
-            np.add.at(sums, key, np.column_stack([w, r, weighted]))
-            _, where = np.unique(key, return_index=True)
-            head = pdf.iloc[where]
-            out = pd.DataFrame(sums, columns=values)
-            out.insert(0, "kind", 1)
-            out.insert(1, "i", 0)
-            for target, source in (("a", "__a"), ("b", "__b"), ("ua", "ua"), ("ub", "ub")):
-                out[target] = head[source].to_numpy()
-            yield out[["kind", "i", "a", "b", "ua", "ub", *values]]
-        block = np.zeros((size, width))
-        block[:, :size] = products
-        block[:, size] = gradient
-        block[0, size + 1] = loglik
-        out = pd.DataFrame(block, columns=values).assign(kind=0, i=np.arange(size), **empty)
-        yield out[["kind", "i", "a", "b", "ua", "ub", *values]]
-
+            block[:, :size] += s.T @ weighted
+            block[:, size] += s.T @ r
+            block[0, size + 1] += y @ eta - np.logaddexp(0.0, eta).sum()
+            if nested:
+                sums, first = _by_level(pdf["__a"], np.column_stack([w, r, weighted]))
+                yield pd.DataFrame(sums, columns=_values(width)).assign(
+                    kind=1, i=0, a=pdf["__a"].to_numpy()[first], b=pdf["__b"].to_numpy()[first], ua=ua[first],
+                    ub=ub[first],
+                )[columns]
+        yield _block_lines(block, kind=0, a=None, b=None, ua=0.0, ub=0.0)[columns]
+
+    nested = bool(problem.nested)
+    scored = problem.rows
     if state.levels is None:
-        scored = problem.rows.withColumns({c: F.lit(0.0) for c in ("off", "ua", "ub")})
-    elif problem.counts[problem.nested[0]] <= LOOKUP_MAX_ROWS:
-        scored = problem.rows.join(F.broadcast(state.levels), "__a")
-    else:
-        scored = left_join(problem.rows, state.levels, ["__a"], null_safe=False, hot=problem.hot)
-    schema = "kind int, i int, a string, b string, ua double, ub double, " + ", ".join(f"{v} double" for v in values)
-    return scored.mapInPandas(score, schema).groupBy("kind", "i", "a").agg(
-        F.max("b").alias("b"), F.max("ua").alias("ua"), F.max("ub").alias("ub"),
-        *[F.sum(v).alias(v) for v in values],
-    )
+        scored = scored.withColumns({c: F.lit(0.0) for c in ("off", "ua", "ub")})
+    elif shared is None:
+        levels = state.levels.withColumnRenamed("a", "__a")
+        scored = left_join(scored, levels, ["__a"], null_safe=False, hot=problem.hot)
+    lines = scored.mapInPandas(score, _schema(width, "kind int, i int, a string, b string, ua double, ub double"))
+    return _summed(lines, ["kind", "i", "a"], ["b", "ua", "ub"], width)
 
 
-def _inner_table(blocks: DataFrame, size: int, sd_a: float, sd_b: float) -> DataFrame:
-    """Per inner level: its pivot h, gradient g, coupling c to the outer level, and couplings k0… to the dense part."""
-    return blocks.filter("kind = 1").select(
-        "a", "b", "ua", "ub", F.col("v0").alias("w"), F.col("v1").alias("r"),
-        (F.col("v0") * (sd_a * sd_a) + 1.0).alias("h"), (F.col("v1") * sd_a - F.col("ua")).alias("g"),
-        (F.col("v0") * (sd_a * sd_b)).alias("c"), *[(F.col(f"v{j + 2}") * sd_a).alias(f"k{j}") for j in range(size)],
-        *[F.col(f"v{j + 2}").alias(f"s{j}") for j in range(size)],
-    )
+@dataclass(frozen=True)
+class _Elimination:
+    """Removes level lines from the dense system. `size` dense columns; deviations of the inner and outer factor."""
 
+    size: int
+    sd_a: float
+    sd_b: float
 
-def _outer_table(inner: DataFrame, size: int, sd_b: float) -> DataFrame:
-    """Per outer level, after the inner levels are eliminated: pivot hb, gradient gb and couplings m0…"""
-    sums = inner.groupBy("b").agg(
-        F.max("ub").alias("ub"), F.sum("w").alias("w"), F.sum("r").alias("r"),
-        F.sum(F.col("c") * F.col("c") / F.col("h")).alias("cc"), F.sum(F.col("c") * F.col("g") / F.col("h")).alias("cg"),
-        *[F.sum(f"s{j}").alias(f"s{j}") for j in range(size)],
-        *[F.sum(F.col("c") * F.col(f"k{j}") / F.col("h")).alias(f"ck{j}") for j in range(size)],
-    )
-    return sums.select(
-        "b", F.col("ub").alias("ub_outer"), (F.col("w") * (sd_b * sd_b) + 1.0 - F.col("cc")).alias("hb"),
-        (F.col("r") * sd_b - F.col("ub") - F.col("cg")).alias("gb"),
-        *[(F.col(f"s{j}") * sd_b - F.col(f"ck{j}")).alias(f"m{j}") for j in range(size)],
-    )
-
-
-def _eliminated(inner: DataFrame, outer: DataFrame, size: int, session_bound: int) -> tuple:
-    """What elimination takes from the dense system, and the log-determinant, penalty and decrement it leaves."""
-    lines = inner.select("h", "g", F.col("ua").alias("u"), *[F.col(f"k{j}") for j in range(size)]).union(
-        outer.select("hb", "gb", "ub_outer", *[f"m{j}" for j in range(size)])
-    )
-    names = [f"k{j}" for j in range(size)]
-    values = [f"v{j}" for j in range(size + 1)]
-
-    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = np.zeros((size + 1, size + 1))
-        for pdf in batches:
-            k, h, g = pdf[names].to_numpy(float), pdf["h"].to_numpy(float), pdf["g"].to_numpy(float)
-            scaled = k / h[:, None]
-            block[:size, :size] += k.T @ scaled
-            block[:size, size] += scaled.T @ g
-            block[size, 0] += np.log(h).sum()
-            block[size, 1] += (pdf["u"].to_numpy(float) ** 2).sum()
-            block[size, 2] += (g * g / h).sum()
-        yield pd.DataFrame(block, columns=values).assign(i=np.arange(size + 1))[["i", *values]]
-
-    sums = lines.mapInPandas(total, "i int, " + ", ".join(f"{v} double" for v in values)).groupBy("i").agg(
-        *[F.sum(v).alias(v) for v in values]
-    )
-    rows = sorted(bounded_rows(sums, session_bound, "dense system"), key=lambda r: r["i"])
-    block = np.array([[r[v] for v in values] for r in rows])
-    return block[:size, :size], block[:size, size], block[size, :3]
+    @property
+    def width(self) -> int:
+        return max(self.size + 1, 4)
+
+    def inner_parts(self, lines: pd.DataFrame) -> tuple:
+        """Pivot, gradient, coupling to the outer level and couplings to the dense columns of each inner line."""
+        v = lines[_values(self.size + 2)].to_numpy(float)
+        w, r, s = v[:, 0], v[:, 1], v[:, 2:]
+        h = self.sd_a**2 * w + 1.0
+        g = self.sd_a * r - lines["ua"].to_numpy(float)
+        return h, g, self.sd_a * self.sd_b * w, self.sd_a * s, w, r, s
+
+    def outer_parts(self, lines: pd.DataFrame) -> tuple:
+        """The same for outer lines, once their inner levels are gone."""
+        size = self.size
+        v = lines[_values(2 * size + 4)].to_numpy(float)
+        h = self.sd_b**2 * v[:, 0] + 1.0 - v[:, 2]
+        g = self.sd_b * v[:, 1] - lines["ub"].to_numpy(float) - v[:, 3]
+        return h, g, self.sd_b * v[:, 4:4 + size] - v[:, 4 + size:4 + 2 * size]
+
+    def removed(self, h: np.ndarray, g: np.ndarray, k: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """What the lines take from the dense system, then log-determinant, squared effects and decrement."""
+        block = np.zeros((self.size + 1, self.width))
+        scaled = k / h[:, None]
+        block[:self.size, :self.size] = k.T @ scaled
+        block[:self.size, self.size] = scaled.T @ g
+        block[self.size, :3] = np.log(h).sum(), (u * u).sum(), (g * g / h).sum()
+        return block
+
+    def dense_rows(self, lines: pd.DataFrame) -> np.ndarray:
+        """Dense rows of a scan, negated, so that they add up with what is removed from them."""
+        block = np.zeros((self.size + 1, self.width))
+        v = lines[_values(self.size + 2)].to_numpy(float)
+        np.subtract.at(block, lines["i"].to_numpy(int), np.pad(
+            v[:, :self.size + 1], ((0, 0), (0, self.width - self.size - 1))
+        ))
+        block[self.size, 3] = v[:, self.size + 1].sum()
+        return block
+
+    def inner_sums(self, lines: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+        """Lines per outer level, and the block, of scan lines of both kinds."""
+        block = self.dense_rows(lines[lines["kind"] == 0])
+        lines = lines[lines["kind"] == 1]
+        h, g, c, k, w, r, s = self.inner_parts(lines)
+        block += self.removed(h, g, k, lines["ua"].to_numpy(float))
+        ratio = c / h
+        sums, first = _by_level(lines["b"], np.column_stack([w, r, c * ratio, g * ratio, s, k * ratio[:, None]]))
+        outer = pd.DataFrame(sums, columns=_values(sums.shape[1])).assign(
+            kind=1, i=0, b=lines["b"].to_numpy()[first], ub=lines["ub"].to_numpy(float)[first]
+        )
+        return outer, block
+
+    def outer_block(self, outer: pd.DataFrame) -> np.ndarray:
+        h, g, m = self.outer_parts(outer)
+        return self.removed(h, g, m, outer["ub"].to_numpy(float))
+
+    def move_outer(self, outer: pd.DataFrame, step: np.ndarray) -> pd.DataFrame:
+        """(b, ub, db): outer effects after the step, and the move itself."""
+        h, g, m = self.outer_parts(outer)
+        move = (g - m @ step) / h
+        return pd.DataFrame({"b": outer["b"], "ub": outer["ub"].to_numpy(float) + move, "db": move})
+
+    def move_inner(self, lines: pd.DataFrame, ub: np.ndarray, db: np.ndarray, step: np.ndarray) -> pd.DataFrame:
+        """(a, ua, ub, off): inner effects after the step and the offset both factors give."""
+        h, g, c, k, *_ = self.inner_parts(lines)
+        ua = lines["ua"].to_numpy(float) + (g - c * db - k @ step) / h
+        return pd.DataFrame({"a": lines["a"], "ua": ua, "ub": ub, "off": self.sd_a * ua + self.sd_b * ub})
+
+
+class _DriverLevels:
+    """Elimination with the level lines, at most LOOKUP_MAX_ROWS of them, held on the driver."""
+
+    def __init__(self, scanned: DataFrame, rule: _Elimination, bound: int):
+        self.rule = rule
+        lines = scanned.limit(bound + 1).toArrow().to_pandas()
+        if len(lines) > bound:
+            raise ValueError("more levels than counted")
+        self.inner = lines[lines["kind"] == 1].reset_index(drop=True)
+        self.outer, self.block = rule.inner_sums(lines)
+        self.block += rule.outer_block(self.outer)
+
+    def move(self, step: np.ndarray) -> tuple:
+        moved = self.rule.move_outer(self.outer, step)
+        at = pd.Index(moved["b"]).get_indexer(self.inner["b"])
+        ub, db = (moved[c].to_numpy()[at] for c in ("ub", "db"))
+        return self.rule.move_inner(self.inner, ub, db, step), moved
+
+
+class _SparkLevels:
+    """The same elimination with the level lines spread over the executors and kept in the checkpoint folder."""
+
+    def __init__(self, scanned: DataFrame, rule: _Elimination, problem: _Problem):
+        self.rule, self.problem = rule, problem
+        lines = cut_lineage(scanned)
+        self.inner = lines.filter("kind = 1")
+        count = max(2 * rule.size + 4, rule.width)
+
+        def inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            columns = ["kind", "i", "b", "ub", *_values(count)]
+            total = np.zeros((rule.size + 1, rule.width))
+            for pdf in batches:
+                outer, block = rule.inner_sums(pdf)
+                total += block
+                yield outer.reindex(columns=columns, fill_value=0.0)
+            yield _block_lines(total, kind=0, b=None, ub=0.0).reindex(columns=columns, fill_value=0.0)
+
+        def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((rule.size + 1, rule.width))
+            for pdf in batches:
+                total += rule.outer_block(pdf[pdf["kind"] == 1])
+                rows = pdf[pdf["kind"] == 0]
+                np.add.at(total, rows["i"].to_numpy(int), rows[_values(rule.width)].to_numpy(float))
+            yield _block_lines(total)[["i", *_values(rule.width)]]
+
+        parts = lines.mapInPandas(inner, _schema(count, "kind int, i int, b string, ub double"))
+        sums = _summed(parts, ["kind", "i", "b"], ["ub"], count)
+        self.outer = sums.filter("kind = 1")
+        totals = _summed(sums.mapInPandas(outer, _schema(rule.width, "i int")), ["i"], [], rule.width)
+        rows = sorted(bounded_rows(totals, rule.size + 1, "dense system"), key=lambda r: r["i"])
+        self.block = np.array([[r[v] for v in _values(rule.width)] for r in rows])
+
+    def move(self, step: np.ndarray) -> tuple:
+        rule, problem = self.rule, self.problem
+
+        def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield rule.move_outer(pdf, step)
+
+        def inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield rule.move_inner(pdf, pdf["ub_moved"].to_numpy(float), pdf["db"].to_numpy(float), step)
+
+        moved = self.outer.mapInPandas(outer, "b string, ub double, db double")
+        both = left_join(
+            self.inner, moved.withColumnRenamed("ub", "ub_moved"), ["b"], null_safe=False, hot=problem.hot_outer
+        )
+        return both.mapInPandas(inner, "a string, ua double, ub double, off double"), moved
 
 
 def _newton(problem: _Problem, state: _State) -> _State:
@@ -231,54 +365,29 @@ def _newton(problem: _Problem, state: _State) -> _State:
     problem.passes += 1
     p, size = len(problem.x), problem.size
     sds = dict(zip(problem.factors, state.sds))
-    sd_a = sds[problem.nested[0]] if problem.nested else 0.0
-    sd_b = sds[problem.nested[1]] if len(problem.nested) == 2 else 0.0
+    sd_a, sd_b = ([sds[g] for g in problem.nested] + [0.0, 0.0])[:2]
+    rule = _Elimination(size, sd_a, sd_b)
     scanned = _scan(problem, state)
-    if problem.nested:
-        blocks = cut_lineage(scanned)
+    if problem.driver_levels:
+        lines = _DriverLevels(scanned, rule, LOOKUP_MAX_ROWS + size)
     else:
-        blocks = scanned.filter("kind = 0").withColumn("v_end", F.lit(0.0))
-    dense_rows = sorted(bounded_rows(blocks.filter("kind = 0"), size, "dense system"), key=lambda r: r["i"])
-    system = np.array([[r[f"v{j}"] for j in range(size)] for r in dense_rows])
-    gradient = np.array([r[f"v{size}"] for r in dense_rows])
-    loglik = dense_rows[0][f"v{size + 1}"]
-    inner = outer = None
-    taken, taken_gradient, scalars = np.zeros((size, size)), np.zeros(size), np.zeros(3)
-    if problem.nested:
-        inner = _inner_table(blocks, size, sd_a, sd_b)
-        outer = _outer_table(inner, size, sd_b)
-        taken, taken_gradient, scalars = _eliminated(inner, outer, size, size + 1)
-    u_small = state.dense[p:]
+        lines = _SparkLevels(scanned, rule, problem)
+    problem.release()
     penalty = np.zeros(size)
     penalty[p:] = 1.0
-    schur = system + np.diag(penalty) - taken
-    gradient = gradient - penalty * state.dense - taken_gradient
+    schur = np.diag(penalty) - lines.block[:size, :size]
+    gradient = -penalty * state.dense - lines.block[:size, size]
+    logdet, squares, decrement, loglik = lines.block[size, :4]
     step = np.linalg.solve(schur, gradient)
     state.schur = schur
-    state.decrement = float(gradient @ step + scalars[2])
-    sign, small_logdet = np.linalg.slogdet(schur[p:, p:]) if size > p else (1.0, 0.0)
-    state.objective = -2.0 * loglik + float(u_small @ u_small) + scalars[1] + scalars[0] + small_logdet - state.decrement
-    levels = effects = None
+    state.decrement = float(gradient @ step + decrement)
+    small_logdet = np.linalg.slogdet(schur[p:, p:])[1] if size > p else 0.0
+    squares += float(state.dense[p:] @ state.dense[p:])
+    state.objective = float(-2.0 * loglik + squares + logdet + small_logdet - state.decrement)
+    levels = outer = None
     if problem.nested:
-        move_b = F.col("gb") - sum((F.col(f"m{j}") * float(step[j]) for j in range(size)), F.lit(0.0))
-        moved = outer.select(
-            "b", (F.col("ub_outer") + move_b / F.col("hb")).alias("ub_new"), (move_b / F.col("hb")).alias("db")
-        )
-        if problem.counts[problem.nested[-1]] <= LOOKUP_MAX_ROWS:
-            both = inner.join(F.broadcast(moved), "b", "left")
-        else:
-            both = left_join(inner, moved, ["b"], null_safe=False, hot=problem.hot_outer)
-        move_a = F.col("g") - F.col("c") * F.col("db") - sum(
-            (F.col(f"k{j}") * float(step[j]) for j in range(size)), F.lit(0.0)
-        )
-        levels = both.select(
-            F.col("a").alias("__a"), (F.col("ua") + move_a / F.col("h")).alias("ua"), F.col("ub_new").alias("ub"),
-        ).withColumn("off", F.col("ua") * sd_a + F.col("ub") * sd_b)
-        effects = (
-            levels.select(F.col("__a").alias("level"), (F.col("ua") * sd_a).alias("effect")),
-            moved.select(F.col("b").alias("level"), (F.col("ub_new") * sd_b).alias("effect")),
-        )
-    return _State(state.sds, state.dense + step, levels, effects=effects)
+        levels, outer = lines.move(step)
+    return _State(state.sds, state.dense + step, levels, outer=outer)
 
 
 def _rescaled(problem: _Problem, state: _State, sds: tuple[float, ...]) -> _State:
@@ -291,8 +400,11 @@ def _rescaled(problem: _Problem, state: _State, sds: tuple[float, ...]) -> _Stat
         at += len(problem.small_levels[g])
     levels = state.levels
     if levels is not None:
-        ratios = [old[g] / new[g] for g in problem.nested] + [1.0]
-        levels = levels.withColumns({"ua": F.col("ua") * ratios[0], "ub": F.col("ub") * ratios[1]})
+        first, second = ([old[g] / new[g] for g in problem.nested] + [1.0])[:2]
+        if isinstance(levels, pd.DataFrame):
+            levels = levels.assign(ua=levels["ua"] * first, ub=levels["ub"] * second)
+        else:
+            levels = levels.withColumns({"ua": F.col("ua") * first, "ub": F.col("ub") * second})
     return _State(tuple(sds), dense, levels)
 
 
@@ -308,8 +420,8 @@ def _settle(problem: _Problem, state: _State, tolerance: float, limit: int = 40)
     raise ArithmeticError(f"no convergence in {limit} Newton steps")
 
 
-def _search(problem: _Problem, start: _State, tolerance: float, rounds: int) -> tuple[float, ...]:
-    """Deviations with the smallest Laplace deviance: repeated quadratic fits along each log deviation."""
+def _search(problem: _Problem, start: _State, tolerance: float, rounds: int) -> _State:
+    """A start at the deviations with the smallest Laplace deviance: repeated quadratic fits along each log deviation."""
     best, ahead = _settle(problem, start, tolerance)
     step = 0.7
     low, high = math.log(SDS_FLOOR), math.log(SDS_CEILING)
@@ -340,7 +452,7 @@ def _search(problem: _Problem, start: _State, tolerance: float, rounds: int) ->
         if moved < 0.03:
             break
         step = max(min(step, moved) * 0.5, 0.05)
-    return best.sds
+    return _rescaled(problem, ahead, best.sds)
 
 
 def _lowest(tried: dict[float, float], reach: float) -> float:
@@ -362,41 +474,48 @@ def fit_mixed_logit(
     x: Sequence[str],
     groups: Sequence[str] = (),
     sds: dict[str, float] | None = None,
-    tolerance: float = 1e-3,
+    tolerance: float = 1e-6,
+    search_tolerance: float = 0.3,
     rounds: int = 4,
     small_levels: int = SMALL_LEVELS,
+    driver_levels: int = LOOKUP_MAX_ROWS,
 ) -> MixedFit:
     """Fit y ~ x plus a random intercept per level of each group, by Laplace approximation.
 
     `df` must hold complete cases; `x` includes the constant column. Given `sds` are kept, otherwise they are searched
     for. Fixed effects follow from the joint mode of fixed and random effects, so they can differ slightly from a fit
-    that optimises them together with the deviations.
+    that optimises them together with the deviations. Factors of at most `small_levels` levels join the dense system;
+    with more than `driver_levels` levels the elimination runs on the executors.
     """
-    problem = _prepare(df, y, x, groups, small_levels)
+    problem = _prepare(df, y, x, groups, small_levels, min(driver_levels, LOOKUP_MAX_ROWS))
     try:
         begin = tuple((sds or {}).get(g, SDS_START) for g in problem.factors)
         state = _State(begin, np.zeros(problem.size))
         if sds is None and problem.factors:
-            found = _search(problem, state, max(tolerance, 0.05), rounds)
-            state = _State(found, np.zeros(problem.size))
-        final, _ = _settle(problem, state, tolerance)
-        _, ahead = final, _newton(problem, final)
-        p = len(problem.x)
-        effects = {}
-        at = p
-        spark = df.sparkSession
-        chosen = dict(zip(problem.factors, final.sds))
-        for g in problem.small:
-            names = problem.small_levels[g]
-            values = ahead.dense[at:at + len(names)] * chosen[g]
-            effects[g] = spark.createDataFrame(list(zip(names, map(float, values))), "level string, effect double")
-            at += len(names)
-        for g, table in zip(problem.nested, ahead.effects or ()):
-            effects[g] = table
-        inverse = np.linalg.inv(final.schur)
-        return MixedFit(
-            problem.x, ahead.dense[:p], inverse[:p, :p], chosen, effects, final.objective, problem.n, problem.counts,
-            problem.passes,
-        )
+            state = _search(problem, state, search_tolerance, rounds)
+        final, ahead = _settle(problem, state, tolerance)
+        return _result(problem, final, ahead)
     finally:
+        problem.release()
         problem.rows.unpersist()
+
+
+def _result(problem: _Problem, final: _State, ahead: _State) -> MixedFit:
+    spark = problem.rows.sparkSession
+    p = len(problem.x)
+    sds = dict(zip(problem.factors, final.sds))
+    effects: dict[str, DataFrame] = {}
+    at = p
+    for g in problem.small:
+        names = problem.small_levels[g]
+        values = ahead.dense[at:at + len(names)] * sds[g]
+        effects[g] = spark.createDataFrame(list(zip(names, map(float, values))), "level string, effect double")
+        at += len(names)
+    for g, table, key, value in zip(problem.nested, (ahead.levels, ahead.outer), "ab", ("ua", "ub")):
+        if isinstance(table, pd.DataFrame):
+            table = spark.createDataFrame(table[[key, value]], f"{key} string, {value} double")
+        effects[g] = table.select(F.col(key).alias("level"), (F.col(value) * sds[g]).alias("effect"))
+    return MixedFit(
+        problem.x, ahead.dense[:p], np.linalg.inv(final.schur)[:p, :p], sds, effects, final.objective, problem.n,
+        problem.counts, problem.passes,
+    )
