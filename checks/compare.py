@@ -10,10 +10,14 @@ import time
 import duckdb
 
 from checks.oracle import SQL
-from checks.registry import QUERIES
+from checks.registry import QUERIES as STUDY
+from checks.operators import OPERATORS
 from vitalrates.session import build_session
 
 
+QUERIES = STUDY | OPERATORS
+
+
 def connect(sf_dir: str):
     con = duckdb.connect()
     for path in glob.glob(f"{sf_dir}/*.parquet"):
