@@ -9,13 +9,15 @@ import time
 
 import duckdb
 
-from checks.oracle import SQL
+from checks.oracle import SQL as STUDY_SQL
+from checks.oracle_operators import SQL as OPERATOR_SQL
 from checks.registry import QUERIES as STUDY
 from checks.operators import OPERATORS
 from vitalrates.session import build_session
 
 
 QUERIES = STUDY | OPERATORS
+SQL = STUDY_SQL | OPERATOR_SQL
 
 
 def connect(sf_dir: str):

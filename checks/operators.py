@@ -15,7 +15,7 @@ from checks.registry import (
 )
 from vitalrates.functions import casting, coordinates, dates
 from vitalrates.operators import effects, grouped, joins, ranking, resample, residuals, rows, scores, sequences
-from vitalrates.operators.lasso import cross_products, tuning_table
+from vitalrates.operators.lasso import coordinate_descent, cross_products
 from vitalrates.operators.mixed import MixedFit
 from vitalrates.plans import analysis, birthdate, cones, density, figures, litters, survival, trials
 from vitalrates.session import cut_lineage, ensure_checkpoint_dir
@@ -341,8 +341,6 @@ def m7(spark, sf):
     """One-predictor lasso fits at several penalties, from cross products."""
     data = dated_rows(spark, sf).dropna(subset=["n1_date"]).withColumn("w", F.array(F.lit(1)))
     products = cross_products(data, ["n1_date"], "part", "w", [0.0, 0.0])
-    from vitalrates.operators.lasso import coordinate_descent
-
     block = np.array([r["products"] for r in sorted(products.filter("bag = 0").collect(), key=lambda r: r["i"])])
     penalties = [0.1, 1.0, 10.0, 1000.0]
     fits = coordinate_descent(block, penalties)
@@ -351,13 +349,6 @@ def m7(spark, sf):
     ), digits=4)
 
 
-def m8(spark, sf):
-    top = standin(spark, sf, "litter").agg(F.min(F.lit(0)).alias("top"), F.min(F.lit(-10)).alias("bottom"))
-    grid = sequences.penalty_grid()
-    return shown(top.select(F.explode(F.array(*[F.lit(v) for v in grid])).alias("v"), "bottom").select(
-        F.log10("v").alias("exponent"), C("bottom").alias("lowest")))
-
-
 def m9(spark, sf):
     training = dated_rows(spark, sf)
     return birthdate.tune(training, birthdate.Roles(), birthdate.level_lists(training, birthdate.Roles()))
@@ -558,7 +549,7 @@ OPERATORS: dict[str, Query] = {
     "A1_A4_group_totals": a1, "A5_group_rates": a5, "A6_medians": a6, "A3_A7_extremes": a7, "A8_M4_standardise": a8,
     "W1_group_zscores": w1, "W3_first_value": w3, "O1_order_desc": o1, "O2_best_row": o2, "U1_union_distinct": u1,
     "U2_bind_rows": u2,
-    "M1_split": m1, "M2_bootstrap": m2, "M5_M6_dummies": m5, "M7_lasso": m7, "M8_penalties": m8, "M9_tuning": m9,
+    "M1_split": m1, "M2_bootstrap": m2, "M5_M6_dummies": m5, "M7_lasso": m7, "M9_tuning": m9,
     "M11_holdout": m11, "M12_scoring": m12, "M13_imputation": m13,
     "D1_median_fill": d1, "D2_component_pair": d2, "D2_correlations": d2_correlations,
     "G1_design": g1, "G2_G3_plain_logit": g2_plain, "G4_term_tests": g4, "G5_prediction_curve": g5,
