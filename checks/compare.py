@@ -52,9 +52,10 @@ def compare(spark, con, sf_dir: str, name: str) -> str:
     if ours[0] != theirs[0]:
         return f"COLUMNS {ours[0]} != {theirs[0]}"
     if ours[1] != theirs[1]:
-        only = [r for r in ours[1] if r not in set(theirs[1])][:2]
-        other = [r for r in theirs[1] if r not in set(ours[1])][:2]
-        return f"DIFF {len(ours[1])} vs {len(theirs[1])} rows\n  ours   {only}\n  theirs {other}"
+        mine, expected = set(ours[1]), set(theirs[1])
+        only = sorted(mine - expected)[:2]
+        other = sorted(expected - mine)[:2]
+        return f"DIFF {len(ours[1])} vs {len(theirs[1])} rows, {len(mine - expected)} differ\n  ours   {only}\n  theirs {other}"
     return f"equal {len(ours[1]):>8} rows  {took:6.2f}s"
 
 

@@ -133,7 +133,7 @@ def p13(spark, sf):
     c = standin(spark, sf, "juvenile")
     return shown(c.select("litter_id", "squirrel_id", F.log(C("weight") + 1).alias("log_weight"),
                           F.exp(C("weight") / 50).alias("exp_weight"),
-                          casting.divide(C("tagWT"), C("weight") - 20).alias("ratio")), digits=5)
+                          casting.divide(F.log("tagWT"), C("weight") - 20).alias("ratio")), digits=5)
 
 
 def p14(spark, sf):

@@ -33,23 +33,22 @@ where j.weight > 0 group by j.litter_id, l.grid, l.year"""),
 
 
 def component(name: str, columns: tuple[str, ...], source: str) -> tuple:
-    """CTEs that end in {name}_loading(mu, sd, v): the leading eigenvector of the correlations by power iteration."""
+    """CTEs that end in {name}_loading(mu, sd, v): the leading eigenvector of the correlations by repeated squaring."""
     filled = ", ".join(f"coalesce({c}, (select median({c}) from {source})) as {c}" for c in columns)
     matrix = ", ".join(
         "[" + ", ".join("1.0::double" if a == b else f"corr({a}, {b})" for b in columns) + "]" for a in columns
     )
-    start = ", ".join(f"{1.0 - 0.05 * i}::double" for i in range(len(columns)))
     return (
         (f"{name}_filled", f"select {filled} from {source}"),
         (f"{name}_moments", f"""select [{', '.join(f'avg({c})' for c in columns)}] as mu,
   [{', '.join(f'stddev_samp({c})' for c in columns)}] as sd, [{matrix}] as m from {name}_filled"""),
-        (f"{name}_power", f"""select 0 as k, [{start}] as v
+        (f"{name}_power", f"""select 0 as k, m as p from {name}_moments
 union all
-select k + 1, list_transform(x, lambda e: e / sqrt(list_dot_product(x, x))) from (
-  select k, list_transform(m, lambda r: list_dot_product(r, v)) as x from {name}_power, {name}_moments where k < 3000)"""),
-        (f"{name}_loading", f"""select mu, sd, list_transform(v, lambda e: e
-  * case when list_max(v) >= -list_min(v) then 1.0 else -1.0 end) as v
-from {name}_power, {name}_moments where k = 3000"""),
+select k + 1, list_transform(p, lambda r: list_transform(p, lambda q: list_dot_product(r, q)
+  / list_sum(list_transform(p, lambda t: list_dot_product(t, t))))) from {name}_power where k < 40"""),
+        (f"{name}_loading", f"""select mu, sd, list_transform(p[1], lambda e: e / sqrt(list_dot_product(p[1], p[1]))
+  * case when list_max(p[1]) >= -list_min(p[1]) then 1.0 else -1.0 end) as v
+from {name}_power, {name}_moments where k = 40"""),
     )
 
 
@@ -165,7 +164,7 @@ from cones""",
   cast({database_decimal('(' + STRICT_LETTERS + ')')} as double) as x_strict,
   cast({database_decimal('locy')} as double) as y_strict from census""",
     "P12_P13_arithmetic": ctes("juvenile") + """select litter_id, squirrel_id, round(ln(weight + 1), 5) as log_weight,
-  round(exp(weight / 50), 5) as exp_weight, round(tagWT / nullif(weight - 20, 0), 5) as ratio from juvenile""",
+  round(exp(weight / 50), 5) as exp_weight, round(ln(tagWT) / nullif(weight - 20, 0), 5) as ratio from juvenile""",
     "P14_P16_date_parts": ctes("litter") + """select id, year(date1) as year, month(date1) as month,
   dayofyear(date1) as day, dayofyear(fieldBDate) as part from litter""",
     "P17_short_dates": ctes("trials") + """select row_idx,
