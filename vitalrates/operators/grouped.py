@@ -20,11 +20,11 @@ def zscore_within(
     as the table: their means and deviations are partial aggregates of one row per group.
     """
     stats = df.groupBy(*groups).agg(*[
-        f(c).alias(f"__{tag}_{c}") for c in columns for tag, f in (("mean", F.avg), ("sd", F.stddev_samp))
+        f(F.col(c).cast("double")).alias(f"__{tag}_{c}") for c in columns for tag, f in (("mean", F.avg), ("sd", F.stddev_samp))
     ])
     joined = attach_small(df, stats, list(groups), hot=hot)
     return joined.withColumns({
-        new: divide(F.col(c) - F.col(f"__mean_{c}"), F.nullif(F.col(f"__sd_{c}"), F.lit(0.0)))
+        new: divide(F.col(c).cast("double") - F.col(f"__mean_{c}"), F.nullif(F.col(f"__sd_{c}"), F.lit(0.0)))
         for c, new in columns.items()
     }).select(*df.columns, *columns.values())
 
@@ -32,10 +32,10 @@ def zscore_within(
 def standardise(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add whole-table z-scores for `columns` {source: new name}; the statistics are one row."""
     stats = df.agg(*[
-        f(c).alias(f"{tag}_{c}") for c in columns for tag, f in (("mean", F.avg), ("sd", F.stddev_samp))
+        f(F.col(c).cast("double")).alias(f"{tag}_{c}") for c in columns for tag, f in (("mean", F.avg), ("sd", F.stddev_samp))
     ]).first()
     return df.withColumns({
-        new: divide(F.col(c) - F.lit(stats[f"mean_{c}"]), F.nullif(F.lit(stats[f"sd_{c}"]), F.lit(0.0)))
+        new: divide(F.col(c).cast("double") - F.lit(stats[f"mean_{c}"]), F.nullif(F.lit(stats[f"sd_{c}"]), F.lit(0.0)))
         for c, new in columns.items()
     })
 

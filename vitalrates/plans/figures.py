@@ -136,7 +136,7 @@ def prediction_grid(rows: DataFrame, score: str = "mis1", points: int = 500) ->
 def design_for(grid: DataFrame, design: Design) -> DataFrame:
     """Design columns of new rows under the scales of the model rows."""
     stats = design.rows.agg(*[
-        f(c).alias(f"{tag}_{c}") for c in ("age_at_trial", "grid_density")
+        f(F.col(c).cast("double")).alias(f"{tag}_{c}") for c in ("age_at_trial", "grid_density")
         for tag, f in (("mean", F.avg), ("sd", F.stddev_samp))
     ]).first()
     out = grid.withColumns({
