@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitalrates.functions.casting import divide
 from vitalrates.operators.ranking import exact_medians
 
 
@@ -27,7 +28,16 @@ class Component:
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(first, second, r) for every pair of columns, from one pass."""
     pairs = list(combinations(columns, 2))
-    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    # A column without variance has no correlation: NULL, where corr itself would fail.
+    both = {
+        (a, b): (F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))) for a, b in pairs
+    }
+    row = df.agg(*[
+        divide(
+            F.covar_samp(x, y), F.nullif(F.stddev_samp(x) * F.stddev_samp(y), F.lit(0.0))
+        ).alias(f"r{i}")
+        for i, (x, y) in enumerate(both.values())
+    ])
     return row.select(F.explode(F.array(*[
         F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"r{i}").alias("r"))
         for i, (a, b) in enumerate(pairs)
@@ -35,7 +45,7 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def first_components(df: DataFrame, sets: dict[str, Sequence[str]]) -> dict[str, Component]:
-    """First component of each set of columns, all from one aggregate of means, deviations and correlations.
+    """First component of each set of columns, all from one aggregate of means, deviations and covariances.
 
     The loading of largest size is positive. A column without variance raises.
     """
@@ -43,7 +53,7 @@ def first_components(df: DataFrame, sets: dict[str, Sequence[str]]) -> dict[str,
     pairs = list(dict.fromkeys(p for s in sets.values() for p in combinations(s, 2)))
     row = df.agg(
         *[F.avg(c).alias(f"mean_{c}") for c in columns], *[F.stddev_samp(c).alias(f"sd_{c}") for c in columns],
-        *[F.corr(a, b).alias(f"r_{a}_{b}") for a, b in pairs],
+        *[F.covar_samp(a, b).alias(f"c_{a}_{b}") for a, b in pairs],
     ).first()
     result = {}
     for name, members in sets.items():
@@ -52,7 +62,7 @@ def first_components(df: DataFrame, sets: dict[str, Sequence[str]]) -> dict[str,
             raise ValueError(f"columns without variance: {flat}")
         matrix = np.eye(len(members))
         for (i, a), (j, b) in combinations(list(enumerate(members)), 2):
-            matrix[i, j] = matrix[j, i] = row[f"r_{a}_{b}"]
+            matrix[i, j] = matrix[j, i] = row[f"c_{a}_{b}"] / row[f"sd_{a}"] / row[f"sd_{b}"]
         values, vectors = np.linalg.eigh(matrix)
         loading = vectors[:, -1]
         lead = int(np.argmax(np.round(np.abs(loading), 9)))

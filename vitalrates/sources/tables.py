@@ -62,7 +62,7 @@ class JdbcSource:
         result = {
             "url": self.url, "driver": self.driver, "fetchsize": str(self.fetch_size), "pushDownPredicate": "true",
             "pushDownAggregate": "true", **self.properties,
-            "dbtable": table if query is None else f"({query.strip().rstrip(';')}) AS q",
+            "dbtable": table if query is None else f"({query.strip().rstrip(';').rstrip()}) AS q",
         }
         if partition is not None:
             column, lower, upper, parts = partition
