@@ -60,6 +60,7 @@ class _State:
     decrement: float = math.inf
     schur: np.ndarray | None = None
     outer: DataFrame | pd.DataFrame | None = None
+    lines: pd.DataFrame | None = None
 
 
 @dataclass
@@ -150,9 +151,11 @@ def _block_lines(block: np.ndarray, **columns) -> pd.DataFrame:
 def _by_level(keys: pd.Series, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row sums per key, and the position of the first row of each key."""
     code, levels = pd.factorize(keys, use_na_sentinel=False)
-    total = np.zeros((len(levels), sums.shape[1]))
-    np.add.at(total, code, sums)
-    return total, np.unique(code, return_index=True)[1]
+    if not len(code):
+        return np.zeros((0, sums.shape[1])), code
+    order = np.argsort(code, kind="stable")
+    starts = np.searchsorted(code[order], np.arange(len(levels)))
+    return np.add.reduceat(sums[order], starts, axis=0), order[starts]
 
 
 def _scan(problem: _Problem, state: _State) -> DataFrame:
@@ -295,7 +298,7 @@ class _DriverLevels:
 
     def __init__(self, scanned: DataFrame, rule: _Elimination, bound: int):
         self.rule = rule
-        lines = scanned.limit(bound + 1).toArrow().to_pandas()
+        self.lines = lines = scanned.limit(bound + 1).toArrow().to_pandas()
         if len(lines) > bound:
             raise ValueError("more levels than counted")
         self.inner = lines[lines["kind"] == 1].reset_index(drop=True)
@@ -360,36 +363,79 @@ class _SparkLevels:
         return both.mapInPandas(inner, "a string, ua double, ub double, off double"), moved
 
 
+def _rule(problem: _Problem, sds: Sequence[float]) -> _Elimination:
+    chosen = dict(zip(problem.factors, sds))
+    sd_a, sd_b = ([chosen[g] for g in problem.nested] + [0.0, 0.0])[:2]
+    return _Elimination(problem.size, sd_a, sd_b)
+
+
+def _solved(problem: _Problem, dense: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Dense system, Newton step, decrement and Laplace deviance that follow from an eliminated block."""
+    p, size = len(problem.x), problem.size
+    penalty = np.zeros(size)
+    penalty[p:] = 1.0
+    schur = np.diag(penalty) - block[:size, :size]
+    gradient = -penalty * dense - block[:size, size]
+    logdet, squares, decrement, loglik = block[size, :4]
+    step = np.linalg.solve(schur, gradient)
+    decrement = float(gradient @ step + decrement)
+    small_logdet = np.linalg.slogdet(schur[p:, p:])[1] if size > p else 0.0
+    squares += float(dense[p:] @ dense[p:])
+    # The decrement is what the next step takes off the deviance.
+    return schur, step, decrement, float(-2.0 * loglik + squares + logdet + small_logdet - decrement)
+
+
 def _newton(problem: _Problem, state: _State) -> _State:
     """One scan at `state`: fills in its objective and returns the next state."""
     problem.passes += 1
-    p, size = len(problem.x), problem.size
-    sds = dict(zip(problem.factors, state.sds))
-    sd_a, sd_b = ([sds[g] for g in problem.nested] + [0.0, 0.0])[:2]
-    rule = _Elimination(size, sd_a, sd_b)
+    rule = _rule(problem, state.sds)
     scanned = _scan(problem, state)
     if problem.driver_levels:
-        lines = _DriverLevels(scanned, rule, LOOKUP_MAX_ROWS + size)
+        lines = _DriverLevels(scanned, rule, LOOKUP_MAX_ROWS + problem.size)
+        state.lines = lines.lines
     else:
         lines = _SparkLevels(scanned, rule, problem)
     problem.release()
-    penalty = np.zeros(size)
-    penalty[p:] = 1.0
-    schur = np.diag(penalty) - lines.block[:size, :size]
-    gradient = -penalty * state.dense - lines.block[:size, size]
-    logdet, squares, decrement, loglik = lines.block[size, :4]
-    step = np.linalg.solve(schur, gradient)
-    state.schur = schur
-    state.decrement = float(gradient @ step + decrement)
-    small_logdet = np.linalg.slogdet(schur[p:, p:])[1] if size > p else 0.0
-    squares += float(state.dense[p:] @ state.dense[p:])
-    state.objective = float(-2.0 * loglik + squares + logdet + small_logdet - state.decrement)
+    state.schur, step, state.decrement, state.objective = _solved(problem, state.dense, lines.block)
     levels = outer = None
     if problem.nested:
         levels, outer = lines.move(step)
     return _State(state.sds, state.dense + step, levels, outer=outer)
 
 
+def _ratios(problem: _Problem, old: Sequence[float], new: Sequence[float]) -> np.ndarray:
+    """New over old deviation for every dense column; 1 for the fixed effects."""
+    out = [np.ones(len(problem.x))]
+    for g, a, b in zip(problem.small, old, new):
+        out.append(np.full(len(problem.small_levels[g]), b / a))
+    return np.concatenate(out)
+
+
+def _objective_near(problem: _Problem, state: _State, sds: Sequence[float]) -> float:
+    """Laplace deviance at other deviations from the scan made at `state`, without another scan.
+
+    Effects on the scale of the outcome stay, so the scanned products only change scale; the working weights are
+    those of the scan.
+    """
+    size, ratios = problem.size, _ratios(problem, state.sds, sds)
+    old, new = dict(zip(problem.factors, state.sds)), dict(zip(problem.factors, sds))
+    first, second = ([old[g] / new[g] for g in problem.nested] + [1.0, 1.0])[:2]
+    lines = state.lines.copy()
+    levels = lines["kind"].to_numpy() == 1
+    values = lines[_values(size + 2)].to_numpy(float)
+    values[levels, 2:] *= ratios
+    rows = np.flatnonzero(~levels)
+    own = ratios[lines["i"].to_numpy()[rows]]
+    values[rows, :size] *= ratios * own[:, None]
+    values[rows, size] *= own
+    lines[_values(size + 2)] = values
+    lines["ua"] *= first
+    lines["ub"] *= second
+    rule = _rule(problem, sds)
+    outer, block = rule.inner_sums(lines)
+    return _solved(problem, state.dense / ratios, block + rule.outer_block(outer))[3]
+
+
 def _rescaled(problem: _Problem, state: _State, sds: tuple[float, ...]) -> _State:
     """The same random effects under other deviations, as a start for the next search."""
     p = len(problem.x)
@@ -420,6 +466,63 @@ def _settle(problem: _Problem, state: _State, tolerance: float, limit: int = 40)
     raise ArithmeticError(f"no convergence in {limit} Newton steps")
 
 
+LOW, HIGH = math.log(SDS_FLOOR), math.log(SDS_CEILING)
+
+
+def _downhill(objective, start: Sequence[float], step: float = 0.4, stop: float = 0.01) -> list[float]:
+    """Minimum of a cheap function of the log deviations by moves along the axes with shrinking steps."""
+    best, value = list(start), objective(start)
+    while step >= stop:
+        better = False
+        for f in range(len(best)):
+            for move in (step, -step):
+                tried = list(best)
+                tried[f] = min(max(tried[f] + move, LOW), HIGH)
+                found = objective(tried)
+                if found < value - 1e-9:
+                    best, value, better = tried, found, True
+                    break
+        if not better:
+            step /= 2
+    return best
+
+
+def _search_near(problem: _Problem, start: _State, tolerance: float, rounds: int = 12) -> _State:
+    """A start at the deviations with the smallest Laplace deviance, mostly from scans already made.
+
+    Each round minimises the deviance seen from the last scan and scans again at the result. Once that settles, one
+    scan per factor measures how the working weights, which a scan holds fixed, change the deviance along that
+    factor, and the rounds go on with this slope added.
+    """
+
+    def settled(seen: _State, ahead: _State, logs: Sequence[float]) -> tuple[_State, _State]:
+        return _settle(problem, _rescaled(problem, ahead, tuple(math.exp(v) for v in logs)), tolerance)
+
+    def near(seen: _State, logs: Sequence[float]) -> float:
+        return _objective_near(problem, seen, [math.exp(v) for v in logs])
+
+    seen, ahead = _settle(problem, start, tolerance)
+    slope = np.zeros(len(problem.factors))
+    corrected = False
+    for _ in range(rounds):
+        here = [math.log(v) for v in seen.sds]
+        target = _downhill(lambda logs: near(seen, logs) + float(slope @ np.subtract(logs, here)), here)
+        moved = float(np.abs(np.subtract(target, here)).max())
+        if moved >= 0.02:
+            seen, ahead = settled(seen, ahead, target)
+        if moved < 0.05:
+            if corrected:
+                break
+            corrected = True
+            here = [math.log(v) for v in seen.sds]
+            for f in range(len(here)):
+                logs = list(here)
+                logs[f] = min(logs[f] + 0.3, HIGH)
+                there, _ = settled(seen, ahead, logs)
+                slope[f] = (there.objective - near(seen, logs)) / 0.3
+    return _rescaled(problem, ahead, seen.sds)
+
+
 def _search(problem: _Problem, start: _State, tolerance: float, rounds: int) -> _State:
     """A start at the deviations with the smallest Laplace deviance: repeated quadratic fits along each log deviation."""
     best, ahead = _settle(problem, start, tolerance)
@@ -475,7 +578,7 @@ def fit_mixed_logit(
     groups: Sequence[str] = (),
     sds: dict[str, float] | None = None,
     tolerance: float = 1e-6,
-    search_tolerance: float = 0.3,
+    search_tolerance: float = 0.1,
     rounds: int = 4,
     small_levels: int = SMALL_LEVELS,
     driver_levels: int = LOOKUP_MAX_ROWS,
@@ -492,7 +595,10 @@ def fit_mixed_logit(
         begin = tuple((sds or {}).get(g, SDS_START) for g in problem.factors)
         state = _State(begin, np.zeros(problem.size))
         if sds is None and problem.factors:
-            state = _search(problem, state, search_tolerance, rounds)
+            if problem.driver_levels:
+                state = _search_near(problem, state, search_tolerance)
+            else:
+                state = _search(problem, state, search_tolerance, rounds)
         final, ahead = _settle(problem, state, tolerance)
         return _result(problem, final, ahead)
     finally:
