@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Tasks carry the functions of this module, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def cross_products(df: DataFrame, x: Sequence[str], y: str, weights: str, center: Sequence[float]) -> DataFrame:
     """Weighted cross products of (1, x, y) per replicate, in the bag and out of it.
 

@@ -14,18 +14,22 @@ checkpoint folder.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalrates.operators.joins import hot_keys, left_join
 from vitalrates.session import LOOKUP_MAX_ROWS, bounded_rows, cut_lineage
 
+# Tasks carry the functions of this module, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SMALL_LEVELS = 64
 SDS_START, SDS_FLOOR, SDS_CEILING = 0.5, 1e-3, 20.0
 
@@ -487,7 +491,7 @@ def _downhill(objective, start: Sequence[float], step: float = 0.4, stop: float
     return best
 
 
-def _search_near(problem: _Problem, start: _State, tolerance: float, rounds: int = 12) -> _State:
+def _search_near(problem: _Problem, start: _State, tolerance: float, rounds: int = 8) -> _State:
     """A start at the deviations with the smallest Laplace deviance, mostly from scans already made.
 
     Each round minimises the deviance seen from the last scan and scans again at the result. Once that settles, one
@@ -495,13 +499,14 @@ def _search_near(problem: _Problem, start: _State, tolerance: float, rounds: int
     factor, and the rounds go on with this slope added.
     """
 
-    def settled(seen: _State, ahead: _State, logs: Sequence[float]) -> tuple[_State, _State]:
+    def settled(ahead: _State, logs: Sequence[float]) -> tuple[_State, _State]:
         return _settle(problem, _rescaled(problem, ahead, tuple(math.exp(v) for v in logs)), tolerance)
 
     def near(seen: _State, logs: Sequence[float]) -> float:
         return _objective_near(problem, seen, [math.exp(v) for v in logs])
 
     seen, ahead = _settle(problem, start, tolerance)
+    best = seen, ahead
     slope = np.zeros(len(problem.factors))
     corrected = False
     for _ in range(rounds):
@@ -509,7 +514,9 @@ def _search_near(problem: _Problem, start: _State, tolerance: float, rounds: int
         target = _downhill(lambda logs: near(seen, logs) + float(slope @ np.subtract(logs, here)), here)
         moved = float(np.abs(np.subtract(target, here)).max())
         if moved >= 0.02:
-            seen, ahead = settled(seen, ahead, target)
+            seen, ahead = settled(ahead, target)
+            if seen.objective < best[0].objective:
+                best = seen, ahead
         if moved < 0.05:
             if corrected:
                 break
@@ -518,15 +525,14 @@ def _search_near(problem: _Problem, start: _State, tolerance: float, rounds: int
             for f in range(len(here)):
                 logs = list(here)
                 logs[f] = min(logs[f] + 0.3, HIGH)
-                there, _ = settled(seen, ahead, logs)
+                there, _ = settled(ahead, logs)
                 slope[f] = (there.objective - near(seen, logs)) / 0.3
-    return _rescaled(problem, ahead, seen.sds)
+    return _rescaled(problem, best[1], best[0].sds)
 
 
-def _search(problem: _Problem, start: _State, tolerance: float, rounds: int) -> _State:
+def _search(problem: _Problem, start: _State, tolerance: float, rounds: int, step: float = 0.7) -> _State:
     """A start at the deviations with the smallest Laplace deviance: repeated quadratic fits along each log deviation."""
     best, ahead = _settle(problem, start, tolerance)
-    step = 0.7
     low, high = math.log(SDS_FLOOR), math.log(SDS_CEILING)
 
     def at(logs: Sequence[float]) -> tuple[_State, _State]:
@@ -554,7 +560,7 @@ def _search(problem: _Problem, start: _State, tolerance: float, rounds: int) ->
             moved = max(moved, abs(math.log(best.sds[f]) - centre[f]))
         if moved < 0.03:
             break
-        step = max(min(step, moved) * 0.5, 0.05)
+        step = min(1.5 * step, 1.0) if moved > step else max(0.5 * moved, 0.05)
     return _rescaled(problem, ahead, best.sds)
 
 
@@ -579,7 +585,7 @@ def fit_mixed_logit(
     sds: dict[str, float] | None = None,
     tolerance: float = 1e-6,
     search_tolerance: float = 0.1,
-    rounds: int = 4,
+    rounds: int = 12,
     small_levels: int = SMALL_LEVELS,
     driver_levels: int = LOOKUP_MAX_ROWS,
 ) -> MixedFit:
@@ -596,7 +602,9 @@ def fit_mixed_logit(
         state = _State(begin, np.zeros(problem.size))
         if sds is None and problem.factors:
             if problem.driver_levels:
-                state = _search_near(problem, state, search_tolerance)
+                # The last word has the deviance itself: short steps around what the scans suggest.
+                near = _search_near(problem, state, search_tolerance)
+                state = _search(problem, near, search_tolerance, rounds, step=0.2)
             else:
                 state = _search(problem, state, search_tolerance, rounds)
         final, ahead = _settle(problem, state, tolerance)
