@@ -27,17 +27,18 @@ def build_session(app: str = "vitalrates", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; only a local session may fall back to a temporary one."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; only a session inside one process may fall back to a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
-        return
+        return context.getCheckpointDir()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the driver and all executors")
         folder = tempfile.mkdtemp(prefix="vitalrates-checkpoint-")
     context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
