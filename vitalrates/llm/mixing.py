@@ -25,10 +25,11 @@ WORD = "[^ \\x09-\\x0D]+"
 
 
 def domain_by_source(column: str = "source") -> Column:
-    """Domain of a source by the number it ends with; without one: web."""
+    """Domain of a source by the number it ends with; without one: web; NULL for a NULL source."""
     number = F.regexp_extract(F.col(column), "([0-9]{1,9})$", 1)
     names = F.array(*[F.lit(x) for x in ("web", "books", "code", "forum")])
-    return F.when(number == "", F.lit("web")).otherwise(F.element_at(names, (F.try_to_number(number, F.lit("999999999")).cast("int") % 4 + 1)))
+    place = number.try_cast("int") % 4
+    return F.when(number == "", F.lit("web")).when(F.col(column).isNotNull(), F.get(names, place))
 
 
 def _weight(weights: Mapping[str, float], path: Column) -> Column:
