@@ -84,13 +84,15 @@ class Landmarks:
 
 
 class LanguageModel:
-    """Landmarks and ridge weights; its size is that of the landmarks, whatever was trained on."""
+    """Landmarks and ridge weights; its size is that of the landmarks, whatever was trained on. Without landmarks: `und`."""
 
-    def __init__(self, landmarks: Landmarks, weights: np.ndarray, languages: list[str]):
+    def __init__(self, landmarks: Landmarks | None, weights: np.ndarray | None, languages: list[str]):
         self.landmarks, self.weights, self.languages = landmarks, weights, languages
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and score: the share of the best class among the classes' positive responses."""
+        if self.landmarks is None:
+            return ["und"] * len(texts), [0.0] * len(texts)
         response = self.landmarks.coordinates(texts) @ self.weights[:-1] + self.weights[-1]
         best = response.argmax(axis=1)
         positive = np.maximum(response, 0)
@@ -112,8 +114,8 @@ def fit_language(
     """Fit on every text with a language outside the fold crc32(doc_id) mod 3 = 1.
 
     Landmarks are, for each language, the `landmarks` texts with the smallest id hashes among those of `chars` characters
-    (of any length where a language has none such); the regression sums over all training texts. Raises without any
-    training text and above MAX_LANGUAGES languages.
+    (of any length where a language has none such); the regression sums over all training texts. Without any
+    training text every prediction is `und`; above MAX_LANGUAGES languages it raises.
     """
     train = id_and_text(docs, "lang", **columns).where(F.col("lang").isNotNull() & ~held_out()).where(F.length("text") > 0)
     size = F.length("text")
@@ -122,8 +124,10 @@ def fit_language(
     picked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= landmarks)
     picked = picked.limit(landmarks * MAX_LANGUAGES + 1).collect()
     languages = sorted({r.lang for r in picked})
-    if not picked or len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"needs training texts in 1 to {MAX_LANGUAGES} languages")
+    if not picked:
+        return LanguageModel(None, None, [])
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     keys = {(r.doc_id, r.key) for r in picked}
     rows = train.where(F.col("doc_id").isin([r.doc_id for r in picked])).select("doc_id", F.xxhash64("text").alias("key"), "text")
     texts = sorted({(r.doc_id, r.key): r.text for r in rows.collect() if (r.doc_id, r.key) in keys}.items())

@@ -189,9 +189,10 @@ def in_fold(id_column, folds: int, fold: int):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> QualityModel:
-    """Fit on labelled documents outside the fold crc32(doc_id) mod 5 = 0. Without both labels among them: raises.
+    """Fit on labelled documents outside the fold crc32(doc_id) mod 5 = 0.
 
-    Contradicting labels of one id count as 0. The features of the sample, never its texts, reach the driver.
+    Without both labels among them (an empty table, say) every text gets the smoothed share of label 1, 0.5 when there is
+    no label at all. Contradicting labels of one id count as 0. The features of the sample, never its texts, reach the driver.
     """
     known = labels.where(F.col("quality").isNotNull() & ~in_fold("doc_id", 5, 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.min("quality").alias("quality"))
@@ -215,9 +216,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, ma
     rows = chosen.select("doc_id", "text", F.col("quality").cast("int").alias("quality"))
     rows = rows.mapInArrow(measured, "doc_id long, quality int, lines binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.lines)))
-    quality = np.array([r.quality for r in rows])
+    quality = np.array([r.quality for r in rows], int)
     if len(set(quality.tolist())) < 2:
-        raise ValueError("the quality model needs labelled documents of both kinds")
+        return QualityModel(np.zeros(WIDTH), np.zeros((2, 2)), 0.0, float(np.log((quality.sum() + 1) / ((1 - quality).sum() + 1))))
     tables = [np.frombuffer(r.lines, np.float32).reshape(-1, WIDTH + 1).astype(np.float64) for r in rows]
     weights, moves = fit_chain([t[:, 1:] for t in tables], quality)
     counts = np.array([len(t) for t in tables])
