@@ -5,8 +5,7 @@ hash xor-ed with BANDS * ROWS constants; bands of ROWS minima are bucket keys. I
 bucket's smallest line; after components, members of one bucket that are still apart are compared with each other. Of every
 component the first line of the smallest document stays.
 
-The signatures run in numpy on the executors: the same in built-in functions takes about three times the CPU budget (see
-README). Everything after them is joins and groupings, and no group is gathered except the ids of one bucket.
+The signatures run in numpy on the executors; the README gives the figures of the same in built-in functions. Everything after them is joins and groupings, and no group is gathered except the ids of one bucket.
 """
 
 from __future__ import annotations
