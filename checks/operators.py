@@ -214,7 +214,8 @@ def j1(spark, sf):
 def j2(spark, sf):
     pups, nests = tables(spark, sf, "juvenile", "litter")
     nests = nests.filter("id % 3 = 0").select(C("id").alias("litter_id"), "grid")
-    out = joins.left_join(pups, nests, ["litter_id"], null_safe=False, hot=joins.hot_keys(pups, "litter_id"))
+    out = joins.left_join(pups, nests, ["litter_id"], null_safe=False, hot=joins.hot_keys(pups, "litter_id"),
+                          spread_by=["squirrel_id"])
     return shown(out.select("squirrel_id", "litter_id", "grid"))
 
 
@@ -227,20 +228,22 @@ def j3(spark, sf):
 def j4(spark, sf):
     t = rows.clean_names(standin(spark, sf, "pup_trials")).select(C("sq_id").alias("squirrel_id"), "row_idx")
     facts = standin(spark, sf, "pup_juvenile")
-    return shown(joins.left_join(t, facts, ["squirrel_id"], hot=joins.hot_keys(t, "squirrel_id")))
+    return shown(joins.left_join(t, facts, ["squirrel_id"], hot=joins.hot_keys(t, "squirrel_id"),
+                                 spread_by=["row_idx"]))
 
 
 def j5(spark, sf):
     left = study_trials(spark, sf).select("squirrel_id", "litter_id", "dam_id", "row_idx", C("n2_date").alias("datee"))
     right = standin(spark, sf, "pup_last_seen").select("squirrel_id", "litter_id", "dam_id", "datee", "f2")
     return shown(joins.left_join(left, right, ["squirrel_id", "litter_id", "dam_id"], suffixes=("_per", "_fla"),
-                                 hot=joins.hot_keys(standin(spark, sf, "pup_trials"), "Sq ID")))
+                                 hot=joins.hot_keys(standin(spark, sf, "pup_trials"), "Sq ID"), spread_by=["row_idx"]))
 
 
 def j6(spark, sf):
     seen = standin(spark, sf, "pup_last_seen").select("squirrel_id", "byear", "f1")
     census = survival.autumn_census(*tables(spark, sf, "pup_census", "pup_census_next"), RECENT)
-    return shown(joins.left_join(seen, census, ["squirrel_id", ("byear", "census_year")], hot=[]))
+    return shown(joins.left_join(seen, census, ["squirrel_id", ("byear", "census_year")],
+                                 hot=joins.hot_keys(seen, "squirrel_id"), spread_by=["f1"]))
 
 
 def j7(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 from itertools import combinations
 
-from checks.oracle import DENSITY, SURVIVAL, SURVIVAL_DENSITY, TRIALS, ctes, letter_number
+from checks.oracle import DENSITY, SURVIVAL, SURVIVAL_DENSITY, TRIALS, ctes, letter_number, training
 from vitalrates.rules import ACTIVITY, AGGRESSION
 
 CENSI = SURVIVAL[-2]
@@ -24,11 +24,7 @@ STRICT_LETTERS = "case " + " ".join(
     for i, c in enumerate(string.ascii_uppercase, start=1)
 ) + " else locx end"
 
-LITTER_ROWS = ("pup_juvenile", "pup_litter", ("training", """select j.litter_id, l.grid, avg(l.part) as part, l.year,
-  avg(j.weight) as n1_weight, avg(l.n1_date) as n1_date, count(distinct j.squirrel_id) as litter_size
-from pup_juvenile j join (select id, grid, dayofyear(date1) as n1_date, dayofyear(fieldBDate) as part,
-  year(date1) as year from pup_litter where date1 is not null) l on j.litter_id = l.id
-where j.weight > 0 group by j.litter_id, l.grid, l.year"""),
+LITTER_ROWS = ("pup_juvenile", "pup_litter", *training("pup_juvenile", "pup_litter"),
     ("dated", "select * from training where part is not null"))
 
 
@@ -148,7 +144,7 @@ from trials""",
   round(1.11568::double * exp(0.1681::double + 1.1891::double * ln(NumNew + 0.01::double)), 4) as total_cones
 from cones""",
     "P6_casts": ctes("census") + """select squirrel_id, locx, locy,
-  cast(try_cast(locy as decimal(4,1)) as double) as tenths, cast(try_cast(locy as decimal(20,0)) as double) as unsigned,
+  cast(try_cast(locy as decimal(4,1)) as double) as tenths, floor(cast(locy as double)) as unsigned,
   cast(try_cast(locx as decimal(4,1)) as double) as text_tenths,
   cast(trunc(cast(locy as double) - 12.75) as bigint) as whole, cast(squirrel_id as varchar) as id_text,
   cast(case when sex = 'M' then 1 else 0 end as bigint) as male from census""",

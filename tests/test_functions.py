@@ -46,7 +46,8 @@ def test_casts_and_division(spark):
     assert column(df, truncate_to_int(F.col("a"))) == [-3, None, 5]
     assert column(df, divide(F.col("b"), F.col("b"))) == [None, 1.0, 1.0]
     assert column(df, finite(F.col("a")) > 1) == [False, None, True]
-    assert column(text(spark, ["7", "x", None]), to_unsigned(F.col("c"))) == [Decimal(7), None, None]
+    found = column(text(spark, ["7", "x", None, "3.7", " 12abc", "-1", "9" * 25]), to_unsigned(F.col("c")))
+    assert found == [Decimal(7), Decimal(0), None, Decimal(3), Decimal(12), Decimal(2**64 - 1), Decimal(2**64 - 1)]
 
 
 def test_names(spark):

@@ -85,7 +85,10 @@ def test_no_groups_is_a_plain_logit(spark):
 def test_unnested_large_factors_are_refused(spark):
     df = spark.createDataFrame(simulated(600)).withColumn("dam", F.col("x1") * 1000)
     with pytest.raises(ValueError, match="several levels"):
-        fit_mixed_logit(df.withColumn("dam", F.expr("abs(hash(x2)) % 100")), "y", ["one"], ["dam", "litter"], sds={})
+        fit_mixed_logit(df.withColumn("dam", F.expr("abs(hash(x2)) % 100")), "y", ["one"], ["dam", "litter"],
+                        sds={"dam": 1.0, "litter": 1.0})
+    with pytest.raises(ValueError, match="deviations given"):
+        fit_mixed_logit(df, "y", ["one"], ["litter"], sds={"liter": 1.0})
 
 
 def test_effect_tables(spark):
@@ -121,6 +124,20 @@ def test_lasso_solves_its_conditions():
             assert g == pytest.approx(np.sign(b) * penalty, abs=1e-6) if b else abs(g) <= penalty + 1e-6
 
 
+def test_bootstrap_weights_have_no_upper_end():
+    steps = 1 << 52
+    limits = poisson_limits(steps)
+    assert len(limits) > 15 and limits == sorted(set(limits)) and steps - limits[-1] > 1
+    assert limits[0] == int(Decimal(-1).exp() * steps) and limits[1] == int(2 * Decimal(-1).exp() * steps)
+
+
+def test_unfinished_descent_raises():
+    x = np.random.default_rng(3).normal(size=(50, 3))
+    z = np.column_stack([np.ones(50), x + x[:, :1], x.sum(axis=1)])
+    with pytest.raises(RuntimeError):
+        coordinate_descent(z.T @ z, [0.1], rounds=1)
+
+
 def test_tuning_equals_row_by_row_replicates(spark):
     rng = np.random.default_rng(2)
     data = pd.DataFrame({"id": np.arange(400), "x0": rng.normal(size=400), "x1": rng.normal(size=400)})

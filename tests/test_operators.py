@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalrates.operators import grouped, joins, ranking, resample, rows
-from vitalrates.session import small_table
+from vitalrates.session import fits
 
 
 def values(df):
@@ -16,8 +16,8 @@ def test_null_keys_meet(spark):
     left = spark.createDataFrame([(1, "a"), (None, "b"), (3, "c")], "k int, v string")
     right = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "k int, v string")
     expected = sorted([(1, "a", "x"), (1, "a", "y"), (None, "b", "z"), (3, "c", None)], key=repr)
-    for hot in (None, [], [1]):
-        assert values(joins.left_join(left, right, ["k"], hot=hot, slices=3)) == expected
+    for hot in (None, [], [1], [None, 1]):
+        assert values(joins.left_join(left, right, ["k"], hot=hot, spread_by=["v"], slices=3)) == expected
     plain = joins.left_join(left, right, ["k"], null_safe=False)
     assert plain.columns == ["k", "v_x", "v_y"]
     assert (None, "b", None) in values(plain)
@@ -27,19 +27,39 @@ def test_hot_keys_are_found_and_spread(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
     hot = joins.hot_keys(df, "k")
     assert 7 in hot and len(hot) <= 100
-    left, right = joins.salted_pair(df, df.select("k").distinct(), "k", "k", hot, 8)
+    left, right = joins.salted_pair(df, df.select("k").distinct(), "k", "k", hot, 8, ["id"])
     sizes = [r["count"] for r in left.filter("k = 7").groupBy(joins.SALT).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 3 * min(sizes)
     assert right.filter("k = 7").count() == 8
-    joined = joins.left_join(df, df.groupBy("k").agg(F.count("*").alias("n")), ["k"], hot=hot)
+    joined = joins.left_join(df, df.groupBy("k").agg(F.count("*").alias("n")), ["k"], hot=hot, spread_by=["id"])
     assert joined.count() == 3000 and joined.filter("n is null").count() == 0
 
 
 def test_attach_small_and_large_agree(spark):
     left = spark.range(500).select((F.col("id") % 7).alias("k"), "id")
     table = spark.range(6).select(F.col("id").alias("k"), (F.col("id") * 2).alias("d"))
-    assert small_table(table, 3) is None and small_table(table, 6).count() == 6
-    assert values(joins.attach_small(left, table, ["k"])) == values(joins.attach_small(left, table, ["k"], max_rows=3))
+    assert not fits(table, 60) and fits(table) and fits(table.limit(0), 0)
+    assert values(joins.attach_small(left, table, ["k"])) == values(
+        joins.attach_small(left, table, ["k"], max_bytes=60, spread_by=["id"]))
+
+
+def test_null_may_be_a_hot_key(spark):
+    df = spark.range(300).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), "id")
+    hot = joins.hot_keys(df, "k")
+    assert None in hot
+    left, right = joins.salted_pair(df, df.select("k").distinct(), "k", "k", hot, 4, ["id"])
+    assert left.filter("k is null").select(joins.SALT).distinct().count() == 4
+    assert right.filter("k is null").count() == 4
+
+
+def test_spread_join_keeps_pruning_and_pushdown(spark, sf_dir):
+    lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    right = orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    joined = joins.left_join(lines, right, ["l_orderkey"], null_safe=False, hot=[1, None], spread_by=["l_linenumber"])
+    plan = joined.filter("l_tax > 0.04").select("l_orderkey")._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan" in line and "l_tax" in line)
+    assert "GreaterThan(l_tax" in scan and "ReadSchema: struct<l_orderkey:bigint,l_linenumber:" in scan
+    assert "l_comment" not in scan and "l_quantity" not in scan
 
 
 def test_zscores(spark):

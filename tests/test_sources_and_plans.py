@@ -105,7 +105,7 @@ def test_survival_rules(spark):
         [(1, date(2019, 8, 2)), (1, date(2019, 8, 9)), (0, date(2019, 7, 2)), (2, date(2021, 8, 1))],
         "squirrel_id int, census_date date")
     later = spark.createDataFrame([(3, date(2022, 5, 1)), (2, date(2023, 1, 1))], "squirrel_id int, census_date date")
-    out = survival.survival_facts(trials, seen, census, later, hot_ids=[1])
+    out = survival.survival_facts(trials, seen, census, later, hot_ids=[1], order="litter_id")
     got = sorted((r["squirrel_id"], r["made_it"], r["survived_200d"]) for r in out.collect())
     assert got == [(0, 0, True), (1, 1, False), (1, 1, False), (2, 0, False), (3, 1, True), (4, 0, False), (5, 0, False)]
     first = out.filter("squirrel_id = 0").first()

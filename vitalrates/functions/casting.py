@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 
 def to_unsigned(c: Column) -> Column:
-    """Whole number without sign limits of BIGINT; text that is no number becomes NULL."""
-    return c.try_cast("decimal(20,0)")
+    """Unsigned 64-bit whole number as the database casts to it.
+
+    Text gives its leading whole number, so a fraction is dropped and text without one is 0; numbers are rounded.
+    Values are held inside the range of 64 bits, and negative ones count back from 2^64. NULL stays NULL.
+    """
+    wide = "decimal(38,0)"
+    lead = F.regexp_extract(c.cast("string"), r"^\s*([+-]?[0-9]{1,30})", 1)
+    text = F.when(lead == "", F.lit(0)).otherwise(lead.try_cast(wide))
+    whole = F.when(F.typeof(c) == "string", text).otherwise(c.try_cast(wide))
+    held = F.greatest(F.least(whole, F.lit(2**64 - 1).cast(wide)), F.lit(-(2**63)).cast(wide))
+    return F.when(c.isNotNull(), F.when(held < 0, held + F.lit(2**64).cast(wide)).otherwise(held)).cast("decimal(20,0)")
 
 
 def to_tenths(c: Column) -> Column:

@@ -22,7 +22,7 @@ def zscore_within(
     stats = df.groupBy(*groups).agg(*[
         f(F.col(c).cast("double")).alias(f"__{tag}_{c}") for c in columns for tag, f in (("mean", F.avg), ("sd", F.stddev_samp))
     ])
-    joined = attach_small(df, stats, list(groups), hot=hot)
+    joined = attach_small(df, stats, list(groups), hot=hot, spread_by=list(columns))
     return joined.withColumns({
         new: divide(F.col(c).cast("double") - F.col(f"__mean_{c}"), F.nullif(F.col(f"__sd_{c}"), F.lit(0.0)))
         for c, new in columns.items()
@@ -43,7 +43,7 @@ def standardise(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 def group_size(df: DataFrame, key: str, counted: str, name: str, hot: Sequence | None = None) -> DataFrame:
     """Rows with a non-NULL `key` and the number of non-NULL `counted` in their group."""
     sizes = df.groupBy(key).agg(F.count(counted).alias(name)).filter(F.col(key).isNotNull())
-    return left_join(df, sizes, [key], null_safe=False, hot=hot, how="inner")
+    return left_join(df, sizes, [key], null_safe=False, hot=hot, spread_by=[counted], how="inner")
 
 
 def first_value(df: DataFrame, groups: Sequence[str], column: str, order: str) -> DataFrame:
@@ -69,5 +69,5 @@ def keep_first_trials(
         .select(*groups)
         .withColumn("__flagged", F.lit(True))
     )
-    joined = left_join(df, flagged, list(groups), hot=hot)
+    joined = left_join(df, flagged, list(groups), hot=hot, spread_by=[order])
     return joined.filter(F.col("__flagged").isNull() | (F.col("trialnumber") == 1)).drop("__flagged")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitalrates.session import LOOKUP_MAX_ROWS, small_table
+from vitalrates.session import LOOKUP_MAX_BYTES, cut_lineage, fits
 
 Key = str | tuple[str, str]
 
@@ -17,12 +17,12 @@ SALT = "__salt"
 
 
 def hot_keys(df: DataFrame, column: str, share: float = HOT_SHARE) -> list:
-    """Every value of `column` above `share` of the rows, and possibly some colder ones; at most 1 / share values.
+    """Every value of `column` above `share` of the rows, NULL among them, and possibly some colder ones; at most 1 / share.
 
     One pass over one column without a shuffle. The list only steers how rows are spread, never what a join returns.
     """
     items = df.select(column).stat.freqItems([column], share).first()[0] or []
-    return [v for v in items if v is not None]
+    return list(items)
 
 
 def _pairs(keys: Sequence[Key]) -> list[tuple[str, str]]:
@@ -30,18 +30,19 @@ def _pairs(keys: Sequence[Key]) -> list[tuple[str, str]]:
 
 
 def _is_hot(c: Column, hot: Sequence) -> Column:
-    return c.isNull() | F.coalesce(c.isin(list(hot)), F.lit(False)) if hot else c.isNull()
+    known = F.coalesce(c.isin([v for v in hot if v is not None]), F.lit(False))
+    return c.isNull() | known if None in hot else known
 
 
 def salted_pair(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str, hot: Sequence, slices: int
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, hot: Sequence, slices: int, spread_by: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Spread hot and NULL keys of `left` over `slices` and repeat only those keys of `right` once per slice.
+    """Spread hot keys of `left` over `slices` and repeat only those keys of `right` once per slice.
 
-    The slice is a function of the row and its partition number, so a task that is run again makes the same choice,
-    and equal rows still spread when they come from different partitions.
+    The slice is a function of the columns `spread_by` alone: a task that is run again makes the same choice, filters
+    go below it, and the scan reads no further column for it.
     """
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns], F.spark_partition_id()), F.lit(slices))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread_by]), F.lit(slices))
     left = left.withColumn(SALT, F.when(_is_hot(F.col(left_key), hot), spread).otherwise(F.lit(0)).cast("int"))
     copies = F.when(_is_hot(F.col(right_key), hot), F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(
         F.array(F.lit(0))
@@ -51,7 +52,7 @@ def salted_pair(
 
 def join_slices(df: DataFrame) -> int:
     """Slices per hot key, following the parallelism of the session."""
-    return max(2, min(256, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def left_join(
@@ -62,14 +63,15 @@ def left_join(
     null_safe: bool = True,
     suffixes: tuple[str, str] = ("_x", "_y"),
     hot: Sequence | None = None,
+    spread_by: Sequence[str] | None = None,
     slices: int | None = None,
     how: str = "left",
 ) -> DataFrame:
     """Left join (or another left-preserving `how`) keeping the left names of the key columns.
 
     `null_safe` lets NULL meet NULL, as data-frame joins do; without it keys compare as in SQL. Other columns present
-    on both sides get `suffixes`. `hot` lists values of the first key worth spreading (see `hot_keys`); with None the
-    join relies on adaptive skew splitting alone.
+    on both sides get `suffixes`. `hot` lists values of the first key worth spreading (see `hot_keys`) and `spread_by`
+    left columns that tell the rows of such a key apart; without either the join relies on adaptive skew splitting.
     """
     pairs = _pairs(keys)
     value_columns = [c for c in right.columns if c not in {r for _, r in pairs}]
@@ -81,9 +83,10 @@ def left_join(
         *[F.col(r).alias(k) for r, k in renamed.items()],
         *[F.col(c).alias(c + suffixes[1] if c in shared else c) for c in value_columns],
     )
-    salted = hot is not None
+    salted = bool(hot and spread_by)
     if salted:
-        left, right = salted_pair(left, right, pairs[0][0], renamed[pairs[0][1]], hot, slices or join_slices(left))
+        by = [c + suffixes[0] if c in shared else c for c in spread_by]
+        left, right = salted_pair(left, right, pairs[0][0], renamed[pairs[0][1]], hot, slices or join_slices(left), by)
         right = right.withColumnRenamed(SALT, "__copy")
     tests = [
         left[l].eqNullSafe(right[renamed[r]]) if null_safe else left[l] == right[renamed[r]] for l, r in pairs
@@ -100,14 +103,14 @@ def attach_small(
     keys: Sequence[Key],
     *,
     null_safe: bool = True,
-    max_rows: int = LOOKUP_MAX_ROWS,
+    max_bytes: int = LOOKUP_MAX_BYTES,
     hot: Sequence | None = None,
+    spread_by: Sequence[str] | None = None,
     suffixes: tuple[str, str] = ("_x", "_y"),
 ) -> DataFrame:
-    """Left join of a table expected to be small: broadcast after its row count is checked, spread shuffle above it."""
-    local = small_table(table, max_rows)
-    if local is None:
-        first = _pairs(keys)[0][0]
-        hot = hot_keys(left, first) if hot is None else hot
-        return left_join(left, table, keys, null_safe=null_safe, suffixes=suffixes, hot=hot)
-    return left_join(left, F.broadcast(local), keys, null_safe=null_safe, suffixes=suffixes)
+    """Left join of a table expected to be small: stored, measured, then broadcast, or a shuffle above `max_bytes`."""
+    stored = cut_lineage(table)
+    if fits(stored, max_bytes):
+        return left_join(left, F.broadcast(stored), keys, null_safe=null_safe, suffixes=suffixes)
+    hot = hot_keys(left, _pairs(keys)[0][0]) if hot is None and spread_by else hot
+    return left_join(left, stored, keys, null_safe=null_safe, suffixes=suffixes, hot=hot, spread_by=spread_by)

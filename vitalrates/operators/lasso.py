@@ -82,6 +82,8 @@ def coordinate_descent(
             b[j] = np.sign(rho) * np.maximum(np.abs(rho) - limits, 0.0) / gram[j, j]
         if np.abs(b - before).max(initial=0.0) < tolerance * unit:
             break
+    else:
+        raise RuntimeError(f"the coefficients still move after {rounds} rounds")
     slopes = (b / scale[:, None]).T
     return np.column_stack([mean[-1] - slopes @ mean[:-1], slopes])
 
@@ -110,5 +112,5 @@ def tuning_table(products: DataFrame, penalties: Sequence[float]) -> DataFrame:
 
 
 def penalty_scores(tuned: DataFrame) -> DataFrame:
-    """(penalty, rmse): out-of-bag root mean squared error averaged over the replicates."""
-    return tuned.groupBy("penalty").agg(F.avg(F.sqrt(F.col("sse") / F.col("n"))).alias("rmse"))
+    """(penalty, rmse): out-of-bag root mean squared error averaged over the replicates with rows out of the bag."""
+    return tuned.groupBy("penalty").agg(F.avg(F.sqrt(F.try_divide("sse", "n"))).alias("rmse"))

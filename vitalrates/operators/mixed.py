@@ -215,7 +215,9 @@ def _scan(problem: _Problem, state: _State) -> DataFrame:
         scored = scored.withColumns({c: F.lit(0.0) for c in ("off", "ua", "ub")})
     elif shared is None:
         levels = state.levels.withColumnRenamed("a", "__a")
-        scored = left_join(scored, levels, ["__a"], null_safe=False, hot=problem.hot)
+        scored = left_join(
+            scored, levels, ["__a"], null_safe=False, hot=problem.hot, spread_by=scored.columns
+        )
     lines = scored.mapInPandas(score, _schema(width, "kind int, i int, a string, b string, ua double, ub double"))
     return _summed(lines, ["kind", "i", "a"], ["b", "ua", "ub"], width)
 
@@ -362,7 +364,8 @@ class _SparkLevels:
 
         moved = self.outer.mapInPandas(outer, "b string, ub double, db double")
         both = left_join(
-            self.inner, moved.withColumnRenamed("ub", "ub_moved"), ["b"], null_safe=False, hot=problem.hot_outer
+            self.inner, moved.withColumnRenamed("ub", "ub_moved"), ["b"], null_safe=False, hot=problem.hot_outer,
+            spread_by=["a"]
         )
         return both.mapInPandas(inner, "a string, ua double, ub double, off double"), moved
 
@@ -561,6 +564,8 @@ def _search(problem: _Problem, start: _State, tolerance: float, rounds: int, ste
         if moved < 0.03:
             break
         step = min(1.5 * step, 1.0) if moved > step else max(0.5 * moved, 0.05)
+    else:
+        raise RuntimeError(f"the deviations still move after {rounds} rounds")
     return _rescaled(problem, ahead, best.sds)
 
 
@@ -596,6 +601,8 @@ def fit_mixed_logit(
     that optimises them together with the deviations. Factors of at most `small_levels` levels join the dense system;
     with more than `driver_levels` levels the elimination runs on the executors.
     """
+    if sds is not None and set(sds) != set(groups):
+        raise ValueError(f"deviations given for {sorted(sds)}, factors are {sorted(groups)}")
     problem = _prepare(df, y, x, groups, small_levels, min(driver_levels, LOOKUP_MAX_ROWS))
     try:
         begin = tuple((sds or {}).get(g, SDS_START) for g in problem.factors)

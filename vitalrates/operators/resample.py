@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
+from decimal import Decimal, localcontext
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STEPS = 1 << 30
+STEPS = 1 << 52
 
 
 def _steps(keys: Sequence[str], *salt: int) -> Column:
@@ -25,6 +25,19 @@ def train_test_split(
     return df.filter(train), df.filter(~train)
 
 
+def poisson_limits(steps: int) -> list[int]:
+    """Where a draw from [0, steps) reaches weight 1, 2, ... of Poisson(1): every weight that has a step of its own."""
+    with localcontext(prec=60):
+        total = term = Decimal(-1).exp()
+        limits, k = [], 0
+        while (limit := int(total * steps)) < steps - 1 or not limits:
+            limits.append(limit)
+            k += 1
+            term /= k
+            total += term
+    return limits
+
+
 def bootstrap_weights(
     df: DataFrame, keys: Sequence[str], times: int = 25, seed: int = 1, name: str = "weights"
 ) -> DataFrame:
@@ -33,15 +46,11 @@ def bootstrap_weights(
     A weight stands for how often a row is drawn, so replicates need no copies of the rows. Independent Poisson
     weights stand in for drawing exactly as many rows as there are.
     """
-    limits, total, term = [], 0.0, math.exp(-1.0)
-    for k in range(12):
-        total += term
-        limits.append(int(total * STEPS))
-        term /= k + 1
+    limits = poisson_limits(STEPS)
 
     draws = F.transform(
         F.sequence(F.lit(0), F.lit(times - 1)),
         lambda rep: F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed), rep), F.lit(STEPS)),
     )
-    weights = F.transform(draws, lambda u: reduce(lambda a, b: a + b, [(u >= F.lit(x)).cast("int") for x in limits[:10]]))
+    weights = F.transform(draws, lambda u: reduce(lambda a, b: a + b, [(u >= F.lit(x)).cast("int") for x in limits]))
     return df.withColumn(name, weights)

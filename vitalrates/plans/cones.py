@@ -37,7 +37,7 @@ def cone_counts(
 ) -> DataFrame:
     """(year, grid, num_trees, cone_counts, cone_index, mast, exp, exp_label) of the surveyed grids.
 
-    `num_trees` is the sum of the counts. `with_total` adds the mean estimated cones per tree.
+    Grid names are compared and shown in upper case. `num_trees` is the sum of the counts. `with_total` adds the mean estimated cones per tree.
     """
     count = to_unsigned(F.col("numnew"))
     measures = [
@@ -47,8 +47,8 @@ def cone_counts(
     if with_total:
         measures.append(F.avg(total_cones(F.col("numnew"))).alias("total_cones"))
     grouped = (
-        cones.filter(F.col("grid").isin(list(grids)) & (F.col("year") >= first_year))
-        .groupBy(F.col("year").alias("year"), F.col("grid").alias("grid")).agg(*measures)
+        cones.filter(F.upper("grid").isin(list(grids)) & (F.col("year") >= first_year))
+        .groupBy(F.col("year").alias("year"), F.upper("grid").alias("grid")).agg(*measures)
     )
     experiment = F.when(is_fed(F.col("grid"), F.col("year"), feeding), "f").otherwise("c")
     return grouped.withColumns({

@@ -106,6 +106,8 @@ def robust_ellipse(
         shape = (
             r["xx"] / r["w"] - sx * sx, r["xy"] / r["w"] - sx * sy, r["yy"] / r["w"] - sy * sy,
         )
+    else:
+        raise RuntimeError(f"the weights still move after {rounds} rounds")
     return Ellipse(*centre, *covariance, _radius2(n, level))
 
 

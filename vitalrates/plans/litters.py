@@ -56,7 +56,9 @@ def litter_facts(
     pups = juvenile.select(
         "squirrel_id", "litter_id", F.col("weight").alias("n1_weight"), F.col("tagWT").alias("n2_weight")
     )
-    result = left_join(pups, per_litter, ["litter_id"], null_safe=False, hot=hot_litters, how="inner").select(
+    result = left_join(
+        pups, per_litter, ["litter_id"], null_safe=False, hot=hot_litters, spread_by=["squirrel_id"], how="inner"
+    ).select(
         "squirrel_id", "litter_id", "fieldBDate", "litter_size", "n1_date", "n1_weight", "n2_date", "n2_weight",
         "dam_id",
     )

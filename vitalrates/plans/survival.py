@@ -41,18 +41,20 @@ def survival_facts(
     recent: int = RECENT_COHORT,
     dedupe: bool = False,
     hot_ids: Sequence | None = None,
+    order: str = "row_idx",
 ) -> DataFrame:
     """Trials with made_it, age_at_trial, longevity, survived_200d, nest_days and growth.
 
     The census is joined to the last sightings first: a trial without a sighting has no birth year and so cannot be
-    in the census, which makes the order of the two joins free and lets the trials be shuffled once.
+    in the census, which makes the order of the two joins free and lets the trials be shuffled once. `order` tells
+    the trials of one animal apart; hot ids are spread by it.
     An unknown birth year or longevity, and cohorts after the recent one, give survived_200d = FALSE.
     """
     seen = last_seen.select("squirrel_id", "dates", "f1", "byear", "litter_id", "dam_id", "datee", "f2")
     records = autumn_census(census, next_census, recent, dedupe)
-    known = left_join(seen, records, ["squirrel_id", ("byear", "census_year")], hot=hot_ids)
+    known = left_join(seen, records, ["squirrel_id", ("byear", "census_year")])
     joined = left_join(
-        trials, known, ["squirrel_id", "litter_id", "dam_id"], suffixes=("_per", "_fla"), hot=hot_ids
+        trials, known, ["squirrel_id", "litter_id", "dam_id"], suffixes=("_per", "_fla"), hot=hot_ids, spread_by=[order]
     )
     longevity = days_between(F.col("datee"), F.col("fieldBDate"))
     nest_days = days_between(F.col("n2_date"), F.col("fieldBDate")).cast("double")

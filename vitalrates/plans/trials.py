@@ -47,7 +47,7 @@ def clean_trials(
 ) -> DataFrame:
     """Usable trials with litter facts (missing ids meet missing ids) and day-of-year columns."""
     trials = usable_trials(raw, order, repeat_years, hot_ids)
-    joined = left_join(trials, facts, ["squirrel_id"], hot=hot_ids)
+    joined = left_join(trials, facts, ["squirrel_id"], hot=hot_ids, spread_by=[order])
     return joined.withColumns({
         "part": day_of_year(F.col("fieldBDate")),
         "n1_date": day_of_year(F.col("n1_date")),

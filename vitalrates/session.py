@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOOKUP_MAX_ROWS = 100_000
+LOOKUP_MAX_BYTES = 16 << 20
 
 
 def build_session(app: str = "vitalrates", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,16 +49,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_table(df: DataFrame, max_rows: int = LOOKUP_MAX_ROWS) -> DataFrame | None:
-    """`df` as a driver-held table if it has at most `max_rows` rows, else None.
-
-    The limit is pushed under the collect, so a table above the bound costs max_rows + 1 rows on the driver.
-    The result has an exact size, which is what makes broadcasting it safe.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, df.schema)
+def fits(stored: DataFrame, max_bytes: int = LOOKUP_MAX_BYTES) -> bool:
+    """Whether a stored table is at most `max_bytes` long, each row counted as text plus 16 bytes a column."""
+    row = F.octet_length(F.to_json(F.struct(*stored.columns))) + 16 * len(stored.columns)
+    return (stored.agg(F.sum(row.cast("long"))).first()[0] or 0) <= max_bytes
 
 
 def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list:
