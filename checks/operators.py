@@ -96,9 +96,13 @@ def p5(spark, sf):
 
 def p6(spark, sf):
     c = standin(spark, sf, "census")
+    kind = C("squirrel_id") % 7
+    odd = (F.when(kind == 0, F.concat(F.lit("-"), "locy")).when(kind == 1, F.concat(C("locy"), F.lit("abc")))
+           .when(kind == 2, F.lit("9" * 25)).when(kind == 3, F.concat(F.lit("x"), "locy"))
+           .when(kind == 4, F.concat(F.lit("  +"), "locy")).when(kind == 5, F.lit("-" + "9" * 25)))
     return shown(c.select(
         "squirrel_id", "locx", "locy", casting.to_tenths(C("locy")).alias("tenths"),
-        casting.to_unsigned(C("locy")).alias("unsigned"), casting.to_tenths(C("locx")).alias("text_tenths"),
+        casting.to_unsigned(C("locy")).alias("unsigned"), casting.to_unsigned(odd).alias("odd_unsigned"), casting.to_tenths(C("locx")).alias("text_tenths"),
         casting.truncate_to_int(C("locy").cast("double") - 12.75).alias("whole"),
         C("squirrel_id").cast("string").alias("id_text"), (C("sex") == "M").cast("int").alias("male"),
     ))

@@ -19,6 +19,13 @@ def database_decimal(text: str) -> str:
     as decimal(4,1)) end"""
 
 
+def unsigned(text: str) -> str:
+    whole = f"coalesce(try_cast(nullif(regexp_extract({text}, '^\\s*([+-]?[0-9]+)', 1), '') as hugeint), 0)"
+    return f"""case when {text} is null then null
+  when {whole} < 0 then cast(greatest({whole}, -9223372036854775808::hugeint) + 18446744073709551616::hugeint as double)
+  else cast(least({whole}, 18446744073709551615::hugeint) as double) end"""
+
+
 STRICT_LETTERS = "case " + " ".join(
     f"when locx ilike '%{'1' if c == 'I' else c}%' then replace(locx, '{c}', '{i}')"
     for i, c in enumerate(string.ascii_uppercase, start=1)
@@ -143,11 +150,14 @@ from trials""",
   round(ln(NumNew + 1), 4) as cone_index,
   round(1.11568::double * exp(0.1681::double + 1.1891::double * ln(NumNew + 0.01::double)), 4) as total_cones
 from cones""",
-    "P6_casts": ctes("census") + """select squirrel_id, locx, locy,
-  cast(try_cast(locy as decimal(4,1)) as double) as tenths, floor(cast(locy as double)) as unsigned,
+    "P6_casts": ctes("census") + f"""select squirrel_id, locx, locy,
+  cast(try_cast(locy as decimal(4,1)) as double) as tenths, {unsigned('locy')} as unsigned,
+  {unsigned('odd')} as odd_unsigned,
   cast(try_cast(locx as decimal(4,1)) as double) as text_tenths,
   cast(trunc(cast(locy as double) - 12.75) as bigint) as whole, cast(squirrel_id as varchar) as id_text,
-  cast(case when sex = 'M' then 1 else 0 end as bigint) as male from census""",
+  cast(case when sex = 'M' then 1 else 0 end as bigint) as male
+from (select *, case squirrel_id % 7 when 0 then '-' || locy when 1 then locy || 'abc' when 2 then '{'9' * 25}'
+  when 3 then 'x' || locy when 4 then '  +' || locy when 5 then '-{'9' * 25}' end as odd from census)""",
     "P7_case_when": ctes("cones") + """select Grid as grid, cast(Year as bigint) as year, NumNew as numnew,
   cast(case when Year in (1998, 2000) then 1 else 0 end as bigint) as mast,
   case when Grid = 'AG' and Year between 1996 and 1999 then 'f'

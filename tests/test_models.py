@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,7 +9,7 @@ from vitalrates.functions.casting import inverse_logit
 from vitalrates.operators import effects
 from vitalrates.operators.lasso import coordinate_descent, cross_products, penalty_scores, tuning_table
 from vitalrates.operators.mixed import fit_mixed_logit
-from vitalrates.operators.resample import bootstrap_weights
+from vitalrates.operators.resample import bootstrap_weights, poisson_limits
 from vitalrates.operators.residuals import normal_quantile
 from vitalrates.operators.scores import add_scores, first_components
 from vitalrates.plans import birthdate

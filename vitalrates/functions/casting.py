@@ -16,8 +16,10 @@ def to_unsigned(c: Column) -> Column:
     lead = F.regexp_extract(c.cast("string"), r"^\s*([+-]?[0-9]{1,30})", 1)
     text = F.when(lead == "", F.lit(0)).otherwise(lead.try_cast(wide))
     whole = F.when(F.typeof(c) == "string", text).otherwise(c.try_cast(wide))
-    held = F.greatest(F.least(whole, F.lit(2**64 - 1).cast(wide)), F.lit(-(2**63)).cast(wide))
-    return F.when(c.isNotNull(), F.when(held < 0, held + F.lit(2**64).cast(wide)).otherwise(held)).cast("decimal(20,0)")
+    # Whole numbers beyond a signed 64-bit value reach the JVM as text.
+    most, modulus = (F.lit(str(v)).cast(wide) for v in (2**64 - 1, 2**64))
+    held = F.greatest(F.least(whole, most), F.lit(str(-(2**63))).cast(wide))
+    return F.when(c.isNotNull(), F.when(held < 0, held + modulus).otherwise(held)).cast("decimal(20,0)")
 
 
 def to_tenths(c: Column) -> Column:
