@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalrates.llm import (
     decontaminate, exact_dedup, fuzzy_lines, language_id, mixing, ngram_join, personal_data, quality, secrets, token_counts,
+    whitening,
 )
 
 #: Target weights of the mixture: domains, then languages within a domain; sources weigh alike.
@@ -67,9 +68,13 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_secrets, op3_exact_dedup, op4_token_counts, op5_language_id, op6_personal_data, op7_quality,
-    op8_fuzzy_lines, op9_ngram_join, op10_decontamination,
+    op8_fuzzy_lines, op9_ngram_join, op10_decontamination, op11_whitening,
 )}
 
 
