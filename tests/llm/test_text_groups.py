@@ -86,9 +86,10 @@ def test_empty_tables_give_no_rows(spark, empty):
     assert decontaminate.benchmark_matches(items.withColumnRenamed("item_id", "doc_id"), nothing).count() == 0
 
 
-def test_components_of_paths_stars_and_loops(spark):
+@pytest.mark.parametrize("bound", [1_000_000, 20])
+def test_components_of_paths_stars_and_loops(spark, bound):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 180)] + [(500, 500)]
-    found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    found = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long").repartition(3), bound=bound).collect()))
     assert found == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 180)}, 500: 500}
 
 

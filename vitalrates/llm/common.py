@@ -144,22 +144,79 @@ def set_key(values: np.ndarray) -> int:
 
 # --- connected components --------------------------------------------------------------------------------------------
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """`node`, `root` (smallest node reachable) for every node of the edges, by alternating large and small stars.
-
-    Every round is two groupings and two joins over the edges only. A hub's edges are one key of a join, which adaptive
-    execution splits. The edges of a round are checkpointed; when two rounds agree, the work ends; too many rounds
-    raise. Self loops keep their node.
+#: Edges that one task may connect by itself, 16 bytes each.
+TASK_EDGES = 1_000_000
+
+
+def connected(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges and the smallest node it is connected with: hooking onto smaller labels, then jumping."""
+    nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label = further
+    return nodes, nodes[label]
+
+
+def _contracted(whole: bool, bound: int):
+    """Edges of a partition, at most `bound` at a time, as stars; `whole` also lists the centres."""
+
+    def stars(batches):
+        import pyarrow as pa
+
+        held, count = [], 0
+
+        def flush():
+            u, v = (np.concatenate(x) for x in zip(*held))
+            nodes, roots = connected(u, v)
+            show = np.ones(len(nodes), bool) if whole else (nodes != roots) | np.isin(nodes, u[u == v])
+            return pa.RecordBatch.from_arrays([pa.array(nodes[show]), pa.array(roots[show])], names=["u", "v"])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
+            count += batch.num_rows
+            if count >= bound and not whole:
+                yield flush()
+                held, count = [], 0
+        if count:
+            yield flush()
+
+    return stars
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, bound: int = TASK_EDGES) -> DataFrame:
+    """`node`, `root` (smallest node reachable) for every node of the edges; self loops keep their node.
+
+    Each partition first connects its own edges and passes on stars. If at most `bound` edges are left, one task ends the
+    work; else large and small stars alternate, two groupings and two joins a round with the edges checkpointed, until
+    that holds or two rounds agree. A hub's edges are one key of a join, which adaptive execution splits. Too many rounds
+    raise.
     """
-    pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
-    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    now = cut_lineage(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).dropna()
+    stars = "u long, v long"
+    first = now = cut_lineage(pairs.mapInArrow(_contracted(False, bound), stars))
     seen = _print_of(now)
+    if seen[0] > bound:
+        now = cut_lineage(now.where("u <> v").distinct())
     for _ in range(rounds):
+        if seen[0] <= bound:
+            done = cut_lineage(now.coalesce(1).mapInArrow(_contracted(True, bound), stars))
+            if now is first:
+                return done.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            now = done
+            break
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(now.join(least.withColumnRenamed("m", "m"), "u").select("u", F.col("m").alias("v")))
+        large = large.union(now.join(least, "u").select("u", F.col("m").alias("v")))
         large = large.where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -171,6 +228,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         seen = found
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
+    nodes = first.select(F.col("u").alias("node")).union(first.select("v")).distinct()
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitalrates.llm import (
     decontaminate, exact_dedup, fuzzy_lines, language_id, mixing, ngram_join, periodic_runs, personal_data, quality,
-    secrets, token_counts, whitening,
+    secrets, setsketch, token_counts, whitening,
 )
 
 #: Target weights of the mixture: domains, then languages within a domain; sources weigh alike.
@@ -76,10 +76,14 @@ def op12_periodic_runs(spark, sf_dir):
     return periodic_runs.run_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_near_dedup(spark, sf_dir):
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mixing, op2_secrets, op3_exact_dedup, op4_token_counts, op5_language_id, op6_personal_data, op7_quality,
     op8_fuzzy_lines, op9_ngram_join, op10_decontamination, op11_whitening,
-    op12_periodic_runs,
+    op12_periodic_runs, op13_near_dedup,
 )}
 
 
