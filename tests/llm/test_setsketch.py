@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from vitalrates.llm import queries, setsketch
-from vitalrates.llm.common import mix
+from vitalrates.llm.common import connected, mix
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -113,26 +113,38 @@ def test_registered_query_matches_brute_force(spark, sf_dir):
     assert sorted(map(tuple, queries.op13_near_dedup(spark, sf_dir).collect())) == expected(rows)
 
 
-def test_buckets_of_several_components_are_compared(spark, monkeypatch):
-    """With two short bands, buckets mix families; stars alone would lose links."""
+@pytest.mark.parametrize("tile", [1_000, 40])
+def test_buckets_of_several_components_are_compared(spark, tile):
+    """One bucket of everything and no link known yet: the tiles alone find all components, with few rows."""
     rows = families(11, 300)
     own = setsketch.sketched_documents(frame(spark, rows))
     classes = setsketch.classes_of(own)
     nodes = [r.node for r in classes.select("node").collect()]
     buckets = spark.createDataFrame([(0, 0, v) for v in nodes], "band int, bucket long, node long")
     roots = spark.createDataFrame([(v, v) for v in nodes], "node long, root long")
-    pairs = setsketch.apart_pairs(buckets, classes, roots, 80, tile=40).select("a", "b")
-    assert pairs.count() < len(nodes) * (len(nodes) - 1) // 8
-    links = setsketch.verified(pairs, frame(spark, rows), classes, 4, 80)
+    near = setsketch.likely_edges(buckets, classes, roots, 80, tile)
+    links = setsketch.exact_edges(near, frame(spark, rows), classes, roots, 4, 80, tile)
     first = {r.node: r.first for r in classes.select("node", "first").collect()}
-    found = {frozenset((first[r.a], first[r.b])) for r in links.collect()}
-    texts = dict(rows)
-    true = set()
-    for x, y in itertools.combinations(sorted(first.values()), 2):
-        a, b = shingles(texts[x]), shingles(texts[y])
-        if 100 * len(a & b) >= 80 * len(a | b):
-            true.add(frozenset((x, y)))
-    assert found == true and len(true) > 50
+    assert links.count() <= len(nodes) * (1 if tile == 1_000 else 12)
+    found = {r.node: r.root for r in setsketch.components(links).collect()}
+    groups = {}
+    for v in nodes:
+        groups.setdefault(found.get(v, v), []).append(first[v])
+    got = {i: min(own) for own in groups.values() for i in own}
+    want = {i: root for i, _, root, _ in expected(rows)}
+    assert got == {i: want[i] for i in got} and len(set(got.values())) < len(got) - 50
+
+
+def test_overlaps_and_spanning_edges():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50))).astype(np.uint64) for _ in range(30)]
+    got = setsketch.overlaps(sets[:12], sets[12:], columns=7)
+    assert got.tolist() == [[len(set(x) & set(y)) for y in sets[12:]] for x in sets[:12]]
+    a, b = rng.integers(0, 200, 400), rng.integers(0, 200, 400)
+    chosen, label = setsketch.spanning(a, b, np.arange(200))
+    nodes, roots = connected(a, b)
+    assert len(chosen) == len(nodes) - len(set(roots)) and label[nodes].tolist() == roots.tolist()
+    assert dict(zip(*connected(a[chosen], b[chosen]))) == {n: r for n, r in zip(nodes, roots) if n in {*a[chosen], *b[chosen]}}
 
 
 def test_edges(spark):

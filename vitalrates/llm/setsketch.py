@@ -8,13 +8,15 @@ share a register with a probability of about their Jaccard similarity.
 2. Bands of ROWS registers are bucket keys. In every bucket each class meets the bucket's smallest class.
 3. Met classes whose registers, by the likelihood of both sets together, could have the wanted similarity are verified on
    their full sets; confirmed links make components.
-4. In buckets that still hold several components, members outside the largest one meet all members of other components, in
-   tiles of TILE x TILE registers inside a task that passes on only what the likelihood allows: first, for each two
-   components, the most similar pair, then whatever is still apart.
+4. In buckets that still hold several components, members outside the largest one meet the registers of all members, in
+   tiles inside a task. A tile passes on one likely partner in another component for each member that has any, and a
+   spanning forest: rows in proportion to its members, not to their pairs. What hangs together is a cluster.
+5. A cluster's members of different components meet with their full sets, again in tiles: the overlaps of a whole tile are
+   one exact product of 0/1 matrices, and only links that join components leave it.
 
 A similarity of 0.8 misses all bands with a probability of 3e-6 and the likelihood bound with 4e-6. No group is gathered in
-one task but tiles of a bucket, texts of candidates alone are read again, and hot classes are keys of joins that adaptive
-execution splits.
+one task but in tiles, texts of candidates alone are read again, and hot classes are keys of joins that adaptive execution
+splits.
 """
 
 from __future__ import annotations
@@ -196,8 +198,8 @@ def _confirmed(percent: int):
 
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("members_a").to_pylist(), batch.column("members_b").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("members_a", "members_b"))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             mask = pa.array(keep, pa.bool_())
@@ -218,62 +220,38 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perc
 
 # --- buckets of several components -----------------------------------------------------------------------------------
 
-APART = "a long, b long, root_a long, root_b long, estimate double"
-
-
-def _tiles(percent: int):
-    """Per tile, of the pairs of different components that the likelihood allows: nodes, components and estimate."""
-
-    def compared(batches):
-        import pyarrow as pa
-
-        for rows in _tile_rows(batches):
-            sides = []
-            for s in (0, 1):
-                own = rows["side"] == s
-                sides.append({c: v[own] for c, v in rows.items()})
-            x, y = sides
-            if not len(x["node"]) or not len(y["node"]):
-                continue
-            small, large = np.minimum.outer(x["n"], y["n"]), np.maximum.outer(x["n"], y["n"])
-            may = (x["root"][:, None] != y["root"][None, :]) & (100 * small >= percent * large)
-            i, j = np.nonzero(may)
-            for k in range(0, len(i), 100_000):
-                p, q = i[k : k + 100_000], j[k : k + 100_000]
-                plus, minus = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
-                for r in range(REGISTERS):
-                    a, b = x["bands"][p, r], y["bands"][q, r]
-                    plus += a > b
-                    minus += a < b
-                near = (REGISTERS - plus - minus) * 200 >= percent * REGISTERS  # far below: not worth a likelihood
-                p, q, plus, minus = p[near], q[near], plus[near], minus[near]
-                keep, estimate = possible(plus, minus, x["n"][p], y["n"][q], percent)
-                p, q, estimate = p[keep], q[keep], estimate[keep]
-                a, b = x["node"][p], y["node"][q]
-                u, v = x["root"][p], y["root"][q]
-                turn = a > b
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.where(turn, b, a)), pa.array(np.where(turn, a, b)), pa.array(np.where(turn, v, u)),
-                    pa.array(np.where(turn, u, v)), pa.array(estimate),
-                ], names=["a", "b", "root_a", "root_b", "estimate"])
-
-    return compared
-
-
-def _tile_rows(batches) -> Iterator[dict[str, np.ndarray]]:
-    """The rows of one tile after the other; its rows are neighbours, about 2 TILE at most."""
-    names, last, held = ("band", "bucket", "row", "column"), None, []
+def spanning(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the edges (a, b) that join components, at most one less than there are labels, and the new labels."""
+    chosen, at = [], np.arange(len(a))
+    while True:
+        x, y = label[a[at]], label[b[at]]
+        apart = x != y
+        at, high, low = at[apart], np.maximum(x, y)[apart], np.minimum(x, y)[apart]
+        if not len(at):
+            return np.concatenate([np.zeros(0, np.int64), *chosen]), label
+        hooked, first = np.unique(high, return_index=True)  # every larger label hooks onto one smaller label
+        chosen.append(at[first])
+        to = np.arange(len(label))
+        to[hooked] = low[first]
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def _tile_rows(batches, names: tuple[str, ...], read) -> Iterator[dict]:
+    """The rows of one tile after the other, as columns; its rows are neighbours, about 2 TILE at most."""
+    last, held = None, []
 
     def joined():
-        return {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        return {c: np.concatenate([h[c] for h in held]) if isinstance(held[0][c], np.ndarray) else [v for h in held for v in h[c]]
+                for c in held[0]}
 
     for batch in batches:
         if not batch.num_rows:
             continue
         key = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
         cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-        part = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("side", "node", "root", "n")}
-        part["bands"] = _registers(batch.column("bands"))
+        part = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("side", "node", "root")} | read(batch)
         for a, b in zip(cuts, cuts[1:]):
             here = tuple(key[a])
             if held and here != last:
@@ -285,26 +263,141 @@ def _tile_rows(batches) -> Iterator[dict[str, np.ndarray]]:
         yield joined()
 
 
-def apart_pairs(buckets: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
-    """Likely pairs of different components that share a bucket, distinct. `buckets` has band, bucket, node."""
-    placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    counts = placed.groupBy("band", "bucket", "root").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("band", "bucket").agg(
+def _two_sides(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the rows of either side, and the components as small numbers."""
+    _, label = np.unique(rows["root"], return_inverse=True)
+    return np.flatnonzero(rows["side"] == 0), np.flatnonzero(rows["side"] == 1), label
+
+
+def _edges(rows: dict, a: np.ndarray, b: np.ndarray):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(rows["node"][a]), pa.array(rows["node"][b])], names=["a", "b"])
+
+
+def _likely_tiles(percent: int):
+    """Per tile of registers: for every member with a likely partner in another component one such, and a spanning forest."""
+
+    def read(batch):
+        return {"n": batch.column("n").to_numpy(zero_copy_only=False), "bands": _registers(batch.column("bands"))}
+
+    def compared(batches):
+        for rows in _tile_rows(batches, ("band", "bucket", "row", "column"), read):
+            x, y, label = _two_sides(rows)
+            n, bands, told, hanging = rows["n"], rows["bands"], np.zeros(len(label), bool), label
+            for start in range(0, len(x), 100):
+                own = x[start : start + 100]
+                small, large = np.minimum.outer(n[own], n[y]), np.maximum.outer(n[own], n[y])
+                i, j = np.nonzero((label[own][:, None] != label[y][None, :]) & (100 * small >= percent * large))
+                p, q = own[i], y[j]
+                plus, minus = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+                for r in range(REGISTERS):
+                    a, b = bands[p, r], bands[q, r]
+                    plus += a > b
+                    minus += a < b
+                near = np.flatnonzero((REGISTERS - plus - minus) * 200 >= percent * REGISTERS)  # else ten deviations away
+                keep = near[possible(plus[near], minus[near], n[p[near]], n[q[near]], percent)[0]]
+                p, q = p[keep], q[keep]
+                joining, hanging = spanning(p, q, hanging)
+                _, one = np.unique(p, return_index=True)
+                _, two = np.unique(q, return_index=True)
+                new = np.unique(np.concatenate((joining, one[~told[p[one]]], two[~told[q[two]]])))
+                told[p] = told[q] = True
+                yield _edges(rows, p[new], q[new])
+
+    return compared
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4_096) -> np.ndarray:
+    """Exact sizes of the intersections of every set of `x` with every set of `y`, as products of 0/1 matrices."""
+    every = np.concatenate([*x, *y])
+    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    _, member, holders = np.unique(every, return_inverse=True, return_counts=True)
+    shared = holders > 1  # what a single set holds cannot be common
+    number = np.cumsum(shared) - 1
+    use = shared[member]
+    member, owner = number[member[use]], owner[use]
+    order = np.argsort(member, kind="stable")
+    member, owner = member[order], owner[order]
+    out = np.zeros((len(x), len(y)), np.float64)
+    for start in range(0, int(shared.sum()), columns):
+        a, b = np.searchsorted(member, (start, start + columns))
+        matrix = np.zeros((len(x) + len(y), columns), np.float32)
+        matrix[owner[a:b], member[a:b] - start] = 1.0
+        out += matrix[: len(x)] @ matrix[len(x) :].T
+    return out.astype(np.int64)
+
+
+def _exact_tiles(percent: int):
+    """Per tile of full sets: the links that join components."""
+
+    def read(batch):
+        column = batch.column("members")
+        return {"members": [np.frombuffer(column[i].as_buffer(), np.uint64).copy() for i in range(len(column))]}
+
+    def compared(batches):
+        for rows in _tile_rows(batches, ("cluster", "row", "column"), read):
+            x, y, label = _two_sides(rows)
+            if not len(x) or not len(y):
+                continue
+            sizes = np.array([len(m) for m in rows["members"]])
+            common = overlaps([rows["members"][i] for i in x], [rows["members"][j] for j in y])
+            union = sizes[x][:, None] + sizes[y][None, :] - common
+            i, j = np.nonzero((100 * common >= percent * union) & (label[x][:, None] != label[y][None, :]))
+            joining, _ = spanning(x[i], y[j], label)
+            yield _edges(rows, x[i][joining], y[j][joining])
+
+    return compared
+
+
+def tiled(members: DataFrame, group: list[str], tile: int) -> DataFrame:
+    """Members (`group`, node, root) of the groups with several roots, dealt to tiles that bring every member outside its
+    group's largest root together with every other member: plus row, column and side (0, 1)."""
+    counts = members.groupBy(*group, "root").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy(*group).agg(
         F.count("*").alias("roots"), F.sum("n").alias("members"), F.max("n").alias("largest"), F.max_by("root", "n").alias("main"))
     mixed = mixed.where("roots > 1").select(
-        "band", "bucket", "main", F.ceil((F.col("members") - F.col("largest")) / F.lit(tile)).cast("int").alias("rows"),
+        *group, "main", F.ceil((F.col("members") - F.col("largest")) / F.lit(tile)).cast("int").alias("rows"),
         F.ceil(F.col("members") / F.lit(tile)).cast("int").alias("columns"))
-    members = placed.join(mixed, ["band", "bucket"])
+    members = members.select(*group, "node", "root").join(mixed, group)
     slot = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
     every = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
-    keys = ["band", "bucket", "row", "column"]
-    small = members.where("root <> main").select("band", "bucket", "node", "root", slot("rows").alias("row"),
-                                                 F.explode(every("columns")).alias("column"), F.lit(0).alias("side"))
-    large = members.select("band", "bucket", "node", "root", F.explode(every("rows")).alias("row"),
-                           slot("columns").alias("column"), F.lit(1).alias("side"))
-    rows = small.union(large).join(classes.select("node", F.col("n").cast("long").alias("n"), "bands"), "node")
-    tiles = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return tiles.mapInArrow(_tiles(percent), APART).dropDuplicates(["a", "b"])
+    small = members.where("root <> main").select(
+        *group, "node", "root", slot("rows").alias("row"), F.explode(every("columns")).alias("column"), F.lit(0).alias("side"))
+    large = members.select(
+        *group, "node", "root", F.explode(every("rows")).alias("row"), slot("columns").alias("column"), F.lit(1).alias("side"))
+    return small.union(large)
+
+
+def _by_tile(rows: DataFrame, group: list[str]) -> DataFrame:
+    keys = [*group, "row", "column"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def likely_edges(buckets: DataFrame, classes: DataFrame, roots: DataFrame, percent: int, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) that connect whatever has a likely link across components; `buckets` has band, bucket, node."""
+    group = ["band", "bucket"]
+    rows = tiled(with_roots(buckets, roots), group, tile)
+    rows = rows.join(classes.select("node", F.col("n").cast("long").alias("n"), "bands"), "node")
+    return _by_tile(rows, group).mapInArrow(_likely_tiles(percent), "a long, b long").distinct()
+
+
+def exact_edges(
+    near: DataFrame, docs: DataFrame, classes: DataFrame, roots: DataFrame, k: int, percent: int, tile: int = TILE, **columns
+) -> DataFrame:
+    """Links between components among the nodes of the `near` edges, which are compared within what hangs together."""
+    nodes = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    involved = cut_lineage(with_roots(nodes, roots))
+    hanging = near.union(involved.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    cluster = components(hanging).select("node", F.col("root").alias("cluster"))
+    rows = tiled(involved.join(cluster, "node"), ["cluster"], tile)
+    sets = cut_lineage(full_sets(docs, classes, nodes, k, **columns))
+    rows = _by_tile(rows.join(sets, "node"), ["cluster"])
+    return cut_lineage(rows.mapInArrow(_exact_tiles(percent), "a long, b long"))
 
 
 # --- the whole -------------------------------------------------------------------------------------------------------
@@ -319,20 +412,10 @@ def class_roots(docs: DataFrame, classes: DataFrame, k: int = WORDS, percent: in
     links = verified(pairs, docs, classes, k, percent, **columns)
     buckets = shared.select("band", "bucket", "node")
     roots = cut_lineage(components(links))
-    left = cut_lineage(apart_pairs(buckets, classes, roots, percent, tile).join(
-        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if left.isEmpty():
+    near = cut_lineage(likely_edges(buckets, classes, roots, percent, tile))
+    if near.isEmpty():
         return roots
-    ends = F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high")
-    best = left.groupBy(*ends).agg(F.max_by(F.struct("a", "b"), F.struct("estimate", "a", "b")).alias("p")).select("p.a", "p.b")
-    best = cut_lineage(best)
-    links = links.union(verified(best, docs, classes, k, percent, **columns))
-    roots = cut_lineage(components(links))
-    to = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"now_{c}"))
-    rest = left.join(best, ["a", "b"], "left_anti").join(to("a"), "a", "left").join(to("b"), "b", "left")
-    rest = rest.where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b")
-    links = links.union(verified(cut_lineage(rest), docs, classes, k, percent, **columns))
-    return components(links)
+    return components(links.union(exact_edges(near, docs, classes, roots, k, percent, tile, **columns)))
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, tile: int = TILE, **columns) -> DataFrame:
