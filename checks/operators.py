@@ -21,7 +21,7 @@ from vitalrates.plans import analysis, birthdate, cones, density, figures, litte
 from vitalrates.session import cut_lineage, ensure_checkpoint_dir
 from vitalrates.sources import models
 from vitalrates.sources.standins import standin
-from vitalrates.sources.tables import read_table_csv, scan_between, write_stage, write_table_csv
+from vitalrates.sources.tables import query_text, read_table_csv, scan_between, write_table_csv
 
 C = F.col
 
@@ -70,6 +70,29 @@ def s6(spark, sf):
     return both.select("litter_id", C("before").eqNullSafe(C("after")).alias("same"))
 
 
+def s7(spark, sf):
+    """A stored query text over named tables, with a parameter."""
+    path = scratch(spark, "query")
+    text = """select Grid as grid, count(*) as n, sum(NumNew) as total
+from {cones} where NumNew > :least group by Grid
+having count(*) > 1;
+"""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return shown(query_text(spark, path, {"cones": standin(spark, sf, "cones")}, {"least": 10}))
+
+
+def trial_sheet(spark, sf) -> DataFrame:
+    """The trials as read from a sheet of several CSV files, numbered in file order."""
+    sheet = standin(spark, sf, "trials")
+    path = scratch(spark, "sheet")
+    write_table_csv(sheet.repartitionByRange(8, "row_idx").sortWithinPartitions("row_idx"), path)
+    return read_table_csv(spark, path, sheet.schema, row_number="line")
+
+
+def s1_numbered(spark, sf):
+    return shown(trial_sheet(spark, sf).select("row_idx", "line", "observer"))
+
+
 def s8(spark, sf):
     return shown(rows.column_overview(standin(spark, sf, "litter"))).drop("column_type")
 
@@ -199,6 +222,12 @@ def f7(spark, sf):
                                            joins.hot_keys(t, "sq_id")).select("row_idx", "observer", "trialnumber"))
 
 
+def f7_csv(spark, sf):
+    t = trial_sheet(spark, sf)
+    return shown(grouped.keep_first_trials(t, ["sq_id", "year"], (2017, 2018), "ARM", "line",
+                                           joins.hot_keys(t, "sq_id")).select("row_idx", "observer", "trialnumber"))
+
+
 def f8(spark, sf):
     t = rows.clean_names(standin(spark, sf, "pup_trials"))
     return shown(rows.complete_cases(t, ["sq_id", "walk", "hang", "comments"]).select("row_idx"))
@@ -299,6 +328,10 @@ def w3(spark, sf):
     return shown(grouped.first_value(t, ["sq_id", "year"], "observer", "row_idx"))
 
 
+def w3_csv(spark, sf):
+    return shown(grouped.first_value(trial_sheet(spark, sf), ["sq_id", "year"], "observer", "line"))
+
+
 def o1(spark, sf):
     return shown(rows.order_desc(standin(spark, sf, "pup_juvenile"), "litter_id"))
 
@@ -546,16 +579,16 @@ def q11(spark, sf):
 
 OPERATORS: dict[str, Query] = {
     "S1_csv_round_trip": s1, "S2_csv_sink": s2, "S4_range_scan": s4, "S5_second_namespace": s5,
-    "S6_model_reload": s6, "S8_column_overview": s8,
+    "S6_model_reload": s6, "S7_stored_query": s7, "S8_column_overview": s8, "S1_numbered_csv": s1_numbered,
     "P1_select_rename": p1, "P2_clean_names": p2, "P5_computed_columns": p5, "P6_casts": p6, "P7_case_when": p7,
     "P7_P18_survival_flag": p7_flag, "P8_P11_grid_coordinate": p11, "P12_P13_arithmetic": p13, "P14_P16_date_parts": p14,
     "P17_short_dates": p17, "P19_P20_defaults": p19, "P21_factor_levels": p21, "P22_sequence": p22, "P23_logit": p23,
-    "F1_conjunction": f1, "F2_F5_predicates": f2, "F6_region_rules": f6, "F7_repeat_trials": f7,
+    "F1_conjunction": f1, "F2_F5_predicates": f2, "F6_region_rules": f6, "F7_repeat_trials": f7, "F7_repeat_trials_from_csv": f7_csv,
     "F8_complete_cases": f8, "F4_missing_birth_dates": f9,
     "J1_W2_group_size": j1, "J2_left_join": j2, "J3_left_join_present": j3, "J4_null_safe_join": j4,
     "J5_three_key_join": j5, "J6_renamed_keys": j6, "J7_dimension_join": j7,
     "A1_A4_group_totals": a1, "A5_group_rates": a5, "A6_medians": a6, "A3_A7_extremes": a7, "A8_M4_standardise": a8,
-    "W1_group_zscores": w1, "W3_first_value": w3, "O1_order_desc": o1, "O2_best_row": o2, "U1_union_distinct": u1,
+    "W1_group_zscores": w1, "W3_first_value": w3, "W3_first_value_from_csv": w3_csv, "O1_order_desc": o1, "O2_best_row": o2, "U1_union_distinct": u1,
     "U2_bind_rows": u2,
     "M1_split": m1, "M2_bootstrap": m2, "M5_M6_dummies": m5, "M7_lasso": m7, "M9_tuning": m9,
     "M11_holdout": m11, "M12_scoring": m12, "M13_imputation": m13,

@@ -139,6 +139,10 @@ where date1 >= date '1997-01-01' and date1 < date '1999-01-01'""",
     "S5_second_namespace": ctes("pup_census", "pup_census_next", CENSI) + """select squirrel_id,
   cast(census_year as bigint) as census_year, cast(made_it as bigint) as made_it from censi""",
     "S6_model_reload": ctes(*LITTER_ROWS) + "select litter_id, true as same from training",
+    "S7_stored_query": ctes("cones") + """select Grid as grid, count(*) as n, cast(sum(NumNew) as bigint) as total
+from cones where NumNew > 10 group by Grid having count(*) > 1""",
+    "S1_numbered_csv": ctes("trials") + """select row_idx, row_number() over (order by row_idx) - 1 as line, observer
+from trials""",
     "S8_column_overview": ctes("litter") + overview("litter", dict.fromkeys(
         ("id", "grid", "date1", "fieldBDate", "tagDt", "squirrel_id"))),
     "P1_select_rename": ctes("trials") + """select sq_id as squirrel_id, year, observer, round(walk, 6) as walk, row_idx
@@ -333,3 +337,4 @@ from (select avg(oft1) as x, avg(mis1) as y, var_samp(oft1) as xx, var_samp(mis1
     "T4_density_links": recursive(*SCORES) + f"""select grid_density, round(mis1, 4) as mis1,
   cast(made_it as bigint) as made_it, round({LINK}, 4) as link from design""",
 }
+SQL |= {f"{name}_from_csv": SQL[name] for name in ("F7_repeat_trials", "W3_first_value")}

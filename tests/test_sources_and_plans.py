@@ -28,6 +28,50 @@ def test_csv_round_trip(spark, tmp_path):
     assert write_stage(df, str(tmp_path / "p")).count() == 3
 
 
+@pytest.fixture
+def small_splits(spark):
+    keys = {"spark.sql.files.maxPartitionBytes": "1500", "spark.sql.files.openCostInBytes": "100"}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path, small_splits):
+    expected, folder = [], tmp_path / "sheet"
+    folder.mkdir()
+    for k, n in enumerate([1, 400, 0, 7, 950, 30]):
+        lines = [f"{k}-{i},{'x' * (i % 37)}" for i in range(n)]
+        expected += [line.split(",")[0] for line in lines]
+        (folder / f"part-{k}.csv").write_text("\n".join(["k,t", *lines]) + "\n")
+    scan = read_table_csv(spark, str(folder), "k string, t string")
+    assert scan.rdd.getNumPartitions() > 10
+    out = read_table_csv(spark, str(folder), "k string, t string", row_number="line")
+    got = {r["line"]: r["k"] for r in out.collect()}
+    assert [got[i] for i in range(len(expected))] == expected and len(got) == len(expected)
+    some = {r["line"]: r["k"] for r in out.filter("length(t) = 36").select("line", "k").collect()}
+    assert some and all(expected[i] == k for i, k in some.items())
+    with pytest.raises(ValueError):
+        read_table_csv(spark, str(folder), "k string, t string", row_number="k")
+    assert "Exchange hash" not in plan(out) and "Sort " not in plan(out)
+
+
+def test_numbering_notices_changed_files(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_text("k\na\nb\n")
+    out = read_table_csv(spark, str(tmp_path), "k string", row_number="line")
+    path.write_text("k\na\nb\nc\n")
+    with pytest.raises(Exception, match="files changed|does not exist|FILE_NOT_EXIST|modified"):
+        spark.catalog.refreshByPath(str(tmp_path))
+        out.collect()
+    empty = tmp_path / "none"
+    empty.mkdir()
+    (empty / "a.csv").write_text("k\n")
+    assert read_table_csv(spark, str(empty), "k string", row_number="line").count() == 0
+
+
 def test_jdbc_options():
     source = JdbcSource("jdbc:mysql://db/study", properties={"user": "reader", "password": "x"})
     options = source.options(query="select 1 ; ", partition=("id", 0, 100, 8))
@@ -43,6 +87,11 @@ def test_query_text_from_a_file(spark, tmp_path):
     path = tmp_path / "q.sql"
     path.write_text("select count(*) as n from {animals} where id > 2;\n")
     assert query_text(spark, str(path), {"animals": spark.range(5)}).first()["n"] == 2
+    path.write_text("select id from {animals} where id = :wanted")
+    assert [r["id"] for r in query_text(spark, f"file://{path}", {"animals": spark.range(5)}, {"wanted": 4}).collect()] == [4]
+    (tmp_path / "other.sql").write_text("select 1")
+    with pytest.raises(ValueError):
+        query_text(spark, str(tmp_path / "*.sql"), {})
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):
