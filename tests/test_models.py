@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from vitalrates.functions.casting import inverse_logit
 from vitalrates.operators import effects
 from vitalrates.operators.lasso import coordinate_descent, cross_products, penalty_scores, tuning_table
+from vitalrates.operators.laplace import gradient, settle
 from vitalrates.operators.mixed import fit_mixed_logit
+from vitalrates.operators.mixed_system import State, prepare
 from vitalrates.operators.resample import bootstrap_weights, poisson_limits
 from vitalrates.operators.residuals import normal_quantile
 from vitalrates.operators.scores import add_scores, first_components
@@ -60,20 +62,94 @@ def test_mixed_fit_equals_dense_algebra(spark, driver_levels):
     assert [dams[i] for i in sorted(dams)] == pytest.approx([u[6 + i] * 0.7 for i in sorted(dams)], abs=1e-5)
 
 
-def test_search_finds_a_minimum(spark):
-    data = simulated()
+def dense_deviance(data, beta, sds, groups):
+    """Laplace deviance at given fixed effects, the random effects at their mode."""
+    x = data[["one", "x1", "x2"]].to_numpy()
+    z = np.hstack([np.eye(data[g].max() + 1)[data[g]] * s for g, s in zip(groups, sds)])
+    y, u = data["y"].to_numpy(), np.zeros(z.shape[1])
+    for _ in range(30):
+        mu = 1 / (1 + np.exp(-x @ beta - z @ u))
+        hessian = z.T @ (z * (mu * (1 - mu))[:, None]) + np.eye(len(u))
+        step = np.linalg.solve(hessian, z.T @ (y - mu) - u)
+        u = u + step
+        if np.abs(step).max() < 1e-9:
+            break
+    eta = x @ beta + z @ u
+    return -2 * (y @ eta - np.logaddexp(0, eta).sum()) + u @ u + np.linalg.slogdet(hessian)[1]
+
+
+def dense_slope(f, at, h=1e-4):
+    return np.array([(f(at + h * e) - f(at - h * e)) / (2 * h) for e in np.eye(len(at))])
+
+
+@pytest.fixture(scope="module")
+def dense_minimum():
+    """Fixed effects and log deviations at the smallest dense deviance, by quasi-Newton steps with differences."""
+    data, groups = simulated(), ["year", "dam", "litter"]
+    f = lambda v: dense_deviance(data, v[:3], np.exp(v[3:]), groups)
+    at = np.array([-0.4, 0.4, -0.3, -1.0, -0.4, -0.8])
+    inverse, slope = np.diag([0.004, 0.003, 0.003, 0.2, 0.2, 0.2]), dense_slope(f, at)
+    for _ in range(60):
+        step, reach = -inverse @ slope, 1.0
+        while f(at + reach * step) > f(at):
+            reach /= 2
+        new = at + reach * step
+        after = dense_slope(f, new)
+        s, y = new - at, after - slope
+        if s @ y > 1e-12:
+            left = np.eye(6) - np.outer(s, y) / (s @ y)
+            inverse = left @ inverse @ left.T + np.outer(s, s) / (s @ y)
+        at, slope = new, after
+        if slope @ inverse @ slope < 1e-8:
+            return at, f(at)
+    raise AssertionError("no dense minimum")
+
+
+@pytest.mark.parametrize("driver_levels", [10_000, 10])
+def test_search_minimises_the_joint_deviance(spark, dense_minimum, driver_levels):
+    """The same fixed effects and deviations on the driver and on the executors, equal to dense algebra."""
     groups = ["year", "dam", "litter"]
-    fit = fit_mixed_logit(spark.createDataFrame(data), "y", ["one", "x1", "x2"], groups)
-    best = dense_fit(data, fit.sds, groups)[2]
-    assert fit.minus_two_loglik == pytest.approx(best, abs=1e-3)
-    for g in groups:
-        for factor in (0.7, 1.4):
-            assert dense_fit(data, fit.sds | {g: fit.sds[g] * factor}, groups)[2] > best - 0.1
+    fit = fit_mixed_logit(
+        spark.createDataFrame(simulated()), "y", ["one", "x1", "x2"], groups, driver_levels=driver_levels, stop=1e-6)
+    at, least = dense_minimum
+    assert fit.minus_two_loglik == pytest.approx(least, abs=1e-3)
+    assert fit.beta == pytest.approx(at[:3], abs=1e-3)
+    assert [np.log(fit.sds[g]) for g in groups] == pytest.approx(at[3:], abs=1e-2)
     errors = np.sqrt(np.diag(fit.covariance))
     assert all(abs(fit.beta - [-0.5, 0.5, -0.4]) < 3 * errors)
     assert fit.aic == pytest.approx(fit.minus_two_loglik + 12)
 
 
+@pytest.mark.parametrize("groups", [["year", "dam", "litter"], ["year"], ["litter"], ["dam", "litter"]])
+def test_gradient_of_the_deviance(spark, groups):
+    data, beta = simulated(500), np.array([-0.2, 0.3, -0.6])
+    sds = dict(zip(groups, (0.6, 0.9, 0.4)))
+    df = spark.createDataFrame(data)
+    for driver_levels in (10_000, 10):
+        problem = prepare(df, "y", ["one", "x1", "x2"], groups, 64, driver_levels)
+        start = np.concatenate([beta, np.zeros(problem.size - 3)])
+        seen, _ = settle(problem, State(tuple(sds[g] for g in problem.factors), start), 1e-10, hold=True)
+        fixed, random = gradient(problem, seen)
+        problem.stored.unpersist()
+        f = lambda v: dense_deviance(data, v[:3], np.exp(v[3:]), problem.factors)
+        at = np.concatenate([beta, np.log([sds[g] for g in problem.factors])])
+        assert seen.objective == pytest.approx(f(at), abs=1e-6)
+        assert np.concatenate([fixed, random]) == pytest.approx(dense_slope(f, at), abs=1e-4)
+
+
+@pytest.mark.parametrize("driver_levels", [10_000, 10])
+def test_gradient_along_the_joint_mode(spark, driver_levels):
+    data, groups = simulated(500), ["year", "dam", "litter"]
+    problem = prepare(spark.createDataFrame(data), "y", ["one", "x1", "x2"], groups, 64, driver_levels)
+    logs = np.log([0.6, 0.9, 0.4])
+    sds = dict(zip(groups, np.exp(logs)))
+    seen, _ = settle(problem, State(tuple(sds[g] for g in problem.factors), np.zeros(problem.size)), 1e-10)
+    found = dict(zip(problem.factors, gradient(problem, seen, joint=True)[1]))
+    problem.stored.unpersist()
+    slope = dense_slope(lambda v: dense_fit(data, dict(zip(groups, np.exp(v))), groups)[2], logs)
+    assert [found[g] for g in groups] == pytest.approx(slope, abs=1e-4)
+
+
 def test_no_groups_is_a_plain_logit(spark):
     data = simulated(400)
     df = spark.createDataFrame(data)

@@ -1,37 +1,18 @@
-"""Logistic regression with crossed and nested random intercepts, fitted by aggregates over the rows.
-
-Every Newton step is one scan: rows are scored in Arrow batches, each task adds up its own weighted products, and the
-shuffle carries one line per group level. Factors with few levels, such as the year, are solved together with the
-fixed effects in one small dense system. Up to two factors may have any number of levels, as long as each level of
-the first (inner) belongs to one level of the second (outer), as a litter has one dam: eliminating the inner and then
-the outer levels leaves the small system, exactly, with nothing but group-wise sums.
-
-The level lines are eliminated by the functions `_inner_sums`, `_outer_sums`, `_move_outer` and `_move_inner`. Up to
-`LOOKUP_MAX_ROWS` levels they run on the driver; above it they run on the executors, over lines kept in the shared
-checkpoint folder.
-"""
+"""Logistic regression with nested random intercepts, fitted by aggregates over the rows."""
 
 from __future__ import annotations
 
-import math
-import sys
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalrates.operators.joins import hot_keys, left_join
-from vitalrates.session import LOOKUP_MAX_ROWS, bounded_rows, cut_lineage
-
-# Tasks carry the functions of this module, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-SMALL_LEVELS = 64
-SDS_START, SDS_FLOOR, SDS_CEILING = 0.5, 1e-3, 20.0
+from vitalrates.operators.laplace import SDS_START, least_deviance, settle
+from vitalrates.operators.mixed_system import SMALL_LEVELS, Problem, State, prepare
+from vitalrates.session import LOOKUP_MAX_ROWS
 
 
 @dataclass
@@ -53,535 +34,6 @@ class MixedFit:
         return self.minus_two_loglik + 2 * (len(self.beta) + len(self.sds))
 
 
-@dataclass
-class _State:
-    """Where a Newton search stands: dense coefficients, level offsets, and the deviations they belong to."""
-
-    sds: tuple[float, ...]
-    dense: np.ndarray
-    levels: DataFrame | pd.DataFrame | None = None
-    objective: float = math.inf
-    decrement: float = math.inf
-    schur: np.ndarray | None = None
-    outer: DataFrame | pd.DataFrame | None = None
-    lines: pd.DataFrame | None = None
-
-
-@dataclass
-class _Problem:
-    rows: DataFrame
-    x: list[str]
-    small: list[str]
-    small_levels: dict[str, list[str]]
-    nested: list[str]
-    counts: dict[str, int]
-    n: int
-    hot: list
-    hot_outer: list
-    driver_levels: bool
-    passes: int = 0
-    broadcasts: list[Broadcast] = field(default_factory=list)
-
-    @property
-    def factors(self) -> list[str]:
-        return [*self.small, *self.nested]
-
-    def release(self) -> None:
-        """Give back the level tables sent out for the scan that is done."""
-        while self.broadcasts:
-            self.broadcasts.pop().destroy()
-
-    @property
-    def size(self) -> int:
-        return len(self.x) + sum(len(v) for v in self.small_levels.values())
-
-
-def _prepare(
-    df: DataFrame, y: str, x: Sequence[str], groups: Sequence[str], small_levels: int, driver_levels: int
-) -> _Problem:
-    """Sort the factors into small and large ones, check nesting, and keep only what a scan needs."""
-    counts = df.agg(
-        F.count("*").alias("__n"), *[F.countDistinct(g).alias(g) for g in groups]
-    ).first().asDict() if groups else {"__n": df.count()}
-    small = [g for g in groups if counts[g] <= small_levels]
-    large = sorted((g for g in groups if g not in small), key=lambda g: -counts[g])
-    if len(large) > 2:
-        raise ValueError(f"at most two factors may have more than {small_levels} levels, got {large}")
-    if len(large) == 2:
-        spread = df.groupBy(large[0]).agg((F.min(large[1]) != F.max(large[1])).alias("bad")).filter("bad").limit(1)
-        if spread.count():
-            raise ValueError(f"a level of {large[0]} lies in several levels of {large[1]}")
-    levels: dict[str, list[str]] = {}
-    codes, start = [], len(x)
-    for g in small:
-        found = bounded_rows(df.select(F.col(g).cast("string").alias("v")).distinct(), small_levels, g)
-        levels[g] = sorted(r["v"] for r in found)
-        code = F.array_position(F.array(*[F.lit(v) for v in levels[g]]), F.col(g).cast("string"))
-        codes.append((code + (start - 1)).cast("int").alias(f"__code_{g}"))
-        start += len(levels[g])
-    inner = F.col(large[0]).cast("string") if large else F.lit("")
-    outer = F.col(large[1]).cast("string") if len(large) == 2 else F.lit("")
-    rows = df.select(
-        F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in x], *codes,
-        inner.alias("__a"), outer.alias("__b"),
-    ).persist()
-    hot = hot_keys(rows, "__a") if large else []
-    hot_outer = hot_keys(rows, "__b") if len(large) == 2 else []
-    on_driver = all(counts[g] <= driver_levels for g in large)
-    return _Problem(
-        rows, list(x), small, levels, large, {g: counts[g] for g in groups}, counts["__n"], hot, hot_outer, on_driver
-    )
-
-
-def _values(count: int) -> list[str]:
-    return [f"v{j}" for j in range(count)]
-
-
-def _schema(count: int, head: str) -> str:
-    return head + ", " + ", ".join(f"{v} double" for v in _values(count))
-
-
-def _summed(df: DataFrame, keys: Sequence[str], carried: Sequence[str], count: int) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        *[F.max(c).alias(c) for c in carried], *[F.sum(v).alias(v) for v in _values(count)]
-    )
-
-
-def _block_lines(block: np.ndarray, **columns) -> pd.DataFrame:
-    out = pd.DataFrame(block, columns=_values(block.shape[1]))
-    return out.assign(i=np.arange(len(block)), **columns)
-
-
-def _by_level(keys: pd.Series, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row sums per key, and the position of the first row of each key."""
-    code, levels = pd.factorize(keys, use_na_sentinel=False)
-    if not len(code):
-        return np.zeros((0, sums.shape[1])), code
-    order = np.argsort(code, kind="stable")
-    starts = np.searchsorted(code[order], np.arange(len(levels)))
-    return np.add.reduceat(sums[order], starts, axis=0), order[starts]
-
-
-def _scan(problem: _Problem, state: _State) -> DataFrame:
-    """Weighted products at the current coefficients: one line per inner level (kind 1) and per dense row (kind 0).
-
-    A level line holds the weight, the residual and the weighted dense columns; a dense row its products, its
-    gradient and, in the first row, the log-likelihood.
-    """
-    p, size, x = len(problem.x), problem.size, problem.x
-    codes = [f"__code_{g}" for g in problem.small]
-    scale = {f"__code_{g}": sd for g, sd in zip(problem.small, state.sds)}
-    dense, width = state.dense.copy(), size + 2
-    columns = ["kind", "i", "a", "b", "ua", "ub", *_values(width)]
-    shared = None
-    if isinstance(state.levels, pd.DataFrame):
-        shared = problem.rows.sparkSession.sparkContext.broadcast(state.levels.set_index("a")[["ua", "ub", "off"]])
-        problem.broadcasts.append(shared)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = np.zeros((size, width))
-        for pdf in batches:
-            n = len(pdf)
-            if not n:
-                continue
-            if shared is None:
-                ua, ub, off = (pdf[c].to_numpy(float) for c in ("ua", "ub", "off"))
-            else:
-                at = shared.value.index.get_indexer(pdf["__a"])
-                ua, ub, off = shared.value.to_numpy()[at].T
-            s = np.zeros((n, size))
-            s[:, :p] = pdf[x].to_numpy(float)
-            for c in codes:
-                s[np.arange(n), pdf[c].to_numpy()] = scale[c]
-            y = pdf["__y"].to_numpy(float)
-            eta = s @ dense + off
-            mu = 1.0 / (1.0 + np.exp(-eta))
-            w, r = mu * (1.0 - mu), y - mu
-            weighted = s * w[:, None]
-            block[:, :size] += s.T @ weighted
-            block[:, size] += s.T @ r
-            block[0, size + 1] += y @ eta - np.logaddexp(0.0, eta).sum()
-            if nested:
-                sums, first = _by_level(pdf["__a"], np.column_stack([w, r, weighted]))
-                yield pd.DataFrame(sums, columns=_values(width)).assign(
-                    kind=1, i=0, a=pdf["__a"].to_numpy()[first], b=pdf["__b"].to_numpy()[first], ua=ua[first],
-                    ub=ub[first],
-                )[columns]
-        yield _block_lines(block, kind=0, a=None, b=None, ua=0.0, ub=0.0)[columns]
-
-    nested = bool(problem.nested)
-    scored = problem.rows
-    if state.levels is None:
-        scored = scored.withColumns({c: F.lit(0.0) for c in ("off", "ua", "ub")})
-    elif shared is None:
-        levels = state.levels.withColumnRenamed("a", "__a")
-        scored = left_join(
-            scored, levels, ["__a"], null_safe=False, hot=problem.hot, spread_by=scored.columns
-        )
-    lines = scored.mapInPandas(score, _schema(width, "kind int, i int, a string, b string, ua double, ub double"))
-    return _summed(lines, ["kind", "i", "a"], ["b", "ua", "ub"], width)
-
-
-@dataclass(frozen=True)
-class _Elimination:
-    """Removes level lines from the dense system. `size` dense columns; deviations of the inner and outer factor."""
-
-    size: int
-    sd_a: float
-    sd_b: float
-
-    @property
-    def width(self) -> int:
-        return max(self.size + 1, 4)
-
-    def inner_parts(self, lines: pd.DataFrame) -> tuple:
-        """Pivot, gradient, coupling to the outer level and couplings to the dense columns of each inner line."""
-        v = lines[_values(self.size + 2)].to_numpy(float)
-        w, r, s = v[:, 0], v[:, 1], v[:, 2:]
-        h = self.sd_a**2 * w + 1.0
-        g = self.sd_a * r - lines["ua"].to_numpy(float)
-        return h, g, self.sd_a * self.sd_b * w, self.sd_a * s, w, r, s
-
-    def outer_parts(self, lines: pd.DataFrame) -> tuple:
-        """The same for outer lines, once their inner levels are gone."""
-        size = self.size
-        v = lines[_values(2 * size + 4)].to_numpy(float)
-        h = self.sd_b**2 * v[:, 0] + 1.0 - v[:, 2]
-        g = self.sd_b * v[:, 1] - lines["ub"].to_numpy(float) - v[:, 3]
-        return h, g, self.sd_b * v[:, 4:4 + size] - v[:, 4 + size:4 + 2 * size]
-
-    def removed(self, h: np.ndarray, g: np.ndarray, k: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """What the lines take from the dense system, then log-determinant, squared effects and decrement."""
-        block = np.zeros((self.size + 1, self.width))
-        scaled = k / h[:, None]
-        block[:self.size, :self.size] = k.T @ scaled
-        block[:self.size, self.size] = scaled.T @ g
-        block[self.size, :3] = np.log(h).sum(), (u * u).sum(), (g * g / h).sum()
-        return block
-
-    def dense_rows(self, lines: pd.DataFrame) -> np.ndarray:
-        """Dense rows of a scan, negated, so that they add up with what is removed from them."""
-        block = np.zeros((self.size + 1, self.width))
-        v = lines[_values(self.size + 2)].to_numpy(float)
-        np.subtract.at(block, lines["i"].to_numpy(int), np.pad(
-            v[:, :self.size + 1], ((0, 0), (0, self.width - self.size - 1))
-        ))
-        block[self.size, 3] = v[:, self.size + 1].sum()
-        return block
-
-    def inner_sums(self, lines: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
-        """Lines per outer level, and the block, of scan lines of both kinds."""
-        block = self.dense_rows(lines[lines["kind"] == 0])
-        lines = lines[lines["kind"] == 1]
-        h, g, c, k, w, r, s = self.inner_parts(lines)
-        block += self.removed(h, g, k, lines["ua"].to_numpy(float))
-        ratio = c / h
-        sums, first = _by_level(lines["b"], np.column_stack([w, r, c * ratio, g * ratio, s, k * ratio[:, None]]))
-        outer = pd.DataFrame(sums, columns=_values(sums.shape[1])).assign(
-            kind=1, i=0, b=lines["b"].to_numpy()[first], ub=lines["ub"].to_numpy(float)[first]
-        )
-        return outer, block
-
-    def outer_block(self, outer: pd.DataFrame) -> np.ndarray:
-        h, g, m = self.outer_parts(outer)
-        return self.removed(h, g, m, outer["ub"].to_numpy(float))
-
-    def move_outer(self, outer: pd.DataFrame, step: np.ndarray) -> pd.DataFrame:
-        """(b, ub, db): outer effects after the step, and the move itself."""
-        h, g, m = self.outer_parts(outer)
-        move = (g - m @ step) / h
-        return pd.DataFrame({"b": outer["b"], "ub": outer["ub"].to_numpy(float) + move, "db": move})
-
-    def move_inner(self, lines: pd.DataFrame, ub: np.ndarray, db: np.ndarray, step: np.ndarray) -> pd.DataFrame:
-        """(a, ua, ub, off): inner effects after the step and the offset both factors give."""
-        h, g, c, k, *_ = self.inner_parts(lines)
-        ua = lines["ua"].to_numpy(float) + (g - c * db - k @ step) / h
-        return pd.DataFrame({"a": lines["a"], "ua": ua, "ub": ub, "off": self.sd_a * ua + self.sd_b * ub})
-
-
-class _DriverLevels:
-    """Elimination with the level lines, at most LOOKUP_MAX_ROWS of them, held on the driver."""
-
-    def __init__(self, scanned: DataFrame, rule: _Elimination, bound: int):
-        self.rule = rule
-        self.lines = lines = scanned.limit(bound + 1).toArrow().to_pandas()
-        if len(lines) > bound:
-            raise ValueError("more levels than counted")
-        self.inner = lines[lines["kind"] == 1].reset_index(drop=True)
-        self.outer, self.block = rule.inner_sums(lines)
-        self.block += rule.outer_block(self.outer)
-
-    def move(self, step: np.ndarray) -> tuple:
-        moved = self.rule.move_outer(self.outer, step)
-        at = pd.Index(moved["b"]).get_indexer(self.inner["b"])
-        ub, db = (moved[c].to_numpy()[at] for c in ("ub", "db"))
-        return self.rule.move_inner(self.inner, ub, db, step), moved
-
-
-class _SparkLevels:
-    """The same elimination with the level lines spread over the executors and kept in the checkpoint folder."""
-
-    def __init__(self, scanned: DataFrame, rule: _Elimination, problem: _Problem):
-        self.rule, self.problem = rule, problem
-        lines = cut_lineage(scanned)
-        self.inner = lines.filter("kind = 1")
-        count = max(2 * rule.size + 4, rule.width)
-
-        def inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            columns = ["kind", "i", "b", "ub", *_values(count)]
-            total = np.zeros((rule.size + 1, rule.width))
-            for pdf in batches:
-                outer, block = rule.inner_sums(pdf)
-                total += block
-                yield outer.reindex(columns=columns, fill_value=0.0)
-            yield _block_lines(total, kind=0, b=None, ub=0.0).reindex(columns=columns, fill_value=0.0)
-
-        def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((rule.size + 1, rule.width))
-            for pdf in batches:
-                total += rule.outer_block(pdf[pdf["kind"] == 1])
-                rows = pdf[pdf["kind"] == 0]
-                np.add.at(total, rows["i"].to_numpy(int), rows[_values(rule.width)].to_numpy(float))
-            yield _block_lines(total)[["i", *_values(rule.width)]]
-
-        parts = lines.mapInPandas(inner, _schema(count, "kind int, i int, b string, ub double"))
-        sums = _summed(parts, ["kind", "i", "b"], ["ub"], count)
-        self.outer = sums.filter("kind = 1")
-        totals = _summed(sums.mapInPandas(outer, _schema(rule.width, "i int")), ["i"], [], rule.width)
-        rows = sorted(bounded_rows(totals, rule.size + 1, "dense system"), key=lambda r: r["i"])
-        self.block = np.array([[r[v] for v in _values(rule.width)] for r in rows])
-
-    def move(self, step: np.ndarray) -> tuple:
-        rule, problem = self.rule, self.problem
-
-        def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield rule.move_outer(pdf, step)
-
-        def inner(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield rule.move_inner(pdf, pdf["ub_moved"].to_numpy(float), pdf["db"].to_numpy(float), step)
-
-        moved = self.outer.mapInPandas(outer, "b string, ub double, db double")
-        both = left_join(
-            self.inner, moved.withColumnRenamed("ub", "ub_moved"), ["b"], null_safe=False, hot=problem.hot_outer,
-            spread_by=["a"]
-        )
-        return both.mapInPandas(inner, "a string, ua double, ub double, off double"), moved
-
-
-def _rule(problem: _Problem, sds: Sequence[float]) -> _Elimination:
-    chosen = dict(zip(problem.factors, sds))
-    sd_a, sd_b = ([chosen[g] for g in problem.nested] + [0.0, 0.0])[:2]
-    return _Elimination(problem.size, sd_a, sd_b)
-
-
-def _solved(problem: _Problem, dense: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Dense system, Newton step, decrement and Laplace deviance that follow from an eliminated block."""
-    p, size = len(problem.x), problem.size
-    penalty = np.zeros(size)
-    penalty[p:] = 1.0
-    schur = np.diag(penalty) - block[:size, :size]
-    gradient = -penalty * dense - block[:size, size]
-    logdet, squares, decrement, loglik = block[size, :4]
-    step = np.linalg.solve(schur, gradient)
-    decrement = float(gradient @ step + decrement)
-    small_logdet = np.linalg.slogdet(schur[p:, p:])[1] if size > p else 0.0
-    squares += float(dense[p:] @ dense[p:])
-    # The decrement is what the next step takes off the deviance.
-    return schur, step, decrement, float(-2.0 * loglik + squares + logdet + small_logdet - decrement)
-
-
-def _newton(problem: _Problem, state: _State) -> _State:
-    """One scan at `state`: fills in its objective and returns the next state."""
-    problem.passes += 1
-    rule = _rule(problem, state.sds)
-    scanned = _scan(problem, state)
-    if problem.driver_levels:
-        lines = _DriverLevels(scanned, rule, LOOKUP_MAX_ROWS + problem.size)
-        state.lines = lines.lines
-    else:
-        lines = _SparkLevels(scanned, rule, problem)
-    problem.release()
-    state.schur, step, state.decrement, state.objective = _solved(problem, state.dense, lines.block)
-    levels = outer = None
-    if problem.nested:
-        levels, outer = lines.move(step)
-    return _State(state.sds, state.dense + step, levels, outer=outer)
-
-
-def _ratios(problem: _Problem, old: Sequence[float], new: Sequence[float]) -> np.ndarray:
-    """New over old deviation for every dense column; 1 for the fixed effects."""
-    out = [np.ones(len(problem.x))]
-    for g, a, b in zip(problem.small, old, new):
-        out.append(np.full(len(problem.small_levels[g]), b / a))
-    return np.concatenate(out)
-
-
-def _objective_near(problem: _Problem, state: _State, sds: Sequence[float]) -> float:
-    """Laplace deviance at other deviations from the scan made at `state`, without another scan.
-
-    Effects on the scale of the outcome stay, so the scanned products only change scale; the working weights are
-    those of the scan.
-    """
-    size, ratios = problem.size, _ratios(problem, state.sds, sds)
-    old, new = dict(zip(problem.factors, state.sds)), dict(zip(problem.factors, sds))
-    first, second = ([old[g] / new[g] for g in problem.nested] + [1.0, 1.0])[:2]
-    lines = state.lines.copy()
-    levels = lines["kind"].to_numpy() == 1
-    values = lines[_values(size + 2)].to_numpy(float)
-    values[levels, 2:] *= ratios
-    rows = np.flatnonzero(~levels)
-    own = ratios[lines["i"].to_numpy()[rows]]
-    values[rows, :size] *= ratios * own[:, None]
-    values[rows, size] *= own
-    lines[_values(size + 2)] = values
-    lines["ua"] *= first
-    lines["ub"] *= second
-    rule = _rule(problem, sds)
-    outer, block = rule.inner_sums(lines)
-    return _solved(problem, state.dense / ratios, block + rule.outer_block(outer))[3]
-
-
-def _rescaled(problem: _Problem, state: _State, sds: tuple[float, ...]) -> _State:
-    """The same random effects under other deviations, as a start for the next search."""
-    p = len(problem.x)
-    old, new = dict(zip(problem.factors, state.sds)), dict(zip(problem.factors, sds))
-    dense, at = state.dense.copy(), p
-    for g in problem.small:
-        dense[at:at + len(problem.small_levels[g])] *= old[g] / new[g]
-        at += len(problem.small_levels[g])
-    levels = state.levels
-    if levels is not None:
-        first, second = ([old[g] / new[g] for g in problem.nested] + [1.0])[:2]
-        if isinstance(levels, pd.DataFrame):
-            levels = levels.assign(ua=levels["ua"] * first, ub=levels["ub"] * second)
-        else:
-            levels = levels.withColumns({"ua": F.col("ua") * first, "ub": F.col("ub") * second})
-    return _State(tuple(sds), dense, levels)
-
-
-def _settle(problem: _Problem, state: _State, tolerance: float, limit: int = 40) -> tuple[_State, _State]:
-    """Newton steps until the decrement is small; returns the last scanned state and the one after it."""
-    for _ in range(limit):
-        following = _newton(problem, state)
-        if not math.isfinite(state.objective):
-            raise ArithmeticError("the logistic fit diverged")
-        if state.decrement < tolerance:
-            return state, following
-        state = following
-    raise ArithmeticError(f"no convergence in {limit} Newton steps")
-
-
-LOW, HIGH = math.log(SDS_FLOOR), math.log(SDS_CEILING)
-
-
-def _downhill(objective, start: Sequence[float], step: float = 0.4, stop: float = 0.01) -> list[float]:
-    """Minimum of a cheap function of the log deviations by moves along the axes with shrinking steps."""
-    best, value = list(start), objective(start)
-    while step >= stop:
-        better = False
-        for f in range(len(best)):
-            for move in (step, -step):
-                tried = list(best)
-                tried[f] = min(max(tried[f] + move, LOW), HIGH)
-                found = objective(tried)
-                if found < value - 1e-9:
-                    best, value, better = tried, found, True
-                    break
-        if not better:
-            step /= 2
-    return best
-
-
-def _search_near(problem: _Problem, start: _State, tolerance: float, rounds: int = 8) -> _State:
-    """A start at the deviations with the smallest Laplace deviance, mostly from scans already made.
-
-    Each round minimises the deviance seen from the last scan and scans again at the result. Once that settles, one
-    scan per factor measures how the working weights, which a scan holds fixed, change the deviance along that
-    factor, and the rounds go on with this slope added.
-    """
-
-    def settled(ahead: _State, logs: Sequence[float]) -> tuple[_State, _State]:
-        return _settle(problem, _rescaled(problem, ahead, tuple(math.exp(v) for v in logs)), tolerance)
-
-    def near(seen: _State, logs: Sequence[float]) -> float:
-        return _objective_near(problem, seen, [math.exp(v) for v in logs])
-
-    seen, ahead = _settle(problem, start, tolerance)
-    best = seen, ahead
-    slope = np.zeros(len(problem.factors))
-    corrected = False
-    for _ in range(rounds):
-        here = [math.log(v) for v in seen.sds]
-        target = _downhill(lambda logs: near(seen, logs) + float(slope @ np.subtract(logs, here)), here)
-        moved = float(np.abs(np.subtract(target, here)).max())
-        if moved >= 0.02:
-            seen, ahead = settled(ahead, target)
-            if seen.objective < best[0].objective:
-                best = seen, ahead
-        if moved < 0.05:
-            if corrected:
-                break
-            corrected = True
-            here = [math.log(v) for v in seen.sds]
-            for f in range(len(here)):
-                logs = list(here)
-                logs[f] = min(logs[f] + 0.3, HIGH)
-                there, _ = settled(ahead, logs)
-                slope[f] = (there.objective - near(seen, logs)) / 0.3
-    return _rescaled(problem, best[1], best[0].sds)
-
-
-def _search(problem: _Problem, start: _State, tolerance: float, rounds: int, step: float = 0.7) -> _State:
-    """A start at the deviations with the smallest Laplace deviance: repeated quadratic fits along each log deviation."""
-    best, ahead = _settle(problem, start, tolerance)
-    low, high = math.log(SDS_FLOOR), math.log(SDS_CEILING)
-
-    def at(logs: Sequence[float]) -> tuple[_State, _State]:
-        return _settle(problem, _rescaled(problem, ahead, tuple(math.exp(v) for v in logs)), tolerance)
-
-    for _ in range(rounds):
-        moved = 0.0
-        for f in range(len(problem.factors)):
-            centre = [math.log(v) for v in best.sds]
-            tried = {0.0: best.objective}
-            for d in (step, -step):
-                logs = list(centre)
-                logs[f] = min(max(centre[f] + d, low), high)
-                found, following = at(logs)
-                tried[logs[f] - centre[f]] = found.objective
-                if found.objective < best.objective:
-                    best, ahead = found, following
-            target = _lowest(tried, 2 * step)
-            logs = list(centre)
-            logs[f] = min(max(centre[f] + target, low), high)
-            if all(abs(logs[f] - centre[f] - d) > 0.02 for d in tried):
-                found, following = at(logs)
-                if found.objective < best.objective:
-                    best, ahead = found, following
-            moved = max(moved, abs(math.log(best.sds[f]) - centre[f]))
-        if moved < 0.03:
-            break
-        step = min(1.5 * step, 1.0) if moved > step else max(0.5 * moved, 0.05)
-    else:
-        raise RuntimeError(f"the deviations still move after {rounds} rounds")
-    return _rescaled(problem, ahead, best.sds)
-
-
-def _lowest(tried: dict[float, float], reach: float) -> float:
-    """Minimum of the parabola through three points, or the lower end when it has none in reach."""
-    points = sorted(tried.items())
-    if len(points) == 3:
-        (x0, y0), (x1, y1), (x2, y2) = points
-        upper = y0 * (x1 * x1 - x2 * x2) + y1 * (x2 * x2 - x0 * x0) + y2 * (x0 * x0 - x1 * x1)
-        lower = y0 * (x1 - x2) + y1 * (x2 - x0) + y2 * (x0 - x1)
-        a = ((y2 - y1) / (x2 - x1) - (y1 - y0) / (x1 - x0)) / (x2 - x0)
-        if a > 0 and lower:
-            return max(-reach, min(reach, upper / (2 * lower)))
-    return min(tried, key=tried.get)
-
-
 def fit_mixed_logit(
     df: DataFrame,
     y: str,
@@ -589,42 +41,37 @@ def fit_mixed_logit(
     groups: Sequence[str] = (),
     sds: dict[str, float] | None = None,
     tolerance: float = 1e-6,
-    search_tolerance: float = 0.1,
-    rounds: int = 12,
     small_levels: int = SMALL_LEVELS,
     driver_levels: int = LOOKUP_MAX_ROWS,
+    joint: bool = True,
+    stop: float = 1e-3,
 ) -> MixedFit:
     """Fit y ~ x plus a random intercept per level of each group, by Laplace approximation.
 
-    `df` must hold complete cases; `x` includes the constant column. Given `sds` are kept, otherwise they are searched
-    for. Fixed effects follow from the joint mode of fixed and random effects, so they can differ slightly from a fit
-    that optimises them together with the deviations. Factors of at most `small_levels` levels join the dense system;
-    with more than `driver_levels` levels the elimination runs on the executors.
+    `df` must hold complete cases; `x` includes the constant column. Without `sds` the deviations and the fixed effects
+    minimise the Laplace deviance together, until a step promises less than `stop` of it. Without `joint` only the
+    deviations do, and as with given `sds` the fixed effects are at the joint mode with the random effects, which takes
+    fewer scans and is close unless groups are nearly all alike. Factors of at most `small_levels` levels join the dense system; with more than `driver_levels` levels
+    the elimination runs on the executors, by the same steps.
     """
     if sds is not None and set(sds) != set(groups):
         raise ValueError(f"deviations given for {sorted(sds)}, factors are {sorted(groups)}")
-    problem = _prepare(df, y, x, groups, small_levels, min(driver_levels, LOOKUP_MAX_ROWS))
+    problem = prepare(df, y, x, groups, small_levels, min(driver_levels, LOOKUP_MAX_ROWS))
     try:
         begin = tuple((sds or {}).get(g, SDS_START) for g in problem.factors)
-        state = _State(begin, np.zeros(problem.size))
-        if sds is None and problem.factors:
-            if problem.driver_levels:
-                # The last word has the deviance itself: short steps around what the scans suggest.
-                near = _search_near(problem, state, search_tolerance)
-                state = _search(problem, near, search_tolerance, rounds, step=0.2)
-            else:
-                state = _search(problem, state, search_tolerance, rounds)
-        final, ahead = _settle(problem, state, tolerance)
+        state = State(begin, np.zeros(problem.size))
+        searched = sds is None and problem.factors
+        final, ahead = least_deviance(problem, state, tolerance, joint, stop) if searched else settle(problem, state, tolerance)
         return _result(problem, final, ahead)
     finally:
         problem.release()
-        problem.rows.unpersist()
+        problem.stored.unpersist()
 
 
-def _result(problem: _Problem, final: _State, ahead: _State) -> MixedFit:
+def _result(problem: Problem, final: State, ahead: State) -> MixedFit:
     spark = problem.rows.sparkSession
     p = len(problem.x)
-    sds = dict(zip(problem.factors, final.sds))
+    sds = dict(zip(problem.factors, map(float, final.sds)))
     effects: dict[str, DataFrame] = {}
     at = p
     for g in problem.small:
