@@ -224,7 +224,7 @@ def least_deviance(
     deviations = lambda x: [math.exp(v) for v in x[-factors:]]
     seen, ahead, curvature = _minimum(
         problem, seen, ahead, logs, np.diag(curves), lambda x: (deviations(x),), lambda s: gradient(problem, s, joint=True)[1],
-        lambda s: settle(problem, s, tolerance), stop, rounds)
+        lambda s: settle(problem, s, tolerance), max(stop, 0.1) if joint else stop, rounds)
     if not joint:
         return seen, ahead
 
