@@ -120,10 +120,21 @@ def forward_backward(score: np.ndarray, mask: np.ndarray, moves: np.ndarray) ->
     return chance, pairs
 
 
-def fit_chain(features: list[np.ndarray], labels: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of label 1 and the transition matrix, by gradient ascent on the conditional likelihood with a ridge."""
-    counts = np.array([len(f) for f in features])
-    stacked = np.concatenate(features)
+PORTION = 1 << 14
+
+
+def fit_chain(
+    features: list[np.ndarray] | np.ndarray, labels: np.ndarray, counts: np.ndarray | None = None, rounds: int = ROUNDS
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of label 1 and the transition matrix, by gradient ascent on the conditional likelihood with a ridge.
+
+    `features` are the lines of each document, or of all documents one after the other with the `counts` of their lines; they
+    are kept as they are and widened a portion at a time.
+    """
+    if counts is None:
+        counts, features = np.array([len(f) for f in features]), np.concatenate(features)
+    stacked = features
+    portions = [slice(a, a + PORTION) for a in range(0, len(stacked), PORTION)]
     bounds = np.concatenate(([0], np.cumsum(counts)))
     line_labels = np.repeat(labels, counts).astype(float)
     seen_moves = np.zeros((2, 2))
@@ -134,13 +145,14 @@ def fit_chain(features: list[np.ndarray], labels: np.ndarray, rounds: int = ROUN
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, rounds + 1):
         weights, moves = theta[:WIDTH], theta[WIDTH:].reshape(2, 2)
-        score = stacked @ weights
+        score = np.concatenate([stacked[a].astype(float) @ weights for a in portions])
         chance, pairs = np.zeros(n), np.zeros((2, 2))
         for _, index, mask in groups:
             p, q = forward_backward(score[index], mask, moves)
             chance[index[mask]] = p[mask]
             pairs += q
-        slope = np.concatenate((stacked.T @ (line_labels - chance), (seen_moves - pairs).ravel())) / n - RIDGE * theta
+        missed = line_labels - chance
+        slope = np.concatenate((sum(stacked[a].astype(float).T @ missed[a] for a in portions), (seen_moves - pairs).ravel())) / n - RIDGE * theta
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         theta = theta + RATE * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
@@ -151,7 +163,8 @@ def document_quality(features: np.ndarray, length: np.ndarray, rows: np.ndarray,
     """Length-weighted mean of the lines' chances of being good."""
     weights, moves = chain
     bounds = np.searchsorted(rows, np.arange(n_rows + 1))
-    score, chance = features @ weights, np.zeros(len(rows))
+    parts = [features[a : a + PORTION].astype(float) @ weights for a in range(0, len(features), PORTION)]
+    score, chance = np.concatenate([np.zeros(0), *parts]), np.zeros(len(rows))
     for group in _batches_of(np.diff(bounds)):
         index, mask = _padded(np.arange(len(rows)), bounds, group)
         p, _ = forward_backward(score[index], mask, moves)
@@ -219,11 +232,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, ma
     quality = np.array([r.quality for r in rows], int)
     if len(set(quality.tolist())) < 2:
         return QualityModel(np.zeros(WIDTH), np.zeros((2, 2)), 0.0, float(np.log((quality.sum() + 1) / ((1 - quality).sum() + 1))))
-    tables = [np.frombuffer(r.lines, np.float32).reshape(-1, WIDTH + 1).astype(np.float64) for r in rows]
-    weights, moves = fit_chain([t[:, 1:] for t in tables], quality)
-    counts = np.array([len(t) for t in tables])
-    stacked = np.concatenate(tables)
-    mean = document_quality(stacked[:, 1:], stacked[:, 0], np.repeat(np.arange(len(tables)), counts), len(tables), (weights, moves))
+    # One table of four-byte numbers is all that stays on the driver; the rows it came in go as it fills.
+    counts = np.array([len(r.lines) // (4 * (WIDTH + 1)) for r in rows])
+    stacked, ends = np.empty((int(counts.sum()), WIDTH + 1), np.float32), np.cumsum(counts)
+    for k in range(len(rows) - 1, -1, -1):
+        stacked[ends[k] - counts[k] : ends[k]] = np.frombuffer(rows.pop().lines, np.float32).reshape(-1, WIDTH + 1)
+    weights, moves = fit_chain(stacked[:, 1:], quality, counts)
+    mean = document_quality(
+        stacked[:, 1:], stacked[:, 0].astype(float), np.repeat(np.arange(len(counts)), counts), len(counts), (weights, moves))
     return QualityModel(weights, moves, *fit_curve(mean, quality))
 
 
