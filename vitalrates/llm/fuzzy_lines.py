@@ -2,8 +2,9 @@
 
 A line's set holds its SHINGLE-character shingles (a shorter line is one shingle). Signatures are minima of one shingle
 hash xor-ed with BANDS * ROWS constants; bands of ROWS minima are bucket keys. In a bucket every line is compared with the
-bucket's smallest line; after components, members of one bucket that are still apart are compared with each other. Of every
-component the first line of the smallest document stays.
+bucket's smallest line; after components, members of one bucket that are still apart are compared in tiles, whose overlaps are
+one exact product of 0/1 matrices and from which only links that join components leave. Of every component the first line of the
+smallest document stays.
 
 The signatures run in numpy on the executors; the README gives the figures of the same in built-in functions. Everything after them is joins and groupings, and no group is gathered except the ids of one bucket.
 """
@@ -17,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalrates.llm.common import _power_tables, components, id_and_text, mix
-from vitalrates.llm.ngram_join import PACKED, _edge_batches, _gathered, _pack, _packed_batch, _places, _runs
+from vitalrates.llm.ngram_join import PACKED, _gathered, _pack, _packed_batch, _places
+from vitalrates.llm.setsketch import TILE, _by_tile, _edges, _tile_rows, _two_sides, overlaps, spanning, tiled, with_roots
 from vitalrates.session import cut_lineage
 
 SHINGLE, BANDS, ROWS = 8, 12, 4
@@ -161,21 +163,35 @@ def line_texts(base: DataFrame) -> DataFrame:
     return base.mapInArrow(told, "line_id long, line string")
 
 
+def _entries(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of many lines: the place of the line and the hash, by line and hash."""
+    hashes, first = LineBatch(lines).shingles(SHINGLE)
+    owner = np.repeat(np.arange(len(lines)), np.diff(first))
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return owner[new], hashes[new]
+
+
 def _alike(percent: int):
     def checked(batches):
         import pyarrow as pa
 
         for batch in batches:
             a, b = batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()
-            keep = []
+            keep = [np.zeros(0, bool)]
             for start in range(0, len(a), 500):
                 x, y = a[start : start + 500], b[start : start + 500]
-                hashes, first = LineBatch(x + y).shingles(SHINGLE)
-                sets = [np.unique(hashes[i:j]) for i, j in zip(first, first[1:])]
-                for s, t in zip(sets[: len(x)], sets[len(x) :]):
-                    common = len(np.intersect1d(s, t, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(s) + len(t) - common))
-            mask = pa.array(keep, pa.bool_())
+                owner, hashes = _entries(x + y)
+                sizes = np.bincount(owner, minlength=2 * len(x))
+                pair = owner % len(x)
+                order = np.lexsort((hashes, pair))
+                hashes, pair = hashes[order], pair[order]
+                both = (hashes[1:] == hashes[:-1]) & (pair[1:] == pair[:-1])
+                common = np.bincount(pair[1:][both], minlength=len(x))
+                keep.append(100 * common >= percent * (sizes[: len(x)] + sizes[len(x) :] - common))
+            mask = pa.array(np.concatenate(keep), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     return checked
@@ -187,20 +203,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "line_a", "line_b").mapInArrow(_alike(percent), "a long, b long")
 
 
-def _apart(batches):
-    """Per bucket: pairs of members whose components differ."""
+def _tile_links(percent: int):
+    """Per tile of a bucket: the links that join components, from the exact overlaps of all its lines."""
+
+    def read(batch):
+        return {"line": batch.column("line").to_pylist()}
 
-    def found():
-        for _, rows in _runs(batches, ["bucket"]):
-            groups: dict[int, list[int]] = {}
-            for r in rows:
-                groups.setdefault(r["root"], []).append(r["line_id"])
-            own = sorted(groups.values(), key=len)
-            for i, small in enumerate(own):
-                for large in own[i + 1 :]:
-                    yield from ((min(x, y), max(x, y)) for x in small for y in large)
+    def compared(batches):
+        for rows in _tile_rows(batches, ("bucket", "row", "column"), read):
+            x, y, label = _two_sides(rows)
+            if not len(x) or not len(y):
+                continue
+            owner, hashes = _entries(rows["line"])
+            sizes = np.bincount(owner, minlength=len(label))
+            sets = np.split(hashes, np.cumsum(sizes)[:-1])
+            common = overlaps([sets[i] for i in x], [sets[j] for j in y])
+            union = sizes[x][:, None] + sizes[y][None, :] - common
+            i, j = np.nonzero((100 * common >= percent * union) & (label[x][:, None] != label[y][None, :]))
+            joining, _ = spanning(x[i], y[j], label)
+            yield _edges(rows, x[i][joining], y[j][joining])
 
-    yield from _edge_batches(found())
+    return compared
 
 
 def line_components(docs: DataFrame, percent: int = PERCENT, **columns) -> DataFrame:
@@ -214,13 +237,11 @@ def line_components(docs: DataFrame, percent: int = PERCENT, **columns) -> DataF
     ids = met.select(F.col("a").alias("line_id")).union(met.select("b")).distinct()
     texts = cut_lineage(line_texts(base).join(ids, "line_id", "left_semi").dropDuplicates(["line_id"]))
     links = cut_lineage(_verified(met.select("a", "b").distinct(), texts, percent))
-    roots = components(links)
+    roots = cut_lineage(components(links))
     members = met.select("bucket", F.col("a").alias("line_id")).union(met.select("bucket", "b")).distinct()
-    members = members.join(roots.withColumnRenamed("node", "line_id"), "line_id", "left")
-    members = members.withColumn("root", F.coalesce("root", "line_id"))
-    several = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    left = members.join(several, "bucket").repartition("bucket").sortWithinPartitions("bucket")
-    more = _verified(left.mapInArrow(_apart, "a long, b long").distinct(), texts, percent)
+    rows = tiled(with_roots(members.withColumnRenamed("line_id", "node"), roots), ["bucket"], TILE)
+    rows = _by_tile(rows.join(texts.withColumnRenamed("line_id", "node"), "node"), ["bucket"])
+    more = cut_lineage(rows.mapInArrow(_tile_links(percent), "a long, b long"))
     return components(links.union(more))
 
 
