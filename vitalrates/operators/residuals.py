@@ -37,14 +37,17 @@ def normal_quantile(p: Column) -> Column:
     return F.when(inside & (p < TAIL_START), tail).when(inside & (p > 1 - TAIL_START), -tail).when(inside, centre)
 
 
-def quantile_residuals(df: DataFrame, y: str, link: str, keys: Sequence[str], seed: int = 1) -> DataFrame:
+def quantile_residuals(
+    df: DataFrame, y: str, link: str, keys: Sequence[str] = (), seed: int = 1, draw: Column | None = None
+) -> DataFrame:
     """Add `residual`, uniform on [0, 1] under the model, and `residual_normal` on the normal scale.
 
     An outcome 0 lies below 1 - mu and an outcome 1 above it; where in that range is drawn from a hash of the row key,
-    so a rerun gives the same residuals. They are conditional on the fitted effects.
+    so a rerun gives the same residuals, or given by `draw`. They are conditional on the fitted effects.
     """
     steps = 1 << 30
-    draw = (F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(steps)) + 0.5) / steps
+    if draw is None:
+        draw = (F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(seed)), F.lit(steps)) + 0.5) / steps
     edge = 1.0 - inverse_logit(F.col(link))
     residual = F.when(F.col(y) == 1, edge + (1.0 - edge) * draw).otherwise(edge * draw)
     return df.withColumn("residual", residual).withColumn("residual_normal", normal_quantile(F.col("residual")))
