@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vitalrates.functions.casting import finite, truncate_to_int
 from vitalrates.operators.lasso import cross_products, penalty_scores, tuning_table
-from vitalrates.operators.resample import bootstrap_weights, train_test_split
+from vitalrates.operators.resample import bootstrap_weights, exact_bootstrap, train_test_split
 from vitalrates.operators.rows import best_row
 from vitalrates.operators.sequences import penalty_grid
 from vitalrates.session import bounded_rows
@@ -70,14 +70,18 @@ def design_columns(df: DataFrame, roles: Roles, levels: dict[str, list[str]]) ->
 
 def tune(
     training: DataFrame, roles: Roles, levels: dict[str, list[str]], times: int = 25,
-    penalties: Sequence[float] | None = None, seed: int = 1,
+    penalties: Sequence[float] | None = None, seed: int = 1, exact_draws: bool = False,
 ) -> DataFrame:
-    """(penalty, rmse) over bootstrap replicates: all fits come from one scan of the training rows."""
+    """(penalty, rmse) over bootstrap replicates: all fits come from one scan of the training rows.
+
+    With `exact_draws` each replicate draws exactly as many rows as there are; the identifier must be unique then.
+    """
     penalties = list(penalties or penalty_grid())
     needed = [*roles.numbers, *roles.factors, roles.outcome]
     rows, names = design_columns(training.dropna(subset=needed), roles, levels)
     center = rows.agg(*[F.avg(c).alias(c) for c in [*names, roles.outcome]]).first()
-    weighted = bootstrap_weights(rows, [roles.identifier], times, seed)
+    weigh = exact_bootstrap if exact_draws else bootstrap_weights
+    weighted = weigh(rows, [roles.identifier], times, seed)
     products = cross_products(weighted, names, roles.outcome, "weights", [center[c] or 0.0 for c in center.asDict()])
     return penalty_scores(tuning_table(products, penalties))
 
