@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from datetime import date
 
 import numpy as np
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +17,9 @@ from checks.registry import (
     study_trials, tables,
 )
 from vitalrates.functions import casting, coordinates, dates
-from vitalrates.operators import effects, grouped, joins, ranking, resample, residuals, rows, scores, sequences
+from vitalrates.operators import (
+    effects, grouped, joins, ranking, resample, residual_checks, residuals, rows, scores, sequences,
+)
 from vitalrates.operators.lasso import coordinate_descent, cross_products
 from vitalrates.operators.mixed import MixedFit, fit_mixed_logit
 from vitalrates.plans import analysis, birthdate, cones, density, figures, litters, survival, trials
@@ -70,6 +75,17 @@ def s6(spark, sf):
     return both.select("litter_id", C("before").eqNullSafe(C("after")).alias("same"))
 
 
+def s6_mixed(spark, sf):
+    """Link predictions of a stored fit, read by another session."""
+    design, path = given_design(spark, sf), scratch(spark, "fit")
+    design.rows.write.parquet(f"{path}/rows")
+    models.save_mixed_fit(spark, given_fit(design, {"dam_id": dam_walks(design.rows)}), f"{path}/fit")
+    fresh = spark.newSession()
+    fit = models.load_mixed_fit(fresh, f"{path}/fit")
+    linked = effects.link_predictions(fresh.read.parquet(f"{path}/rows"), fit, {"dam_id": "dam_id"})
+    return shown(linked.select("row_idx", "squirrel_id", "link"), digits=4)
+
+
 def s7(spark, sf):
     """A stored query text over named tables, with a parameter."""
     path = scratch(spark, "query")
@@ -357,13 +373,20 @@ def u2(spark, sf):
 def m1(spark, sf):
     litters_ = standin(spark, sf, "litter").select("id", "grid")
     train, test = resample.train_test_split(litters_, ["id"])
-    return train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test")))
+    return shown(train.withColumn("part", F.lit("train")).union(test.withColumn("part", F.lit("test"))))
 
 
 def m2(spark, sf):
     weighted = resample.bootstrap_weights(standin(spark, sf, "litter").select("id"), ["id"])
-    return weighted.select(F.posexplode("weights").alias("rep", "w")).groupBy("rep").agg(
-        F.avg("w").alias("mean_weight"), F.avg((C("w") == 0).cast("double")).alias("out_of_bag"))
+    return shown(weighted.select(F.posexplode("weights").alias("rep", "w")).groupBy("rep").agg(
+        F.avg("w").alias("mean_weight"), F.avg((C("w") == 0).cast("double")).alias("out_of_bag")))
+
+
+def m2_exact(spark, sf):
+    """Every replicate draws as many rows as the table has."""
+    drawn = resample.exact_bootstrap(standin(spark, sf, "trials").select("row_idx", "observer"), ["row_idx"])
+    return shown(drawn.select(F.posexplode("weights").alias("rep", "w")).groupBy("rep").agg(
+        F.count("*").alias("n_rows"), F.sum("w").alias("n_draws"), F.min((C("w") >= 0).cast("int")).alias("valid")))
 
 
 def dated_rows(spark, sf):
@@ -396,10 +419,10 @@ def m9(spark, sf):
 
 def m11(spark, sf):
     """Hold-out measures of a given linear prediction."""
-    data = dated_rows(spark, sf).dropna().withColumn("pred", 10.0 + 0.9 * C("n1_date") + 0.05 * C("n1_weight"))
-    err = C("part") - C("pred")
-    sums = data.agg(F.avg(err * err).alias("mse"), F.var_pop("part").alias("var"))
-    return shown(sums.select(F.sqrt("mse").alias("rmse"), (1 - C("mse") / C("var")).alias("r2")))
+    line = SQLTransformer(statement="SELECT *, 10.0D + 0.9D * n1_date + 0.05D * n1_weight AS pred FROM __THIS__")
+    roles = dataclasses.replace(birthdate.Roles(), factors=())
+    found = birthdate.holdout_metrics(PipelineModel(stages=[line]), dated_rows(spark, sf), roles)
+    return shown(spark.createDataFrame([(found["rmse"], found["r2"])], "rmse double, r2 double"))
 
 
 def m12(spark, sf):
@@ -484,6 +507,11 @@ def given_fit(design: analysis.Design, tables_: dict[str, DataFrame] | None = No
     return MixedFit(design.columns, beta, np.eye(count), {}, tables_ or {}, 0.0, 0, {}, 0)
 
 
+def dam_walks(rows_: DataFrame) -> DataFrame:
+    """A stand-in for fitted dam effects: the mean walk of each dam's young."""
+    return rows_.groupBy(C("dam_id").cast("string").alias("level")).agg(F.avg("walk").alias("effect"))
+
+
 def g4(spark, sf):
     """Term tests of given coefficients with the covariance of the design columns."""
     design = given_design(spark, sf)
@@ -504,8 +532,7 @@ def g5(spark, sf):
 
 def g6(spark, sf):
     design = given_design(spark, sf)
-    dams = design.rows.groupBy(C("dam_id").cast("string").alias("level")).agg(F.avg("walk").alias("effect"))
-    fit = given_fit(design, {"dam_id": dams})
+    fit = given_fit(design, {"dam_id": dam_walks(design.rows)})
     return shown(effects.link_predictions(design.rows, fit, {"dam_id": "dam_id"}).select("row_idx", "squirrel_id", "link"), digits=4)
 
 
@@ -523,6 +550,28 @@ def g7_residuals(spark, sf):
                       (F.round(C("residual_normal"), 9).isNotNull()).alias("finite"))
 
 
+def drawn_residuals(spark, sf) -> DataFrame:
+    """Residuals of a given prediction of returns, drawn from an md5 of the row key."""
+    key = F.md5(F.concat_ws("|", C("l_orderkey").cast("string"), C("l_linenumber").cast("string")))
+    draw = (F.conv(F.substring(key, 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", (C("l_returnflag") == "R").cast("int").alias("returned"),
+        (C("l_extendedprice").cast("double") / 50000 - 1).alias("link"), draw.alias("draw"))
+    return residuals.quantile_residuals(items, "returned", "link", draw=C("draw"))
+
+
+def g7_values(spark, sf):
+    return shown(drawn_residuals(spark, sf).select("l_orderkey", "l_linenumber", "residual"))
+
+
+def g7_trend(spark, sf):
+    return shown(residual_checks.residual_trend(drawn_residuals(spark, sf), "link", "residual"), digits=5)
+
+
+def g7_tests(spark, sf):
+    return shown(residual_checks.residual_tests(drawn_residuals(spark, sf), "returned", "link", "residual").drop("p"), digits=5)
+
+
 def q9(spark, sf):
     return shown(scored_rows(spark, sf).select("row_idx", "squirrel_id", "growth_sc", "part_sc", "oft1", "mis1", "survival"), digits=5)
 
@@ -546,8 +595,8 @@ def t3(spark, sf):
 
 def t4(spark, sf):
     design = given_design(spark, sf)
-    linked = design.rows.withColumn("link", effects.fixed_part(design.columns, given_fit(design).beta))
-    return shown(figures.density_links(linked), digits=4)
+    fit = given_fit(design, {"dam_id": dam_walks(design.rows)})
+    return shown(figures.density_links(effects.link_predictions(design.rows, fit, {"dam_id": "dam_id"})), digits=4)
 
 
 # --- whole studies with fitted models
@@ -595,7 +644,7 @@ def q11(spark, sf):
 
 OPERATORS: dict[str, Query] = {
     "S1_csv_round_trip": s1, "S2_csv_sink": s2, "S4_range_scan": s4, "S5_second_namespace": s5,
-    "S6_model_reload": s6, "S7_stored_query": s7, "S8_column_overview": s8, "S1_numbered_csv": s1_numbered,
+    "S6_model_reload": s6, "S6_mixed_fit_reload": s6_mixed, "S7_stored_query": s7, "S8_column_overview": s8, "S1_numbered_csv": s1_numbered,
     "P1_select_rename": p1, "P2_clean_names": p2, "P5_computed_columns": p5, "P6_casts": p6, "P7_case_when": p7,
     "P7_P18_survival_flag": p7_flag, "P8_P11_grid_coordinate": p11, "P12_P13_arithmetic": p13, "P14_P16_date_parts": p14,
     "P17_short_dates": p17, "P19_P20_defaults": p19, "P21_factor_levels": p21, "P22_sequence": p22, "P23_logit": p23,
@@ -606,11 +655,12 @@ OPERATORS: dict[str, Query] = {
     "A1_A4_group_totals": a1, "A5_group_rates": a5, "A6_medians": a6, "A3_A7_extremes": a7, "A8_M4_standardise": a8,
     "W1_group_zscores": w1, "W3_first_value": w3, "W3_first_value_from_csv": w3_csv, "O1_order_desc": o1, "O2_best_row": o2, "U1_union_distinct": u1,
     "U2_bind_rows": u2,
-    "M1_split": m1, "M2_bootstrap": m2, "M5_M6_dummies": m5, "M7_lasso": m7, "M9_tuning": m9,
+    "M1_split": m1, "M2_bootstrap": m2, "M2_exact_bootstrap": m2_exact, "M5_M6_dummies": m5, "M7_lasso": m7, "M9_tuning": m9,
     "M11_holdout": m11, "M12_scoring": m12, "M13_imputation": m13,
     "D1_median_fill": d1, "D2_component_pair": d2, "D2_correlations": d2_correlations,
     "G1_design": g1, "G2_G3_plain_logit": g2_plain, "G2_mixed_fit": g2_mixed, "G4_term_tests": g4, "G5_prediction_curve": g5,
     "G6_link_predictions": g6, "G7_uniformity": g7, "G7_residuals": g7_residuals,
+    "G7_residual_values": g7_values, "G7_residual_trend": g7_trend, "G7_residual_tests": g7_tests,
     "Q6_imputed_birth_dates": q6, "Q9_behaviour_scores": q9, "Q10_autumn_survival": q10, "Q11_days200_survival": q11,
     "T1_survival_rates": t1, "T2_score_ellipse": t2, "T2_robust_ellipse": t2_robust, "T3_observed_outcomes": t3,
     "T4_density_links": t4,

@@ -6,6 +6,7 @@ import string
 from itertools import combinations
 
 from checks.oracle import DENSITY, SURVIVAL, SURVIVAL_DENSITY, TRIALS, ctes, letter_number, training
+from vitalrates.operators.resample import STEPS, poisson_limits
 from vitalrates.rules import ACTIVITY, AGGRESSION
 
 CENSI = SURVIVAL[-2]
@@ -126,6 +127,25 @@ def dummies() -> str:
     return ", ".join(f"{t} as x{i}" for i, t in enumerate(terms))
 
 
+def draw(text: str, digits: int = 13) -> str:
+    """The leading hex digits of an md5 as a whole number."""
+    return f"cast('0x' || substr(md5({text}), 1, {digits}) as bigint)"
+
+
+RESIDUALS = (
+    ("items", f"""select l_orderkey, l_linenumber, cast(l_returnflag = 'R' as int) as y,
+  l_extendedprice::double / 50000 - 1 as link,
+  ({draw("l_orderkey || '|' || l_linenumber", 8)}::double + 0.5) / 4294967296.0::double as d from lineitem"""),
+    ("drawn", """select *, 1 / (1 + exp(-link)) as mu,
+  case when y = 1 then (1 - mu) + (1 - (1 - mu)) * d else (1 - mu) * d end as u from items"""),
+    ("binned", """select *, ((upto - 1) * 20) // n as bin from (select *, count(*) over (order by link) as upto,
+  count(*) over () as n from drawn)"""),
+    ("trend", "\nunion all\n".join(f"""select bin, count(*) as n, min(link) as start, {p}::double as probability,
+  quantile_cont(u, {p}) as quantile, avg((u < {p}::double)::int::double) as share_below,
+  (sum((u < {p}::double)::int) - count(*) * {p}::double) / sqrt(count(*) * {p}::double * {1 - p}::double) as z
+from binned group by bin""" for p in (0.25, 0.5, 0.75))),
+)
+
 STAT_COLUMNS = ("front", "back", "attacklatency", "approachlatency", "still")
 
 SQL: dict[str, str] = {
@@ -139,6 +159,8 @@ where date1 >= date '1997-01-01' and date1 < date '1999-01-01'""",
     "S5_second_namespace": ctes("pup_census", "pup_census_next", CENSI) + """select squirrel_id,
   cast(census_year as bigint) as census_year, cast(made_it as bigint) as made_it from censi""",
     "S6_model_reload": ctes(*LITTER_ROWS) + "select litter_id, true as same from training",
+    "S6_mixed_fit_reload": recursive(*SCORES) + f"""select row_idx, squirrel_id,
+  round({LINK} + coalesce(avg(walk) over (partition by dam_id), 0), 4) as link from design""",
     "S7_stored_query": ctes("cones") + """select Grid as grid, count(*) as n, cast(sum(NumNew) as bigint) as total
 from cones where NumNew > 10 group by Grid having count(*) > 1""",
     "S1_numbered_csv": ctes("trials") + """select row_idx, row_number() over (order by row_idx) - 1 as line, observer
@@ -265,6 +287,14 @@ select squirrel_id, null, cast(census_date as varchar) from pup_census""",
     "M5_M6_dummies": ctes(*LITTER_ROWS) + f"""select litter_id, grid, cast(year as bigint) as year, {dummies()}
 from dated, (select list(grid order by k) as levels from (select grid, min(litter_id) as k from dated group by grid)) g,
   (select list(year order by year) as levels from (select distinct year from dated)) y""",
+    "M1_split": ctes("litter") + f"""select id, grid,
+  case when {draw("id || '|1'")} < {int(0.8 * STEPS)} then 'train' else 'test' end as part from litter""",
+    "M2_bootstrap": ctes("litter") + f"""select rep, round(avg(w), 6) as mean_weight,
+  round(avg((w = 0)::int::double), 6) as out_of_bag
+from (select rep, {' + '.join(f'(u >= {x})::int' for x in poisson_limits(STEPS))} as w
+  from (select r.rep, {draw("id || '|1|' || r.rep")} as u from litter, range(25) r(rep))) group by rep""",
+    "M2_exact_bootstrap": ctes("trials") + """select rep, count(*) as n_rows, count(*) as n_draws, 1::bigint as valid
+from trials, range(25) r(rep) group by rep""",
     "M7_lasso": ctes(*LITTER_ROWS) + """select penalty, round(my - slope * mx, 4) as intercept, round(slope, 4) as slope
 from (select penalty, mx, my, sign(cxy) * greatest(abs(cxy / sx) - penalty, 0) / sx as slope
   from (select avg(n1_date) as mx, avg(part) as my, stddev_pop(n1_date) as sx, covar_pop(n1_date, part) as cxy from dated),
@@ -320,6 +350,16 @@ from (select *, part_rel * density as part_x_density, growth_rel * density as gr
 from (select walk / 500.0 as u, row_number() over (order by walk)::double as i, count(*) over ()::double as n
   from trials where walk is not null)""",
     "G7_residuals": recursive(*SCORES) + """select row_idx, squirrel_id, made_it = 1 as above, true as finite from design""",
+    "G7_residual_values": ctes(*RESIDUALS) + "select l_orderkey, l_linenumber, round(u, 6) as residual from drawn",
+    "G7_residual_trend": ctes(*RESIDUALS) + """select cast(bin as bigint) as bin, n, round(start, 5) as start, probability,
+  round(quantile, 5) as quantile, round(share_below, 5) as share_below, round(z, 5) as z from trend""",
+    "G7_residual_tests": ctes(*RESIDUALS) + """select 'uniformity' as test, round(greatest(max(i / n - u), max(u - (i - 1) / n)), 5)
+  as statistic, 0.0::double as expected from (select u, row_number() over (order by u)::double as i,
+  count(*) over ()::double as n from drawn)
+union all select 'dispersion', round(sum(pow(y - mu, 2)) / sum(mu * (1 - mu)), 5), 1.0 from drawn
+union all select 'outliers', round(avg((u < 1.0::double / 251 or u > 1 - 1.0::double / 251)::int::double), 5),
+  round(2.0::double / 251, 5) from drawn
+union all select 'trend_' || probability, round(sum(z * z), 5), count(*)::double from trend group by probability""",
     "Q9_behaviour_scores": recursive(*SCORES) + """select row_idx, squirrel_id, round(growth_sc, 5) as growth_sc,
   round(part_sc, 5) as part_sc, round(oft1, 5) as oft1, round(mis1, 5) as mis1, cast(survival as bigint) as survival
 from scored""",
@@ -335,6 +375,7 @@ from (select avg(oft1) as x, avg(mis1) as y, var_samp(oft1) as xx, var_samp(mis1
     "T3_observed_outcomes": recursive(*SCORES) + """select round(mis1, 5) as mis1, cast(made_it as double) as response,
   'observed' as source from design""",
     "T4_density_links": recursive(*SCORES) + f"""select grid_density, round(mis1, 4) as mis1,
-  cast(made_it as bigint) as made_it, round({LINK}, 4) as link from design""",
+  cast(made_it as bigint) as made_it,
+  round({LINK} + coalesce(avg(walk) over (partition by dam_id), 0), 4) as link from design""",
 }
 SQL |= {f"{name}_from_csv": SQL[name] for name in ("F7_repeat_trials", "W3_first_value")}

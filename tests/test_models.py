@@ -1,3 +1,4 @@
+import dataclasses
 from decimal import Decimal
 
 import numpy as np
@@ -11,11 +12,13 @@ from vitalrates.operators.lasso import coordinate_descent, cross_products, penal
 from vitalrates.operators.laplace import gradient, settle
 from vitalrates.operators.mixed import fit_mixed_logit
 from vitalrates.operators.mixed_system import State, prepare
-from vitalrates.operators.resample import bootstrap_weights, poisson_limits
-from vitalrates.operators.residuals import normal_quantile
+from vitalrates.operators.resample import bootstrap_weights, exact_bootstrap, poisson_limits
+from vitalrates.operators.residual_checks import kolmogorov_tail, residual_tests, residual_trend
+from vitalrates.operators.residuals import normal_quantile, quantile_residuals
 from vitalrates.operators.scores import add_scores, first_components
 from vitalrates.plans import birthdate
 from vitalrates.plans.figures import normal_ellipse, robust_ellipse
+from vitalrates.sources.models import load_mixed_fit, save_mixed_fit
 
 
 def simulated(n=1500, litters=200, dams=90, years=6, seed=5):
@@ -291,3 +294,104 @@ def test_ellipses(spark):
 
 def test_inverse_logit(spark):
     assert spark.range(1).select(inverse_logit(F.lit(0.0))).first()[0] == 0.5
+
+
+def test_exact_bootstrap(spark):
+    """n draws a replicate, whatever the partitioning, through two tiers of the tree; counts follow the binomial law."""
+    df = spark.range(3000).select("id", F.lit("x").alias("__place_of"), F.array(F.col("id")).alias("kept"))
+    drawn = exact_bootstrap(df, ["id"], times=6, leaf_rows=2)
+    got = {r["id"]: list(r["weights"]) for r in drawn.collect()}
+    assert len(got) == 3000 and drawn.columns == [*df.columns, "weights"]
+    weights = np.array([got[i] for i in range(3000)])
+    assert (weights.sum(axis=0) == 3000).all() and weights.min() == 0
+    assert abs((weights == 0).mean() - 0.3679) < 0.02 and abs(weights.var() - 1) < 0.08
+    assert np.corrcoef(weights.T)[np.triu_indices(6, 1)] == pytest.approx(np.zeros(15), abs=0.09)
+    again = {r["id"]: list(r["weights"]) for r in exact_bootstrap(df.repartition(7), ["id"], times=6, leaf_rows=2).collect()}
+    assert again == got
+    other = {r["id"]: list(r["weights"]) for r in exact_bootstrap(df, ["id"], times=6, seed=2, leaf_rows=2).collect()}
+    assert other != got
+
+
+def test_exact_bootstrap_edges(spark):
+    assert exact_bootstrap(spark.range(0), ["id"], times=3).collect() == []
+    assert [list(r["weights"]) for r in exact_bootstrap(spark.range(1), ["id"], times=3).collect()] == [[1, 1, 1]]
+    missing = spark.createDataFrame([(None, 1), ("\\N", 2), ("a", 3)], "k string, v int")
+    assert sum(r["weights"][0] for r in exact_bootstrap(missing, ["k"], times=1).collect()) == 3
+    for repeats in (2, 20_000):
+        with pytest.raises(Exception, match="repeat"):
+            exact_bootstrap(spark.range(repeats).select(F.lit(1).alias("id")), ["id"], times=2).collect()
+
+
+def test_tuning_with_exact_draws(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2))
+    data = pd.DataFrame({"id": range(400), "a": x[:, 0], "b": x[:, 1], "g": "u", "h": "v", "y": 2 * x[:, 0] + rng.normal(size=400)})
+    roles = birthdate.Roles(identifier="id", numbers=("a", "b"), factors=("g", "h"), outcome="y")
+    tuned = birthdate.tune(spark.createDataFrame(data), roles, {"g": ["u"], "h": ["v"]}, 10, [0.01, 1.0], exact_draws=True)
+    found = {r["penalty"]: r["rmse"] for r in tuned.collect()}
+    assert 0.9 < found[0.01] < 1.15 < found[1.0]
+
+
+def simulated_residuals(spark, n=4000, shift=0.0):
+    rng = np.random.default_rng(8)
+    link = np.round(rng.normal(size=n), 2)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(link + shift * link**2)))).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"y": y, "link": link, "draw": rng.random(n)}))
+    return quantile_residuals(df, "y", "link", draw=F.col("draw"))
+
+
+def test_residual_checks_tell_a_wrong_curve(spark):
+    right = {r["test"]: r for r in residual_tests(simulated_residuals(spark), "y", "link", "residual").collect()}
+    assert min(r["p"] for r in right.values()) > 0.01
+    wrong = {r["test"]: r for r in residual_tests(simulated_residuals(spark, shift=1.0), "y", "link", "residual").collect()}
+    assert wrong["trend_0.5"]["p"] < 1e-6 and wrong["uniformity"]["p"] < 1e-6
+    # About 1.36 over the root of n is the 5 % point.
+    assert kolmogorov_tail(1.358 / 1000, 10**6) == pytest.approx(0.05, abs=1e-3)
+
+
+@pytest.mark.parametrize("links", ["many", "one", "hot"])
+def test_residual_trend_equals_numpy(spark, links):
+    rng = np.random.default_rng(2)
+    link = {"many": rng.normal(size=700), "one": np.zeros(700), "hot": np.where(rng.random(700) < 0.4, 0.5, rng.normal(size=700))}[links]
+    u = np.round(rng.random(700), 2) if links == "hot" else rng.random(700)
+    data = pd.DataFrame({"l": link, "u": u})
+    extra = spark.createDataFrame([(None, 0.5), (1.0, None)], "l double, u double")
+    got = residual_trend(spark.createDataFrame(data).union(extra), "l", "u", bins=7).collect()
+    upto = data["l"].map(lambda v: (data["l"] <= v).sum())
+    data["bin"] = (upto - 1) * 7 // 700
+    assert {r["bin"] for r in got} == set(data["bin"]) and len(got) == 3 * data["bin"].nunique()
+    for r in got:
+        part = data[data["bin"] == r["bin"]]
+        assert (r["n"], r["start"]) == (len(part), part["l"].min())
+        assert r["quantile"] == pytest.approx(np.quantile(part["u"], r["probability"]), abs=1e-12)
+        assert r["share_below"] == pytest.approx((part["u"] < r["probability"]).mean())
+
+
+def test_residual_checks_of_nothing(spark):
+    empty = spark.createDataFrame([], "y int, l double, u double")
+    assert residual_trend(empty, "l", "u").collect() == [] and residual_tests(empty, "y", "l", "u").collect() == []
+
+
+def test_mixed_fit_is_stored_by_version(spark, tmp_path):
+    path = str(tmp_path / "fit")
+    with pytest.raises(FileNotFoundError):
+        load_mixed_fit(spark, path)
+    df = spark.createDataFrame(simulated(500))
+    fit = fit_mixed_logit(df, "y", ["one", "x1", "x2"], ["year", "litter"], sds={"year": 0.4, "litter": 0.8})
+    first = save_mixed_fit(spark, fit, path)
+    fresh = spark.newSession()
+    again = load_mixed_fit(fresh, path)
+    assert again.names == fit.names and again.sds == fit.sds and again.aic == fit.aic
+    assert (again.beta == fit.beta).all() and (again.covariance == fit.covariance).all()
+    assert again.level_counts == fit.level_counts and (again.rows, again.passes) == (fit.rows, fit.passes)
+    for g in ("year", "litter"):
+        assert sorted(again.effects[g].collect()) == sorted(fit.effects[g].collect())
+    second = save_mixed_fit(spark, dataclasses.replace(fit, beta=fit.beta + 1), path)
+    (tmp_path / "fit" / "broken_off").mkdir()
+    assert load_mixed_fit(fresh, path).beta[0] == fit.beta[0] + 1 and second != first
+    assert load_mixed_fit(fresh, path, first).beta[0] == fit.beta[0]
+    with pytest.raises(FileNotFoundError):
+        load_mixed_fit(fresh, path, "broken_off")
+    plain = dataclasses.replace(fit, sds={}, effects={}, level_counts={})
+    save_mixed_fit(spark, plain, str(tmp_path / "plain"))
+    assert load_mixed_fit(fresh, str(tmp_path / "plain")).effects == {}

@@ -141,3 +141,16 @@ def test_best_row_and_overview(spark):
     assert view["rmse"]["n_present"] == 3 and view["rmse"]["n_distinct"] == 2 and view["penalty"]["min_value"] == "1.0"
     with pytest.raises(ValueError):
         rows.require_complete(df, ["rmse"])
+
+
+def test_overview_counts_long_and_odd_columns(spark):
+    """Columns above the bound are counted by their own pass; names with dots, NULL columns and empty tables work."""
+    df = spark.range(500).select(
+        "id", (F.col("id") % 7).alias("a.b"), F.lit(None).cast("string").alias("none"),
+        F.when(F.col("id") > 400, F.col("id") % 60).alias("some"))
+    for small in (1, 50, 10_000):
+        view = {r["column_name"]: r for r in rows.column_overview(df, small).collect()}
+        assert {c: (r["n_present"], r["n_distinct"]) for c, r in view.items()} == {
+            "id": (500, 500), "a.b": (500, 7), "none": (0, 0), "some": (99, 60)}
+    assert view["id"]["max_value"] == "499" and view["none"]["min_value"] is None
+    assert [r["n_distinct"] for r in rows.column_overview(df.limit(0)).collect()] == [0, 0, 0, 0]
