@@ -1,4 +1,4 @@
-"""Logistic regression with nested random intercepts, fitted by aggregates over the rows."""
+"""Logistic regression with random intercepts, fitted by aggregates over the rows."""
 
 from __future__ import annotations
 
@@ -10,14 +10,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalrates.operators.laplace import SDS_START, least_deviance, settle
-from vitalrates.operators.mixed_system import SMALL_LEVELS, Problem, State, prepare
+from vitalrates.operators import crossed
+from vitalrates.operators.laplace import HIGH, LOW, MOST_LOG, SDS_START, least_deviance, settle
+from vitalrates.operators.mixed_system import SMALL_LEVELS, NotNested, Problem, State, prepare
 from vitalrates.session import LOOKUP_MAX_ROWS
 
 
 @dataclass
 class MixedFit:
-    """Fixed effects with their covariance, random-effect deviations and tables, and the deviance."""
+    """Fixed effects with their covariance, random-effect deviations and tables, and the deviance.
+
+    With crossed factors the deviance is estimated; `deviance_error` is its standard error.
+    """
 
     names: list[str]
     beta: np.ndarray
@@ -28,6 +32,7 @@ class MixedFit:
     rows: int
     level_counts: dict[str, int]
     passes: int
+    deviance_error: float = 0.0
 
     @property
     def aic(self) -> float:
@@ -51,12 +56,17 @@ def fit_mixed_logit(
     `df` must hold complete cases; `x` includes the constant column. Without `sds` the deviations and the fixed effects
     minimise the Laplace deviance together, until a step promises less than `stop` of it. Without `joint` only the
     deviations do, and as with given `sds` the fixed effects are at the joint mode with the random effects, which takes
-    fewer scans and is close unless groups are nearly all alike. Factors of at most `small_levels` levels join the dense system; with more than `driver_levels` levels
-    the elimination runs on the executors, by the same steps.
+    fewer scans and is close unless groups are nearly all alike. Factors of at most `small_levels` levels join the dense
+    system; with more than `driver_levels` levels the elimination runs on the executors, by the same steps. Larger
+    factors that are not nested, or more than two of them, are fitted by conjugate gradients (module `crossed`), with
+    at most `LOOKUP_MAX_ROWS` levels together and the fixed effects at the joint mode.
     """
     if sds is not None and set(sds) != set(groups):
         raise ValueError(f"deviations given for {sorted(sds)}, factors are {sorted(groups)}")
-    problem = prepare(df, y, x, groups, small_levels, min(driver_levels, LOOKUP_MAX_ROWS))
+    try:
+        problem = prepare(df, y, x, groups, small_levels, min(driver_levels, LOOKUP_MAX_ROWS))
+    except NotNested:
+        return _crossed_fit(df, y, x, groups, sds, tolerance, stop)
     try:
         begin = tuple((sds or {}).get(g, SDS_START) for g in problem.factors)
         state = State(begin, np.zeros(problem.size))
@@ -68,6 +78,33 @@ def fit_mixed_logit(
         problem.stored.unpersist()
 
 
+def _crossed_fit(
+    df: DataFrame, y: str, x: Sequence[str], groups: Sequence[str], sds: dict[str, float] | None, tolerance: float, stop: float
+) -> MixedFit:
+    problem = crossed.prepare_crossed(df, y, x, groups)
+    spark, p = df.sparkSession, len(problem.x)
+    try:
+        begin = [(sds or {}).get(g, SDS_START) for g in groups]
+        if sds is None:
+            begin, system = crossed.search(problem, begin, tolerance, max(stop, 1e-3), (LOW, HIGH), MOST_LOG)
+        else:
+            system = crossed.mode(problem, begin, np.zeros(problem.size), tolerance)
+        value, error = crossed.deviance(problem, system)
+        covariance = crossed.solve(system, np.eye(problem.size, p))[:p]
+        effects = {
+            g: spark.createDataFrame(
+                [(v, float(u) * float(sd)) for v, u in zip(names, system.at[end - len(names):end])],
+                "level string, effect double")
+            for g, names, sd, end in zip(groups, problem.levels, begin, problem.ends[1:])
+        }
+        return MixedFit(
+            problem.x, system.at[:p], (covariance + covariance.T) / 2, dict(zip(groups, map(float, begin))), effects, value,
+            problem.n, {g: len(v) for g, v in zip(groups, problem.levels)}, problem.passes, error,
+        )
+    finally:
+        problem.rows.unpersist()
+
+
 def _result(problem: Problem, final: State, ahead: State) -> MixedFit:
     spark = problem.rows.sparkSession
     p = len(problem.x)

@@ -33,6 +33,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SMALL_LEVELS = 64
 
 
+class NotNested(ValueError):
+    """Large factors whose levels cannot be eliminated one factor after the other."""
+
+
 @dataclass
 class State:
     """Where a Newton search stands: dense coefficients, level offsets, and the deviations they belong to; after a scan
@@ -92,10 +96,12 @@ def prepare(
     small = [g for g in groups if counts[g] <= small_levels]
     large = sorted((g for g in groups if g not in small), key=lambda g: -counts[g])
     if len(large) > 2:
-        raise ValueError(f"at most two factors may have more than {small_levels} levels, got {large}")
+        stored.unpersist()
+        raise NotNested(f"at most two factors may have more than {small_levels} levels, got {large}")
     a, b = ([F.col(f"__group_{g}") for g in large] + [F.lit("")] * 2)[:2]
     if len(large) == 2 and not stored.groupBy(a).agg((F.min(b) != F.max(b)).alias("bad")).filter("bad").isEmpty():
-        raise ValueError(f"a level of {large[0]} lies in several levels of {large[1]}")
+        stored.unpersist()
+        raise NotNested(f"a level of {large[0]} lies in several levels of {large[1]}")
     levels: dict[str, list[str]] = {}
     codes, start = [], len(x)
     for g in small:

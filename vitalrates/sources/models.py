@@ -15,7 +15,7 @@ from vitalrates.session import bounded_rows
 
 TERMS = "position int, term string, estimate double, covariance array<double>"
 DEVIATIONS = "position int, grouping string, sd double, levels bigint"
-SUMMARY = "minus_two_loglik double, rows bigint, passes int"
+SUMMARY = "minus_two_loglik double, rows bigint, passes int, deviance_error double"
 COMMITS = "number bigint, version string"
 MAX_TERMS = 10_000
 
@@ -38,7 +38,7 @@ def save_mixed_fit(spark: SparkSession, fit: MixedFit, path: str) -> str:
     folder = f"{path}/{version}"
     terms = [(i, name, float(fit.beta[i]), [float(v) for v in fit.covariance[i]]) for i, name in enumerate(fit.names)]
     deviations = [(i, g, float(sd), int(fit.level_counts[g])) for i, (g, sd) in enumerate(fit.sds.items())]
-    summary = [(float(fit.minus_two_loglik), int(fit.rows), int(fit.passes))]
+    summary = [(float(fit.minus_two_loglik), int(fit.rows), int(fit.passes), float(fit.deviance_error))]
     spark.createDataFrame(terms, TERMS).coalesce(1).write.parquet(f"{folder}/terms")
     spark.createDataFrame(deviations, DEVIATIONS).coalesce(1).write.parquet(f"{folder}/deviations")
     spark.createDataFrame(summary, SUMMARY).coalesce(1).write.parquet(f"{folder}/summary")
@@ -73,7 +73,7 @@ def load_mixed_fit(spark: SparkSession, path: str, version: str | None = None) -
         [r["term"] for r in terms], np.array([r["estimate"] for r in terms]),
         np.array([r["covariance"] for r in terms]).reshape(len(terms), len(terms)),
         {r["grouping"]: r["sd"] for r in deviations}, effects, summary["minus_two_loglik"], summary["rows"],
-        {r["grouping"]: r["levels"] for r in deviations}, summary["passes"],
+        {r["grouping"]: r["levels"] for r in deviations}, summary["passes"], summary["deviance_error"],
     )
 
 
