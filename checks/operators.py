@@ -501,6 +501,25 @@ def g2_mixed(spark, sf):
         effects.random_effects(spark, fit).select(C("grouping").alias("name"), C("sd").alias("value")))
 
 
+def g2_crossed(spark, sf):
+    """Score equations at a fit with crossed suppliers and parts: the residuals of a level balance its effect."""
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        F.lit(1.0).alias("constant"), (C("l_quantity").cast("double") / 50).alias("quantity"),
+        C("l_suppkey").cast("string").alias("supplier"), C("l_partkey").cast("string").alias("part"),
+        (C("l_returnflag") == "R").cast("double").alias("returned"))
+    sds = {"supplier": 0.4, "part": 0.3}
+    fit = fit_mixed_logit(items, "returned", ["constant", "quantity"], list(sds), sds=sds, tolerance=1e-12)
+    linked = effects.link_predictions(items, fit, {g: g for g in sds}).withColumn(
+        "rest", C("returned") - casting.inverse_logit(C("link")))
+    parts = [linked.agg(F.sum("rest").alias("constant"), F.sum(C("rest") * C("quantity")).alias("quantity")).select(
+        F.lit("fixed").alias("factor"), F.expr("stack(2, 'constant', constant, 'quantity', quantity) as (level, gap)"))]
+    for g, sd in sds.items():
+        sums = linked.groupBy(C(g).alias("level")).agg(F.sum("rest").alias("gap"))
+        parts.append(sums.join(fit.effects[g], "level", "full").select(
+            F.lit(g).alias("factor"), "level", (C("gap") - C("effect") / sd**2).alias("gap")))
+    return rows.bind_rows(*parts).select("factor", "level", (F.abs(C("gap")) < 1e-3).alias("balanced"))
+
+
 def given_fit(design: analysis.Design, tables_: dict[str, DataFrame] | None = None) -> MixedFit:
     count = len(design.columns)
     beta = np.array([0.1 * (i % 5) - 0.2 for i in range(count)])
@@ -658,7 +677,7 @@ OPERATORS: dict[str, Query] = {
     "M1_split": m1, "M2_bootstrap": m2, "M2_exact_bootstrap": m2_exact, "M5_M6_dummies": m5, "M7_lasso": m7, "M9_tuning": m9,
     "M11_holdout": m11, "M12_scoring": m12, "M13_imputation": m13,
     "D1_median_fill": d1, "D2_component_pair": d2, "D2_correlations": d2_correlations,
-    "G1_design": g1, "G2_G3_plain_logit": g2_plain, "G2_mixed_fit": g2_mixed, "G4_term_tests": g4, "G5_prediction_curve": g5,
+    "G1_design": g1, "G2_G3_plain_logit": g2_plain, "G2_mixed_fit": g2_mixed, "G2_crossed_fit": g2_crossed, "G4_term_tests": g4, "G5_prediction_curve": g5,
     "G6_link_predictions": g6, "G7_uniformity": g7, "G7_residuals": g7_residuals,
     "G7_residual_values": g7_values, "G7_residual_trend": g7_trend, "G7_residual_tests": g7_tests,
     "Q6_imputed_birth_dates": q6, "Q9_behaviour_scores": q9, "Q10_autumn_survival": q10, "Q11_days200_survival": q11,

@@ -336,6 +336,9 @@ from (select unnest(['male', 'constant']) as term, unnest([ln(d / c) - ln(b / a)
             (0.09 * r + 2 * 0.3 * 0.2 * dr + 0.04 * d) / (d * r - dr * dr) - 0.04 / r, 0.04 / r]) as chi_square
   from (select var_samp(part_rel) as p, var_samp(density) as d, var_samp(part_x_density) as r,
     covar_samp(part_rel, part_x_density) as pr, covar_samp(density, part_x_density) as dr from design))""",
+    "G2_crossed_fit": """select 'fixed' as factor, unnest(['constant', 'quantity']) as level, true as balanced
+union all select distinct 'supplier', l_suppkey::varchar, true from lineitem
+union all select distinct 'part', l_partkey::varchar, true from lineitem""",
     "G5_prediction_curve": recursive(*SCORES) + f"""select round(mis1, 5) as mis1, round(1 / (1 + exp(-({LINK}))), 5) as response
 from (select *, part_rel * density as part_x_density, growth_rel * density as growth_x_density, oft1 * mis1 as oft1_x_mis1,
     oft1 * density as oft1_x_density, mis1 * density as mis1_x_density, oft1 * mis1 * density as oft1_x_mis1_x_density

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalrates.functions.casting import inverse_logit
-from vitalrates.operators import effects
+from vitalrates.operators import crossed, effects
 from vitalrates.operators.lasso import coordinate_descent, cross_products, penalty_scores, tuning_table
 from vitalrates.operators.laplace import gradient, settle
 from vitalrates.operators.mixed import fit_mixed_logit
@@ -163,13 +163,49 @@ def test_no_groups_is_a_plain_logit(spark):
         assert v**0.5 == pytest.approx(plain[name]["std_error"], abs=1e-4)
 
 
-def test_unnested_large_factors_are_refused(spark):
-    df = spark.createDataFrame(simulated(600)).withColumn("dam", F.col("x1") * 1000)
-    with pytest.raises(ValueError, match="several levels"):
-        fit_mixed_logit(df.withColumn("dam", F.expr("abs(hash(x2)) % 100")), "y", ["one"], ["dam", "litter"],
-                        sds={"dam": 1.0, "litter": 1.0})
+def crossed_data(n=700):
+    """Three factors, none nested in another, two of them above the bound of the dense system."""
+    data = simulated(n)
+    rng = np.random.default_rng(9)
+    return data.assign(dam=rng.integers(0, 90, n), litter=rng.integers(0, 120, n))
+
+
+def test_crossed_factors_equal_dense_algebra(spark):
+    data, sds = crossed_data(), {"year": 0.4, "dam": 0.8, "litter": 0.6}
+    groups = ["year", "dam", "litter"]
+    codes = data.assign(**{g: data[g].astype("category").cat.codes for g in groups})
+    fit = fit_mixed_logit(spark.createDataFrame(data), "y", ["one", "x1", "x2"], groups, sds=sds)
+    beta, covariance, deviance, u = dense_fit(codes, sds, groups)
+    assert fit.beta == pytest.approx(beta, abs=1e-4)
+    assert fit.covariance == pytest.approx(covariance, abs=1e-6)
+    assert 0 < fit.deviance_error < 2 and abs(fit.minus_two_loglik - deviance) < 4 * fit.deviance_error
+    dams = {int(r["level"]): r["effect"] for r in fit.effects["dam"].collect()}
+    start = codes["year"].max() + 1
+    assert [dams[i] for i in sorted(dams)] == pytest.approx(u[start:start + len(dams)] * 0.8, abs=1e-4)
+    assert fit.level_counts == {g: data[g].nunique() for g in groups}
+
+
+def test_log_determinant_is_exact_for_few_levels(spark):
+    data = simulated(300)
+    problem = crossed.prepare_crossed(spark.createDataFrame(data), "y", ["one", "x1", "x2"], ["year"])
+    system = crossed.mode(problem, [0.7], np.zeros(problem.size), 1e-10)
+    assert crossed.deviance(problem, system) == (pytest.approx(dense_fit(data, {"year": 0.7}, ["year"])[2], abs=1e-6), 0.0)
+
+
+def test_crossed_search_finds_the_least_deviance(spark):
+    """No other deviation nearby has a smaller dense deviance, but for the error of the probes."""
+    data = simulated(300)
+    codes = data.assign(litter=data["litter"].astype("category").cat.codes)
+    problem = crossed.prepare_crossed(spark.createDataFrame(data), "y", ["one", "x1", "x2"], ["litter"])
+    (sd,), system = crossed.search(problem, [0.5], 1e-4, 0.1, (-7.0, 3.0), 0.7)
+    dense = {a: dense_fit(codes, {"litter": sd * a}, ["litter"])[2] for a in (0.4, 0.6, 0.8, 1.0, 1.25, 1.6, 2.5)}
+    assert dense[1.0] < min(dense.values()) + 0.5
+    assert system.at[:3] == pytest.approx(dense_fit(codes, {"litter": sd}, ["litter"])[0], abs=1e-2)
+
+
+def test_given_deviations_must_name_the_factors(spark):
     with pytest.raises(ValueError, match="deviations given"):
-        fit_mixed_logit(df, "y", ["one"], ["litter"], sds={"liter": 1.0})
+        fit_mixed_logit(spark.createDataFrame(simulated(50)), "y", ["one"], ["litter"], sds={"liter": 1.0})
 
 
 def test_effect_tables(spark):
