@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitalrates.functions.casting import finite, truncate_to_int
-from vitalrates.operators.lasso import cross_products, penalty_scores, tuning_table
+from vitalrates.operators.cell_lasso import cell_products, cell_tuning_table
+from vitalrates.operators.lasso import penalty_scores
 from vitalrates.operators.resample import bootstrap_weights, exact_bootstrap, train_test_split
 from vitalrates.operators.rows import best_row
 from vitalrates.operators.sequences import penalty_grid
@@ -68,22 +69,31 @@ def design_columns(df: DataFrame, roles: Roles, levels: dict[str, list[str]]) ->
     return df.withColumns(dict(zip(names, terms))), names
 
 
+def level_numbers(df: DataFrame, roles: Roles, levels: dict[str, list[str]], names: tuple[str, str]) -> DataFrame:
+    """Add the place of each factor's level in its list, from 0; a level that is not listed counts as the first."""
+    places = [
+        F.greatest(F.array_position(F.lit(levels[f]), F.col(f).cast("string")) - 1, F.lit(0)) for f in roles.factors
+    ]
+    return df.withColumns(dict(zip(names, places)))
+
+
 def tune(
     training: DataFrame, roles: Roles, levels: dict[str, list[str]], times: int = 25,
     penalties: Sequence[float] | None = None, seed: int = 1, exact_draws: bool = False,
 ) -> DataFrame:
-    """(penalty, rmse) over bootstrap replicates: all fits come from one scan of the training rows.
+    """(penalty, rmse) over bootstrap replicates: all fits come from one scan of the training rows into sums by cell.
 
     With `exact_draws` each replicate draws exactly as many rows as there are; the identifier must be unique then.
     """
     penalties = list(penalties or penalty_grid())
     needed = [*roles.numbers, *roles.factors, roles.outcome]
-    rows, names = design_columns(training.dropna(subset=needed), roles, levels)
-    center = rows.agg(*[F.avg(c).alias(c) for c in [*names, roles.outcome]]).first()
+    rows = training.dropna(subset=needed)
+    center = rows.agg(*[F.avg(F.col(c).cast("double")) for c in [*roles.numbers, roles.outcome]]).first()
     weigh = exact_bootstrap if exact_draws else bootstrap_weights
-    weighted = weigh(rows, [roles.identifier], times, seed)
-    products = cross_products(weighted, names, roles.outcome, "weights", [center[c] or 0.0 for c in center.asDict()])
-    return penalty_scores(tuning_table(products, penalties))
+    cell = ("__first", "__second")
+    weighted = level_numbers(weigh(rows, [roles.identifier], times, seed), roles, levels, cell)
+    products = cell_products(weighted, roles.numbers, roles.outcome, cell, "weights", [m or 0.0 for m in center])
+    return penalty_scores(cell_tuning_table(products, penalties, len(roles.numbers)))
 
 
 def final_model(training: DataFrame, roles: Roles, levels: dict[str, list[str]], penalty: float) -> PipelineModel:
