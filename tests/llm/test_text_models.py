@@ -1,7 +1,9 @@
 """Token counts, language, personal data, quality and secrets: against libraries and brute force, held-out accuracy, edge cases."""
 
 import hashlib
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -112,6 +114,59 @@ def test_disclosing_terms_are_removed(spark):
     assert personal_data.personal_data(docs.limit(0)).count() == 0
 
 
+def plain_terms(texts, window, min_support, generalise_at, remove_at):
+    """The term spans of every text by plain counting."""
+    free, holders, holding, both = [], Counter(), Counter(), Counter()
+    for text in texts:
+        base = plain_spans(text)
+        words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]{2,}", text)]
+        holding.update({w for _, _, w in words})
+        words = [x for x in words if all(x[1] <= a or x[0] >= b for _, a, b in base)]
+        free.append(words)
+        pairs = set()
+        for k, a, b in base:
+            near = [w for w in words if w[1] <= a][-window:] + [w for w in words if w[0] >= b][:window]
+            pairs |= {(personal_data.entity(k, text[a:b]), w) for _, _, w in near}
+        both.update(pairs)
+        holders.update({personal_data.entity(k, text[a:b]) for k, a, b in base})
+    n, best = len(texts), {}
+    for (e, w), k in both.items():
+        if k >= min_support and holders[e] < n:
+            share = math.log(n * k / (holders[e] * holding[w])) / math.log(n / holders[e])
+            best[w] = max(share, best.get(w, -9.0))
+    kind = {w: "remove" if d >= remove_at else "generalise" for w, d in best.items() if d >= generalise_at}
+    return [sorted((kind[w], a, b) for a, b, w in words if w in kind) for words in free]
+
+
+def test_terms_equal_plain_counting(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    rows = docs.collect()
+    for limits in ((2, 0.6, 0.85), (1, 0.4, 0.7)):
+        found = personal_data.personal_data(docs, min_support=limits[0], generalise_at=limits[1], remove_at=limits[2])
+        own = {r.doc_id: [tuple(x) for x in r.terms] for r in found.collect()}
+        plain = dict(zip([r.doc_id for r in rows], plain_terms([r.text or "" for r in rows], personal_data.WINDOW, *limits)))
+        assert own == plain
+    assert any(plain.values())
+
+
+def test_terms_are_marked_in_every_text(spark):
+    rows = [(i, f"the surgeon Quillfeather writes from q{i % 2}@x.org today") for i in range(4)]
+    rows += [(i, f"the clerk writes from other{i}@x.org today") for i in range(10, 60)]
+    rows += [(70, "a letter to Quillfeather and no address"), (71, "quillfeathers are many")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = personal_data.personal_data(docs, generalise_at=0.5, remove_at=0.7)
+    clean = {r.doc_id: r.text for r in personal_data.sanitised(docs, found).collect()}
+    assert clean[70] == "a letter to  and no address" and clean[71] == "quillfeathers are many"
+
+
+def test_neighbours_are_words_however_far():
+    spans = [("email", 500, 505)]
+    text = "y" * 60 + " " + "1" * 400
+    text = text.ljust(499) + " a@b.c " + "1" * 400 + " " + "z" * 60
+    assert personal_data.base_spans(text) == [("email", 500, 505)]
+    assert {t for _, t in personal_data.neighbours(text, spans, 1)} == {"y" * 60, "z" * 60}
+
+
 def test_language_is_learned(spark):
     found = queries.op5_language_id(spark, "/root/testdata/sf0.01")
     truth = queries.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang", F.rlike(F.coalesce("text", F.lit("")), F.lit("\\p{L}")).alias("some"))

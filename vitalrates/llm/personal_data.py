@@ -3,14 +3,23 @@
 Base spans (email, ip, card, phone) are found by fixed patterns. The corpus then tells how much a term says about a
 protected entity: with n documents, n(e) holding the entity, n(t) the term, and n(e,t) the term within a few words of
 the entity, the disclosure is log(n n(e,t) / (n(e) n(t))) / log(n / n(e)): the share of the entity's information that the
-term carries, 1 when the term occurs nowhere else. Terms above one threshold are generalised, above a higher one removed.
+term carries, 1 when the term occurs nowhere else. Terms above one threshold for some entity are generalised, above a higher
+one removed, wherever they occur: a term beside the entity in one document points to it from every other one.
+
+A first pass over the texts counts, a second one marks. The second carries a bit table of the disclosing terms' hashes, of one
+size whatever their number, and the marked words are compared with the terms themselves by a join.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +32,7 @@ WINDOW = 8
 MIN_SUPPORT = 2
 GENERALISE_AT, REMOVE_AT = 0.6, 0.85
 COUNTS_HELD = 400_000
+TABLE_BITS = 1 << 23
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -31,7 +41,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[^\W\d_]{2,40}")
+_WORD = re.compile(r"[^\W\d_]{2,}")
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -82,91 +92,125 @@ def entity(kind: str, text: str) -> str:
     return f"{kind}:{body}"
 
 
-def neighbours(text: str, spans: list[tuple[str, int, int]], window: int) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the words within `window` words of each entity and outside every base span."""
-    if not spans:
-        return []
+def _free_words(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """The words outside every base span, in order."""
     taken = sorted((a, b) for _, a, b in spans)
-    out = []
+    at, end = 0, 0  # spans of different kinds may overlap; `end` is how far those seen so far reach
+    for m in _WORD.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            end = max(end, taken[at][1])
+            at += 1
+        if end <= m.start():
+            yield m
+
+
+def neighbours(text: str, spans: list[tuple[str, int, int]], window: int) -> set[tuple[str, str]]:
+    """(entity, term) for the nearest `window` words on either side of each entity, outside every base span."""
+    if not spans:
+        return set()
+    places = np.fromiter((x for m in _free_words(text, spans) for x in m.span()), dtype=np.int64).reshape(-1, 2)
+    out = set()
     for kind, start, end in spans:
-        near, reach, at = [], window * 42, start
-        low = max(0, start - reach)
-        while low > 0 and text[low - 1].isalpha():  # never begin inside a word
-            low -= 1
-        near += list(_WORD.finditer(text, low, at))[-window:]
-        after = _WORD.finditer(text, end)
-        near += [m for m, _ in zip(after, range(window))]
-        name = entity(kind, text[start:end])
-        for m in near:
-            a, b = m.span()
-            i = _first_after(taken, a)
-            if i is None or taken[i][0] >= b:
-                out.append((name, m.group().lower(), a, b))
+        at, name = bisect_right(places[:, 1], start), entity(kind, text[start:end])
+        after = np.searchsorted(places[:, 0], end)
+        for a, b in (*places[max(0, at - window) : at].tolist(), *places[after : after + window].tolist()):
+            out.add((name, text[a:b].lower()))
     return out
 
 
-def _first_after(taken: list[tuple[int, int]], at: int) -> int | None:
-    """The first span that ends after `at`."""
-    from bisect import bisect_right
-
-    for i in range(max(0, bisect_right(taken, (at, at)) - len(KINDS)), len(taken)):
-        if taken[i][1] > at:
-            return i
-    return None
+COUNTED = "entity string, term string, texts long"
 
 
-def _scan(window: int):
-    """Per text: its base spans and the terms near them. Once a task: in how many texts each word occurs."""
+def _count(window: int):
+    """In how many texts each entity, each word and each pair of neighbours occurs; NULL for both counts the texts."""
 
-    def scan(batches):
+    def count(batches):
         import pyarrow as pa
 
-        near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        base = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        types = [pa.int64(), base, near, pa.string(), pa.int64()]
-        names = ["doc_id", "base", "near", "term", "texts"]
-
-        def made(columns):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+        seen: Counter = Counter()
 
         def counted():
-            n = len(seen)
-            return made([[None] * n, [None] * n, [None] * n, list(seen.keys()), list(seen.values())])
+            names = [pa.array([key[k] for key in seen], pa.string()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([*names, pa.array(list(seen.values()), pa.int64())], names=["entity", "term", "texts"])
 
-        seen: Counter = Counter()
         for batch in batches:
-            ids, bases, nears = batch.column("doc_id").to_pylist(), [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text)
-                bases.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                nears.append([{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in neighbours(text, spans, window)])
-                seen.update(set(_WORD.findall(text.lower())))
+                seen[None, None] += 1
+                seen.update((None, w) for w in {w.lower() for w in set(_WORD.findall(text))})
+                seen.update((e, None) for e in {entity(k, text[a:b]) for k, a, b in spans})
+                seen.update(neighbours(text, spans, window))
                 if len(seen) > COUNTS_HELD:
                     yield counted()
                     seen.clear()
-            n = len(ids)
-            yield made([ids, bases, nears, [None] * n, [None] * n])
         if seen:
             yield counted()
 
-    return scan
+    return count
 
 
-SCANNED = (
-    "doc_id long, base array<struct<kind:string,start:int,end:int>>, "
-    "near array<struct<entity:string,term:string,start:int,end:int>>, term string, texts long"
-)
+def disclosing_terms(counts: DataFrame, min_support: int, at_least: float) -> DataFrame:
+    """term and its largest disclosure about any entity beside which it stands in at least `min_support` documents."""
+    summed = cut_lineage(counts.groupBy("entity", "term").agg(F.sum("texts").alias("texts")))
+    n = float(summed.where("entity IS NULL AND term IS NULL").agg(F.sum("texts")).first()[0] or 0)
+    pairs = summed.where(F.col("entity").isNotNull() & F.col("term").isNotNull()).where(F.col("texts") >= min_support)
+    holders = summed.where("entity IS NOT NULL AND term IS NULL").select("entity", F.col("texts").alias("holders"))
+    words = summed.where("entity IS NULL AND term IS NOT NULL").select("term", F.col("texts").alias("holding"))
+    share = F.log(n * F.col("texts") / (F.col("holders") * F.col("holding"))) / F.log(n / F.col("holders"))
+    known = pairs.join(holders, "entity").where(F.col("holders") < n).join(words, "term")
+    return known.groupBy("term").agg(F.max(share).alias("disclosure")).where(F.col("disclosure") >= at_least)
 
 
-def disclosures(near: DataFrame, texts: DataFrame, n: Column, min_support: int = MIN_SUPPORT) -> DataFrame:
-    """entity, term, disclosure for every pair seen together in at least `min_support` documents."""
-    pairs = near.groupBy("entity", "term").agg(F.count_distinct("row").alias("both")).where(F.col("both") >= min_support)
-    of_entity = near.groupBy("entity").agg(F.count_distinct("row").alias("holders"))
-    share = F.log(n * F.col("both") / (F.col("holders") * F.col("texts"))) / F.log(n / F.col("holders"))
-    return (
-        pairs.join(of_entity, "entity").join(texts, "term")
-        .select("entity", "term", F.when(F.col("holders") < n, share).otherwise(F.lit(0.0)).alias("disclosure"))
-    )
+def _bit_table(terms: DataFrame) -> bytes:
+    """One bit for every value of a term's hash, set if some term has it: TABLE_BITS / 8 bytes."""
+    place = F.crc32(F.col("term").cast("binary")) % TABLE_BITS
+    parts = terms.select(place.alias("place")).select(
+        F.floor(F.col("place") / 32).alias("word"), F.expr("shiftleft(1L, CAST(place % 32 AS INT))").alias("bit")
+    ).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most TABLE_BITS / 32 rows
+    table = np.zeros(TABLE_BITS // 32, dtype="<u4")
+    table[parts["word"].to_numpy(dtype=np.int64)] = parts["bits"].to_numpy(dtype=np.int64)
+    return table.tobytes()
+
+
+MARKED = "doc_id long, base array<struct<kind:string,start:int,end:int>>, marked array<struct<term:string,start:int,end:int>>"
+
+
+def _mark(table: bytes):
+    """Per text: its base spans, and the words outside them whose hash is in the table."""
+    any_set = any(table)
+
+    def mark(batches):
+        import pyarrow as pa
+
+        base = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        words = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        hits: dict[str, bool] = {}
+
+        def hit(word: str) -> bool:
+            found = hits.get(word)
+            if found is None:
+                if len(hits) > COUNTS_HELD:
+                    hits.clear()
+                h = zlib.crc32(word.lower().encode()) % TABLE_BITS
+                found = hits[word] = bool(table[h >> 3] >> (h & 7) & 1)
+            return found
+
+        for batch in batches:
+            # A long text has many spans, so output goes on in short batches.
+            texts = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
+            while part := list(islice(texts, 256)):
+                bases, marks = [], []
+                for _, text in part:
+                    spans = base_spans(text)
+                    bases.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
+                    found = _free_words(text, spans) if any_set and any(map(hit, set(_WORD.findall(text)))) else ()
+                    marks.append([
+                        {"term": m.group().lower(), "start": m.start(), "end": m.end()} for m in found if hit(m.group())
+                    ])
+                columns = [pa.array([i for i, _ in part], pa.int64()), pa.array(bases, base), pa.array(marks, words)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "base", "marked"])
+
+    return mark
 
 
 def personal_data(
@@ -175,21 +219,19 @@ def personal_data(
 ) -> DataFrame:
     """One row per input row: doc_id, base and terms (arrays of kind, start, end).
 
-    NULL and empty texts have no spans; rows that repeat an id and a text each count as a document and get the same
-    spans; a table whose every document holds an entity gives it no disclosing terms. Extra columns are ignored.
+    A pair of entity and term counts from `min_support` documents on; one document's neighbours of its own entity would
+    otherwise all be terms. NULL and empty texts have no spans; rows that repeat an id and a text each count as a document
+    and get the same spans; an entity that every document holds has no disclosing terms. Extra columns are ignored.
     """
     base = id_and_text(docs, **columns)
-    scanned = cut_lineage(base.mapInArrow(_scan(window), SCANNED))
-    found = scanned.where("term IS NULL").select("doc_id", "base", "near", F.monotonically_increasing_id().alias("row"))
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    texts = scanned.where("term IS NOT NULL").groupBy("term").agg(F.sum("texts").alias("texts"))
-    total = found.count()
-    known = disclosures(near, texts, F.lit(float(total)), min_support).where(F.col("disclosure") >= generalise_at)
+    counts = base.select("text").mapInArrow(_count(window), COUNTED)
+    known = cut_lineage(disclosing_terms(counts, min_support, generalise_at))
+    found = cut_lineage(base.mapInArrow(_mark(_bit_table(known)), MARKED))
+    found = found.select("*", F.monotonically_increasing_id().alias("row"))
     kind = F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise")
-    spans = (
-        near.join(known, ["entity", "term"])
-        .groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-        .groupBy("row").agg(F.sort_array(F.collect_list(F.struct(kind.alias("kind"), "start", "end"))).alias("terms"))
+    marked = found.select("row", F.explode("marked").alias("x")).select("row", "x.*")
+    spans = marked.join(known, "term").groupBy("row").agg(
+        F.sort_array(F.collect_list(F.struct(kind.alias("kind"), "start", "end"))).alias("terms")
     )
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return found.join(spans, "row", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
