@@ -225,6 +225,29 @@ def test_quality_of_odd_texts(spark, odd):
     assert quality.quality_scores(empty, quality.fit_quality(empty, labels)).count() == 0
 
 
+def test_features_of_values_equal_plain_ones(spark):
+    random_ = np.random.default_rng(8)
+    signs = np.array(list("abcdeXYZ0123+/_=-"))
+    values = ["".join(random_.choice(signs, n)) for n in (16, 40, 200_000)] + ["z"]
+    words = [("abc", 30), ("de", 25), ("c", 99), ("e0a", 3), ("y" * 50, 2)]
+    table = spark.createDataFrame(words, "word string, n long")
+    found = {r.value: r for r in secrets.value_features(spark.createDataFrame([(v,) for v in values], "value string"), table).collect()}
+    counts, firsts = Counter(), Counter()
+    for w, n in words:
+        w = re.sub("[0-9]", "0", w)
+        for a, b in zip(w, w[1:]):
+            counts[a + b] += n
+            firsts[a] += n
+    for v in values:
+        plain = re.sub("[+/_=-]", "-", re.sub("[0-9]", "0", v.lower()))
+        pairs = [a + b for a, b in zip(plain, plain[1:])]
+        chances = [math.log((counts[p] + 1) / (firsts[p[0]] + 28)) if p in counts else -8.0 for p in pairs]
+        assert found[v].transition == pytest.approx(np.mean(chances) if pairs else -8.0)
+        covered = sum(len(w) for w in re.findall("[a-z]{2,}", v.lower()) if w in ("abc", "de"))
+        assert found[v].covered == pytest.approx(covered / len(v))
+        assert found[v].size == len(v) and found[v].digits == pytest.approx(sum(c.isdigit() for c in v) / len(v))
+
+
 def test_secrets_are_told_from_names(spark):
     random_ = np.random.default_rng(5)
     signs = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))

@@ -27,6 +27,8 @@ TREES, DEPTH = 40, 6
 ASSIGNS = r"(?i)(token|secret|api_?key|access_?key|passwd|password)[\"' ]*[:=][\"' ]*$"
 SAMPLES = r"(?i)(test|example|sample|mock|docs?)([^a-z]|$)"
 CLASSES = ("abcdefghijklmnopqrstuvwxyz0123456789+/_=-", "abcdefghijklmnopqrstuvwxyz0000000000-----")
+SIGNS = "abcdefghijklmnopqrstuvwxyz0-"  # what CLASSES leaves
+UNSEEN = -8.0
 OWN = ("size", "digits", "upper", "variety", "transition", "covered", "path_size", "path_depth", "path_sample")
 
 
@@ -60,34 +62,48 @@ def _pairs(column: Column) -> Column:
 
 def transitions(words: DataFrame) -> DataFrame:
     """pair and the log chance of its second character after its first: at most 28 x 28 rows by construction."""
-    pairs = words.where(F.length("word").between(2, 40)).select("n", F.explode(_pairs(F.col("word"))).alias("pair"))
+    pairs = words.select("n", F.explode(_pairs(F.col("word"))).alias("pair"))
     counts = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
     firsts = counts.groupBy(F.substring("pair", 1, 1).alias("first")).agg(F.sum("n").alias("total"))
     joined = counts.join(firsts, F.substring("pair", 1, 1) == F.col("first"))
     return joined.select("pair", F.log((F.col("n") + 1) / (F.col("total") + 28)).alias("chance"))
 
 
+def _transition(value: Column, table: list[float]) -> Column:
+    """Mean log chance of a value's character pairs, summed inside the row; -8 without pairs."""
+    def place(c: Column) -> Column:
+        return F.position(c, F.lit(SIGNS)) - 1
+
+    chances = F.lit(table)
+    total = F.aggregate(_pairs(value), F.lit(0.0), lambda s, p: s + F.coalesce(
+        F.get(chances, place(F.left(p, F.lit(1))) * len(SIGNS) + place(F.right(p, F.lit(1)))), F.lit(UNSEEN)
+    ))
+    return F.when(F.length(value) > 1, total / (F.length(value) - 1)).otherwise(F.lit(UNSEEN))
+
+
 def value_features(values: DataFrame, words: DataFrame) -> DataFrame:
-    """value, size, digits, upper, variety, transition, covered of distinct values."""
+    """value, size, digits, upper, variety, transition, covered of distinct values.
+
+    Only a number of the value goes along with its words, so a candidate of any length costs in proportion to it.
+    """
     size = F.length("value")
 
     def share(kind: str) -> Column:
         return F.regexp_count("value", F.lit(kind)) / size
 
-    table = F.broadcast(transitions(words))  # at most 784 rows
-    likely = values.select("value", F.explode(_pairs(F.col("value"))).alias("pair")).join(table, "pair", "left")
-    likely = likely.groupBy("value").agg(F.avg(F.coalesce("chance", F.lit(-8.0))).alias("transition"))
+    known = {r["pair"]: r["chance"] for r in transitions(words).collect()}  # at most 784 rows
+    table = [float(known.get(a + b, UNSEEN)) for a in SIGNS for b in SIGNS]
+    numbered = cut_lineage(values.withColumn("at", F.monotonically_increasing_id()))
     frequent = words.where((F.col("n") >= FREQUENT) & (F.length("word") >= 2)).select("word")
-    parts = values.select("value", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{2,}"), F.lit(0))).alias("word"))
-    covered = parts.join(frequent, "word").groupBy("value").agg(F.sum(F.length("word")).alias("letters"))
-    own = values.select(
-        "value", size.cast("double").alias("size"), share("[0-9]").alias("digits"), share("[A-Z]").alias("upper"),
+    parts = numbered.select("at", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{2,}"), F.lit(0))).alias("word"))
+    covered = parts.join(frequent, "word").groupBy("at").agg(F.sum(F.length("word")).alias("letters"))
+    own = numbered.select(
+        "at", "value", size.cast("double").alias("size"), share("[0-9]").alias("digits"), share("[A-Z]").alias("upper"),
         (F.size(F.array_distinct(F.split("value", ""))) / F.least(size, F.lit(64))).alias("variety"),
+        _transition(F.col("value"), table).alias("transition"),
     )
-    out = own.join(likely, "value", "left").join(covered, "value", "left")
-    return out.select(
-        *own.columns, F.coalesce("transition", F.lit(-8.0)).alias("transition"),
-        (F.coalesce("letters", F.lit(0)) / F.col("size")).alias("covered"),
+    return own.join(covered, "at", "left").select(
+        *[c for c in own.columns if c != "at"], (F.coalesce("letters", F.lit(0)) / F.col("size")).alias("covered")
     )
 
 
