@@ -61,6 +61,15 @@ def test_mixture_of_odd_rows(odd):
     assert total == sum(r.taken for r in rows)
 
 
+def test_mixture_attaches_leaves_without_moving_rows(odd, monkeypatch):
+    docs = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    found = mixing.mixture(docs, weights=queries.WEIGHTS, max_epochs=queries.MAX_EPOCHS, seed=queries.SEED)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(mixing, "fits", lambda table: False)
+    sliced = mixing.mixture(docs, weights=queries.WEIGHTS, max_epochs=queries.MAX_EPOCHS, seed=queries.SEED)
+    same_rows(sliced.toPandas(), found.toPandas())
+
+
 @pytest.fixture(scope="module")
 def folder(spark, odd, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
@@ -79,6 +88,14 @@ def test_stages_take_odd_and_empty_tables(spark, odd, folder, stage):
         assert out.count() <= docs.count()
 
 
+def test_exact_dedup_tells_rows_of_one_id_by_their_text(spark):
+    rows = [(7, "a", 1), (7, "b", 2), (9, "a", 3), (8, None, 4), (8, "", 5), (5, None, 6), (9, "a", 7), (None, "c", 8), (None, "a", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_sha256 int")
+    kept = corpus_pipeline.without_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(7, "b"), (8, ""), (9, "a")]
+
+
 def test_pipeline_runs_over_odd_tables(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 0
 

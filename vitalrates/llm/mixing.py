@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitalrates.session import cut_lineage
+from vitalrates.operators.joins import hot_keys, left_join
+from vitalrates.session import cut_lineage, fits
 
 LEVELS = ("domain", "lang", "source")
 WORD = "[^ \\x09-\\x0D]+"
@@ -80,6 +81,14 @@ def _edge(sums: DataFrame, part: str, target: str) -> DataFrame:
     return rows.select(*LEVELS, F.col(part).alias("edge"), F.col("before").alias("passed"))
 
 
+def _at_leaf(rows: DataFrame, leaves: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with the columns of their leaf: a broadcast of the stored leaves once measured, else a join with hot sources sliced."""
+    if fits(leaves):
+        return rows.join(F.broadcast(leaves), list(LEVELS), how)
+    by = ["doc_id", "tie"]
+    return left_join(rows, leaves, LEVELS, null_safe=False, hot=hot_keys(rows, "source"), spread_by=by, how=how)
+
+
 def mixture(
     docs: DataFrame, *, weights: Mapping[str, float], share: float = 1.0, max_epochs: int = 4, seed: int = 7,
     domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -87,8 +96,8 @@ def mixture(
     """Chosen rows: doc_id, domain, lang, source, n_tokens, epochs (whole ones), part (tokens of one more), taken.
 
     The budget is `share` of all tokens (words). NULL language and source are the leaf `none`; texts without words have no
-    tokens and are never chosen; rows of one leaf with the same doc_id are ordered by their token count and text hash. An
-    empty table gives no rows. Other columns of the input are ignored.
+    tokens and are never chosen; rows of one leaf with the same doc_id are ordered by their token count and text hash, a NULL
+    doc_id is an id like any other. An empty table gives no rows. Other columns of the input are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
@@ -105,15 +114,15 @@ def mixture(
         *LEVELS, F.expr("budget div tokens").alias("epochs"), (F.col("budget") % F.col("tokens")).alias("rest")
     ))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "epochs", "doc_id"))
-    ordered = rows.join(budgets, list(LEVELS)).withColumn("key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    ordered = _at_leaf(rows, budgets).withColumn("key", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
     ordered = ordered.withColumn("coarse", F.shiftright("key", 48)).withColumn("fine", F.shiftright("key", 36) % 4096)
     first = ordered.where("rest > 0").groupBy(*LEVELS, "coarse", "rest").agg(F.sum("n_tokens").alias("tokens"))
     first = cut_lineage(_edge(first, "coarse", "rest"))
-    near = ordered.join(first, list(LEVELS)).where("coarse = edge").withColumn("goal", F.col("rest") - F.col("passed"))
+    near = _at_leaf(ordered, first).where("coarse = edge").withColumn("goal", F.col("rest") - F.col("passed"))
     second = near.groupBy(*LEVELS, "fine", "goal").agg(F.sum("n_tokens").alias("tokens"))
     second = _edge(second, "fine", "goal").withColumnsRenamed({"edge": "edge2", "passed": "passed2"})
     ends = cut_lineage(first.join(second, list(LEVELS)))
-    every = ordered.join(ends, list(LEVELS), "left")
+    every = _at_leaf(ordered, ends, "left")
     last = (F.col("coarse") == F.col("edge")) & (F.col("fine") == F.col("edge2"))
     inside = (F.col("coarse") < F.col("edge")) | ((F.col("coarse") == F.col("edge")) & (F.col("fine") < F.col("edge2")))
     whole = every.where(~F.coalesce(last, F.lit(False))).withColumn("part", F.when(inside, F.col("n_tokens")).otherwise(F.lit(0)))
