@@ -30,9 +30,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id; rows that repeat a doc_id and its text become one."""
+    """Of equal texts the one with the largest doc_id; rows that repeat a doc_id and its text become one.
+
+    Rows of one doc_id with different texts are judged one by one: they are told apart by the text's hash.
+    """
+    key = ["__id", "__sha"]
     kept = exact_dedup.exact_duplicates(docs, keep="largest").where("kept")
-    return only(docs, kept).dropDuplicates(["doc_id", "text"])
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__sha": F.sha2(text, 256)})
+    return keyed.join(kept, key, "left_semi").dropDuplicates(key).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
