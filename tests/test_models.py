@@ -431,3 +431,23 @@ def test_mixed_fit_is_stored_by_version(spark, tmp_path):
     plain = dataclasses.replace(fit, sds={}, effects={}, level_counts={})
     save_mixed_fit(spark, plain, str(tmp_path / "plain"))
     assert load_mixed_fit(fresh, str(tmp_path / "plain")).effects == {}
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_crossed_fit_above_the_driver_bound(spark, hot):
+    """The largest factor is eliminated on the executors, its hot levels stay on the driver; the fit is the dense one."""
+    data, sds = crossed_data(), {"dam": 0.8, "litter": 0.6}
+    if hot:
+        data.loc[::3, "litter"] = 7
+    codes = data.assign(**{g: data[g].astype("category").cat.codes for g in sds})
+    fit = fit_mixed_logit(
+        spark.createDataFrame(data), "y", ["one", "x1", "x2"], list(sds), sds=sds, tolerance=1e-10, driver_levels=150)
+    beta, covariance, deviance, u = dense_fit(codes, sds, list(sds))
+    assert fit.beta == pytest.approx(beta, abs=1e-4)
+    assert fit.covariance == pytest.approx(covariance, abs=1e-6)
+    assert abs(fit.minus_two_loglik - deviance) < 4 * fit.deviance_error
+    dams = codes["dam"].max() + 1
+    for g, own in (("dam", u[:dams]), ("litter", u[dams:])):
+        found = {int(r["level"]): r["effect"] for r in fit.effects[g].collect()}
+        assert [found[i] for i in sorted(found)] == pytest.approx(own * sds[g], abs=1e-4)
+        assert fit.level_counts[g] == len(found)

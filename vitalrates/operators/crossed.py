@@ -5,7 +5,10 @@ eliminated. A scan adds up products of the system with a block of vectors: tasks
 emit one line per level they met. Newton steps solve by conjugate gradients, preconditioned by the fixed effects' block
 and the diagonal, and the log-determinant is a Lanczos quadrature over seeded random signs, all of them in one block.
 The driver holds vectors as long as the levels of all factors together, at most `LOOKUP_MAX_ROWS`; rows never leave the
-executors.
+executors. With more levels the largest factor is eliminated exactly: rows are dealt by its levels, so a task holds all
+rows of a level and takes it out of every product on its own, and its effects stay with the rows in the checkpoint folder.
+The driver then holds the other factors only, at most `KEPT_LEVELS`. Levels of the largest factor above 1 % of the rows are
+kept on the driver as well, so their rows may lie in any task.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -21,8 +24,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalrates.operators.joins import attach_small
-from vitalrates.session import LOOKUP_MAX_ROWS, bounded_rows
+from vitalrates.operators.joins import attach_small, hot_keys
+from vitalrates.session import LOOKUP_MAX_ROWS, bounded_rows, cut_lineage
 
 # Tasks carry the functions of this module, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -34,6 +37,11 @@ SOLVE_STEPS = 500
 NEWTON_SOLVE = 1e-3
 #: Decrement at which a mode is close enough to compare deviances.
 SEARCH_TOLERANCE = 1e-4
+#: Levels on the driver beside an eliminated factor: a block of all probes is at most 128 MB.
+KEPT_LEVELS = 500_000
+#: Rows a task holds at once when a factor is eliminated.
+CHUNK_ROWS = 200_000
+CHUNK = "y binary, x binary, k binary, a binary, names array<string>, u binary, w binary"
 
 
 @dataclass
@@ -46,6 +54,9 @@ class Crossed:
     levels: list[list[str]]
     n: int
     passes: int = 0
+    #: Position of the eliminated factor, whose `levels` are then only those kept on the driver; `rows` are then chunks.
+    gone: int | None = None
+    counts: list[int] = field(default_factory=list)
 
     @property
     def ends(self) -> np.ndarray:
@@ -59,6 +70,15 @@ class Crossed:
         return np.repeat([1.0, *sds], [len(self.x), *map(len, self.levels)])
 
 
+@dataclass
+class Held:
+    """Effects of the eliminated factor, in chunks; `move` (scale, sd, at, step, reach) and `ratio` are still to be applied."""
+
+    rows: DataFrame
+    move: tuple | None = None
+    ratio: float = 1.0
+
+
 @dataclass
 class System:
     """The penalised system at one point: products with a block, and what the scan of that point gave."""
@@ -69,22 +89,223 @@ class System:
     diagonal: np.ndarray
     fixed: np.ndarray
     times: Callable[[np.ndarray], np.ndarray]
+    #: Of an eliminated factor: its effects here, their squares, its log-determinant and its part of the decrement.
+    held: Held | None = None
+    squares: float = 0.0
+    logdet: float = 0.0
+    decrement: float = 0.0
 
 
-def prepare_crossed(df: DataFrame, y: str, x: Sequence[str], groups: Sequence[str]) -> Crossed:
-    """Number the levels of every factor and keep only what a scan needs."""
+def prepare_crossed(
+    df: DataFrame, y: str, x: Sequence[str], groups: Sequence[str], driver_levels: int = LOOKUP_MAX_ROWS
+) -> Crossed:
+    """Number the levels of every factor and keep only what a scan needs; above `driver_levels` the largest is eliminated."""
     text = [F.col(g).cast("string").alias(f"__group_{g}") for g in groups]
     rows = df.select(F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in x], *text)
+    stored = rows = rows.persist()
+    counts = list(rows.agg(*[F.countDistinct(f"__group_{g}") for g in groups]).first())
+    gone = int(np.argmax(counts)) if sum(counts) + len(x) > driver_levels else None
+    bound = LOOKUP_MAX_ROWS if gone is None else KEPT_LEVELS
     levels, start = [], len(x)
     for i, g in enumerate(groups):
-        found = bounded_rows(rows.select(f"__group_{g}").distinct(), LOOKUP_MAX_ROWS - start, f"levels up to {g}")
-        levels.append(sorted(r[0] for r in found))
+        if i == gone:
+            levels.append(_kept_levels(rows, f"__group_{g}"))
+        else:
+            found = bounded_rows(rows.select(f"__group_{g}").distinct(), bound - start, f"levels up to {g}")
+            levels.append(sorted(r[0] for r in found))
         codes = [(v, start + k) for k, v in enumerate(levels[-1])]
         table = df.sparkSession.createDataFrame(codes, "__level string, __code int").withColumnRenamed("__code", f"__c{i}")
-        rows = attach_small(rows, table, [(f"__group_{g}", "__level")], null_safe=False).drop(f"__group_{g}")
+        rows = attach_small(rows, table, [(f"__group_{g}", "__level")], null_safe=False)
+        rows = rows if i == gone else rows.drop(f"__group_{g}")
         start += len(levels[-1])
-    rows = rows.persist()
-    return Crossed(rows, list(x), list(groups), levels, rows.count())
+    if gone is None:
+        rows = rows.persist()
+        n = rows.count()
+    else:
+        n = rows.count()
+        rows = cut_lineage(_chunks(rows, list(x), len(groups), f"__group_{groups[gone]}", gone, start, n))
+    stored.unpersist()
+    return Crossed(rows, list(x), list(groups), levels, n, gone=gone, counts=counts)
+
+
+def _kept_levels(rows: DataFrame, group: str) -> list[str]:
+    """Levels above 1 % of the rows (and possibly some others), whose rows no single task should hold."""
+    if not rows.filter(F.col(group).isNull()).isEmpty():
+        raise ValueError(f"{group.removeprefix('__group_')} is missing in some rows; the fit takes complete cases")
+    return sorted(hot_keys(rows, group))
+
+
+def _chunks(rows: DataFrame, x: list[str], factors: int, group: str, gone: int, size: int, n: int) -> DataFrame:
+    """One record per task: its rows as arrays, with all rows of every eliminated level it meets.
+
+    Positions point into the driver's vectors, `size` where a row has none; `a` numbers the eliminated levels of the chunk,
+    the last number stands for rows of a kept level.
+    """
+    codes, own = [f"__c{i}" for i in range(factors)], f"__c{gone}"
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // CHUNK_ROWS))
+    by = F.when(F.col(own).isNull(), F.xxhash64(group)).otherwise(F.xxhash64("__y", *x, *codes))
+    name = F.when(F.col(own).isNull(), F.col(group))
+    dealt = rows.select("__y", *x, *[F.coalesce(c, F.lit(size)).alias(c) for c in codes], name.alias("__a"), by.alias("__by"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [pdf for pdf in batches if len(pdf)]
+        if not held:
+            return
+        pdf = pd.concat(held, ignore_index=True)
+        a, names = pd.factorize(pdf["__a"])
+        a = np.where(a < 0, len(names), a).astype(np.int32)
+        order = np.argsort(a, kind="stable")
+        pdf, a = pdf.iloc[order], a[order]
+        yield pd.DataFrame([{
+            "y": pdf["__y"].to_numpy(float).tobytes(), "x": pdf[x].to_numpy(float).tobytes(),
+            "k": pdf[codes].to_numpy(np.int32).tobytes(), "a": a.tobytes(), "names": list(names),
+            "u": np.zeros(len(names) + 1).tobytes(), "w": b"",
+        }])
+
+    return dealt.repartition(parts, "__by").mapInPandas(pack, CHUNK)
+
+
+class Chunk:
+    """The arrays of a chunk and its products; `sd` is the deviation of the eliminated factor."""
+
+    def __init__(self, row, p: int, factors: int, scale: np.ndarray, sd: float):
+        self.p, self.size, self.scale = p, len(scale), np.append(scale, 0.0)
+        self.y = np.frombuffer(row["y"])
+        self.x = np.frombuffer(row["x"]).reshape(-1, p)
+        self.k = np.frombuffer(row["k"], np.int32).reshape(-1, factors)
+        self.a = np.frombuffer(row["a"], np.int32)
+        self.u, self.w = np.frombuffer(row["u"]), np.frombuffer(row["w"])
+        self.own = np.where(np.arange(len(self.u)) < len(self.u) - 1, sd, 0.0)  # the last level stands for none
+        self.first = np.flatnonzero(np.diff(self.a, prepend=-1))
+
+    def line(self, block: np.ndarray) -> np.ndarray:
+        """Per row: its columns times the block."""
+        block = np.vstack([block, np.zeros((1, block.shape[1]))])
+        block[self.p:] *= self.scale[self.p:, None]
+        return self.x @ block[:self.p] + sum(block[k] for k in self.k.T)
+
+    def by_level(self, values: np.ndarray) -> np.ndarray:
+        """Sums over the rows of each eliminated level, in units of its effect."""
+        out = np.zeros((len(self.u), values.shape[1]))
+        out[self.a[self.first]] = np.add.reduceat(values, self.first, axis=0)
+        return self.own[:, None] * out
+
+    def spread(self, values: np.ndarray) -> np.ndarray:
+        return (self.own[:, None] * values)[self.a]
+
+    def score(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Linear predictor and mean of each row."""
+        eta = (self.line(at[:, None]) + self.spread(self.u[:, None]))[:, 0]
+        return eta, 1.0 / (1.0 + np.exp(-eta))
+
+    def pivots(self) -> np.ndarray:
+        return 1.0 + self.own * self.by_level(self.w[:, None])[:, 0]
+
+    def level_gradient(self, mu: np.ndarray) -> np.ndarray:
+        return self.by_level((self.y - mu)[:, None])[:, 0] - self.u
+
+    def reduced(self, values: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Weighted products per row, less what the eliminated levels take."""
+        values = self.w[:, None] * values
+        return values - self.w[:, None] * self.spread(self.by_level(values) / h[:, None])
+
+    def back(self, total: np.ndarray, values: np.ndarray, power: int = 1) -> None:
+        """Add the products of the columns with `values` to the driver's positions."""
+        for k in self.k.T:
+            order = np.argsort(k, kind="stable")
+            found, first = np.unique(k[order], return_index=True)
+            sums = np.add.reduceat(values[order], first, axis=0)
+            inside = found < self.size
+            total[found[inside]] += self.scale[found[inside], None] ** power * sums[inside]
+
+
+def _lines(df: DataFrame, size: int, width: int, of: Callable[[Chunk, np.ndarray], None], opened: Callable) -> np.ndarray:
+    """Sum over all chunks of what `of` adds to a table with a line per position."""
+    names = [f"v{j}" for j in range(width)]
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((size, width))
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                of(opened(row), total)
+        met = np.flatnonzero(total.any(axis=1))
+        yield pd.DataFrame(total[met], columns=names).assign(i=met)[["i", *names]]
+
+    lines = df.mapInPandas(add, "i int, " + ", ".join(f"{v} double" for v in names))
+    found = lines.groupBy("i").agg(*[F.sum(v).alias(v) for v in names]).toPandas()
+    out = np.zeros((size, width))
+    out[found["i"].to_numpy(int)] = found[names].to_numpy(float)
+    return out
+
+
+def _reduced_system(problem: Crossed, sds: Sequence[float], at: np.ndarray, held: Held) -> System:
+    """The system of the driver's positions once the largest factor is eliminated, at `at` and the effects of `held`."""
+    p, factors, size = len(problem.x), len(problem.factors), problem.size
+    scale, sd, move, ratio = problem.scales(sds), sds[problem.gone], held.move, held.ratio
+    context = problem.rows.sparkSession.sparkContext
+    sent = context.broadcast((scale, sd, at, move))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scale, sd, at, move = sent.value
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                row = row.to_dict()
+                if move is not None:
+                    old_scale, old_sd, old_at, step, reach = move
+                    c = Chunk(row, p, factors, old_scale, old_sd)
+                    coupled = c.by_level(c.w[:, None] * c.line(step[:, None]))[:, 0]
+                    row["u"] = (c.u + reach * (c.level_gradient(c.score(old_at)[1]) - coupled) / c.pivots()).tobytes()
+                row["u"] = (np.frombuffer(row["u"]) * ratio).tobytes()
+                mu = Chunk(row, p, factors, scale, sd).score(at)[1]
+                yield pd.DataFrame([{**row, "w": (mu * (1.0 - mu)).tobytes()}])
+
+    def opened(row) -> Chunk:
+        return Chunk(row, p, factors, *sent.value[:2])
+
+    def point(c: Chunk, total: np.ndarray) -> None:
+        eta, mu = c.score(sent.value[2])
+        h, g = c.pivots(), c.level_gradient(mu)
+        rest = (c.y - mu)[:, None] - c.w[:, None] * c.spread((g / h)[:, None])
+        lost = c.by_level(c.w[:, None] * c.x)
+        total[:p, 0] += (c.x.T @ rest)[:, 0]
+        total[:p, 2:2 + p] += c.x.T @ (c.x * c.w[:, None]) - lost.T @ (lost / h[:, None])
+        c.back(total[:, :1], rest)
+        c.back(total[:, 1:2], c.w[:, None], 2)
+        total[0, -4:] += (c.y @ eta - np.logaddexp(0.0, eta).sum(), c.u @ c.u, np.log(h).sum(), (g * g / h).sum())
+
+    stored = cut_lineage(held.rows.mapInPandas(place, CHUNK))
+    lines = _lines(stored, size, p + 6, point, opened)
+    problem.passes += 2
+    ridge = np.r_[np.zeros(p), np.ones(size - p)]
+
+    def times(block: np.ndarray) -> np.ndarray:
+        told = context.broadcast((scale, sd, block))
+
+        def product(c: Chunk, total: np.ndarray) -> None:
+            rest = c.reduced(c.line(told.value[2]), c.pivots())
+            total[:p] += c.x.T @ rest
+            c.back(total, rest)
+
+        out = _lines(stored, size, block.shape[1], product, lambda row: Chunk(row, p, factors, *told.value[:2]))
+        told.destroy()
+        problem.passes += 1
+        return out + ridge[:, None] * block
+
+    likelihood, squares, logdet, decrement = lines[0, -4:]
+    # The diagonal only scales; that of the whole system bounds the one that is left.
+    return System(at, likelihood, lines[:, 0] - ridge * at, lines[:, 1] + ridge, lines[:p, 2:2 + p], times, Held(stored),
+                  squares, logdet, decrement)
+
+
+def gone_effects(problem: Crossed, system: System, sd: float) -> DataFrame:
+    """Level and effect of the eliminated factor, without the levels kept on the driver."""
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, row in pdf.iterrows():
+                yield pd.DataFrame({"level": list(row["names"]), "effect": sd * np.frombuffer(row["u"])[:-1]})
+
+    return system.held.rows.mapInPandas(told, "level string, effect double")
 
 
 def _scan(problem: Crossed, scale: np.ndarray, at: np.ndarray, block: np.ndarray | None) -> np.ndarray:
@@ -143,8 +364,10 @@ def _scan(problem: Crossed, scale: np.ndarray, at: np.ndarray, block: np.ndarray
     return out
 
 
-def system_at(problem: Crossed, sds: Sequence[float], at: np.ndarray) -> System:
+def system_at(problem: Crossed, sds: Sequence[float], at: np.ndarray, held: Held | None = None) -> System:
     """Scan the rows at `at`, whose level part is in units of the deviations."""
+    if problem.gone is not None:
+        return _reduced_system(problem, sds, at, held or Held(problem.rows))
     p, scale = len(problem.x), problem.scales(sds)
     ridge = np.r_[np.zeros(p), np.ones(problem.size - p)]
     lines = _scan(problem, scale, at, None)
@@ -189,6 +412,8 @@ def log_determinant(system: System, seed: int = 1, probes: int = PROBES, toleran
     p = len(system.fixed)
     root = np.sqrt(system.diagonal[p:])[:, None]
     q = len(root)
+    if not q:
+        return 0.0, 0.0
     exact = q <= probes
     v = np.eye(q) if exact else np.random.default_rng(seed).choice([-1.0, 1.0], (q, probes)) / math.sqrt(q)
     before, beta = np.zeros_like(v), np.zeros(v.shape[1])
@@ -224,24 +449,27 @@ def _quadrature(alphas: np.ndarray, betas: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def mode(problem: Crossed, sds: Sequence[float], start: np.ndarray, tolerance: float, limit: int = 60) -> System:
+def mode(
+    problem: Crossed, sds: Sequence[float], start: np.ndarray, tolerance: float, limit: int = 60, held: Held | None = None
+) -> System:
     """The joint mode of fixed and random effects; a step that raises the penalised deviance is halved."""
     p = len(problem.x)
     system, at, step, reach, least = None, start, None, 1.0, math.inf
     for _ in range(limit):
-        seen = system_at(problem, sds, at)
-        value = -2 * seen.likelihood + float(at[p:] @ at[p:])
+        seen = system_at(problem, sds, at, held)
+        value = -2 * seen.likelihood + float(at[p:] @ at[p:]) + seen.squares
         if not value <= least + 1e-9 * abs(least) and system is not None and reach > 1e-6:
             reach /= 2
-            at = system.at + reach * step
-            continue
-        if not math.isfinite(value):
-            raise ArithmeticError("the logistic fit diverged")
-        system, least, reach = seen, value, 1.0
-        step = solve(system, system.gradient[:, None], NEWTON_SOLVE)[:, 0]
-        if system.gradient @ step < tolerance:
-            return system
-        at = system.at + step
+        else:
+            if not math.isfinite(value):
+                raise ArithmeticError("the logistic fit diverged")
+            system, least, reach = seen, value, 1.0
+            step = solve(system, system.gradient[:, None], NEWTON_SOLVE)[:, 0]
+            if system.gradient @ step + system.decrement < tolerance:
+                return system
+        at = system.at + reach * step
+        if system.held is not None:
+            held = Held(system.held.rows, (problem.scales(sds), sds[problem.gone], system.at, step, reach))
     raise ArithmeticError(f"no convergence in {limit} Newton steps")
 
 
@@ -249,7 +477,7 @@ def deviance(problem: Crossed, system: System) -> tuple[float, float]:
     """Laplace deviance at a mode, and its standard error from the probes."""
     effects = system.at[len(problem.x):]
     value, error = log_determinant(system)
-    return -2 * system.likelihood + float(effects @ effects) + value, error
+    return -2 * system.likelihood + float(effects @ effects) + system.squares + value + system.logdet, error
 
 
 def search(
@@ -262,16 +490,21 @@ def search(
     known: dict[tuple, float] = {}
     near = np.zeros(problem.size)
     near_sds = np.array(begin, dtype=float)
+    held = None
+
+    def start(sds: np.ndarray) -> tuple[np.ndarray, Held | None]:
+        moved = near * problem.scales(near_sds) / problem.scales(sds)
+        return moved, held and Held(held.rows, ratio=near_sds[problem.gone] / sds[problem.gone])
 
     def value(logs: np.ndarray) -> float:
-        nonlocal near, near_sds
+        nonlocal near, near_sds, held
         key = tuple(np.round(logs, 12))
         if key not in known:
             sds = np.exp(logs)
-            ratio = problem.scales(near_sds) / problem.scales(sds)
-            system = mode(problem, sds, near * ratio, max(tolerance, SEARCH_TOLERANCE))
+            begun, effects = start(sds)
+            system = mode(problem, sds, begun, max(tolerance, SEARCH_TOLERANCE), held=effects)
             known[key] = deviance(problem, system)[0]
-            near, near_sds = system.at, sds
+            near, near_sds, held = system.at, sds, system.held
         return known[key]
 
     def slope(logs: np.ndarray, h: float = 0.05) -> np.ndarray:
@@ -296,4 +529,5 @@ def search(
     else:
         raise ArithmeticError("the deviations still move after 60 steps")
     sds = np.exp(at)
-    return sds, mode(problem, sds, near * problem.scales(near_sds) / problem.scales(sds), tolerance)
+    begun, effects = start(sds)
+    return sds, mode(problem, sds, begun, tolerance, held=effects)

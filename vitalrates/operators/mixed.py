@@ -58,15 +58,16 @@ def fit_mixed_logit(
     deviations do, and as with given `sds` the fixed effects are at the joint mode with the random effects, which takes
     fewer scans and is close unless groups are nearly all alike. Factors of at most `small_levels` levels join the dense
     system; with more than `driver_levels` levels the elimination runs on the executors, by the same steps. Larger
-    factors that are not nested, or more than two of them, are fitted by conjugate gradients (module `crossed`), with
-    at most `LOOKUP_MAX_ROWS` levels together and the fixed effects at the joint mode.
+    factors that are not nested, or more than two of them, are fitted by conjugate gradients (module `crossed`), with the
+    fixed effects at the joint mode; with more than `driver_levels` levels together the largest factor is eliminated on the
+    executors, and the others may have `crossed.KEPT_LEVELS` levels.
     """
     if sds is not None and set(sds) != set(groups):
         raise ValueError(f"deviations given for {sorted(sds)}, factors are {sorted(groups)}")
     try:
         problem = prepare(df, y, x, groups, small_levels, min(driver_levels, LOOKUP_MAX_ROWS))
     except NotNested:
-        return _crossed_fit(df, y, x, groups, sds, tolerance, stop)
+        return _crossed_fit(df, y, x, groups, sds, tolerance, stop, min(driver_levels, LOOKUP_MAX_ROWS))
     try:
         begin = tuple((sds or {}).get(g, SDS_START) for g in problem.factors)
         state = State(begin, np.zeros(problem.size))
@@ -79,9 +80,10 @@ def fit_mixed_logit(
 
 
 def _crossed_fit(
-    df: DataFrame, y: str, x: Sequence[str], groups: Sequence[str], sds: dict[str, float] | None, tolerance: float, stop: float
+    df: DataFrame, y: str, x: Sequence[str], groups: Sequence[str], sds: dict[str, float] | None, tolerance: float, stop: float,
+    driver_levels: int,
 ) -> MixedFit:
-    problem = crossed.prepare_crossed(df, y, x, groups)
+    problem = crossed.prepare_crossed(df, y, x, groups, driver_levels)
     spark, p = df.sparkSession, len(problem.x)
     try:
         begin = [(sds or {}).get(g, SDS_START) for g in groups]
@@ -97,9 +99,12 @@ def _crossed_fit(
                 "level string, effect double")
             for g, names, sd, end in zip(groups, problem.levels, begin, problem.ends[1:])
         }
+        if problem.gone is not None:
+            g = problem.factors[problem.gone]
+            effects[g] = effects[g].union(crossed.gone_effects(problem, system, float(begin[problem.gone])))
         return MixedFit(
             problem.x, system.at[:p], (covariance + covariance.T) / 2, dict(zip(groups, map(float, begin))), effects, value,
-            problem.n, {g: len(v) for g, v in zip(groups, problem.levels)}, problem.passes, error,
+            problem.n, dict(zip(groups, problem.counts)), problem.passes, error,
         )
     finally:
         problem.rows.unpersist()
