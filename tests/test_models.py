@@ -451,3 +451,17 @@ def test_crossed_fit_above_the_driver_bound(spark, hot):
         found = {int(r["level"]): r["effect"] for r in fit.effects[g].collect()}
         assert [found[i] for i in sorted(found)] == pytest.approx(own * sds[g], abs=1e-4)
         assert fit.level_counts[g] == len(found)
+
+
+@pytest.mark.parametrize("level_rows", [1, 10**6])
+def test_levels_beyond_the_driver_in_tasks_or_shuffled(spark, level_rows):
+    """Above the driver's bound rows of whole outer levels lie in one task, unless a level is too large for one."""
+    data, groups, sds = simulated(), ["year", "dam", "litter"], {"year": 0.4, "dam": 0.8, "litter": 0.6}
+    problem = prepare(spark.createDataFrame(data), "y", ["one", "x1", "x2"], groups, 64, 10, level_rows)
+    assert (problem.chunks is None) == (level_rows == 1) and not problem.driver_levels
+    state, ahead = settle(problem, State(tuple(sds[g] for g in problem.factors), np.zeros(problem.size)), 1e-10)
+    near = prepare(spark.createDataFrame(data), "y", ["one", "x1", "x2"], groups, 64, 10_000)
+    told, _ = settle(near, State(state.sds, np.zeros(near.size)), 1e-10)
+    assert state.objective == pytest.approx(told.objective, abs=1e-6) and ahead.dense == pytest.approx(told.dense, abs=1e-5)
+    for mine, other in zip(gradient(problem, state), gradient(near, told)):
+        assert mine == pytest.approx(other, abs=1e-4)

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from vitalrates.operators.mixed_system import Problem, State, following, leverage_sums, newton, rule_of, solved
+from vitalrates.operators.mixed_system import Placed, Problem, State, following, leverage_sums, newton, rule_of, solved
 
 SDS_START, SDS_FLOOR, SDS_CEILING = 0.5, 1e-3, 20.0
 LOW, HIGH = math.log(SDS_FLOOR), math.log(SDS_CEILING)
@@ -80,7 +80,9 @@ def rescaled(problem: Problem, state: State, sds: Sequence[float], beta: np.ndar
     levels = state.levels
     if levels is not None:
         first, second = _scales(problem, state.sds, sds)
-        if isinstance(levels, pd.DataFrame):
+        if isinstance(levels, Placed):
+            levels = levels.scaled(first, second)
+        elif isinstance(levels, pd.DataFrame):
             levels = levels.assign(ua=levels["ua"] * first, ub=levels["ub"] * second)
         else:
             levels = levels.withColumns({"ua": F.col("ua") * first, "ub": F.col("ub") * second})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from vitalrates.operators import crossed
 from vitalrates.operators.laplace import HIGH, LOW, MOST_LOG, SDS_START, least_deviance, settle
-from vitalrates.operators.mixed_system import SMALL_LEVELS, NotNested, Problem, State, prepare
+from vitalrates.operators.mixed_system import LEVEL_ROWS, SMALL_LEVELS, NotNested, Placed, Problem, State, prepare
 from vitalrates.session import LOOKUP_MAX_ROWS
 
 
@@ -50,6 +50,7 @@ def fit_mixed_logit(
     driver_levels: int = LOOKUP_MAX_ROWS,
     joint: bool = True,
     stop: float = 1e-3,
+    level_rows: int = LEVEL_ROWS,
 ) -> MixedFit:
     """Fit y ~ x plus a random intercept per level of each group, by Laplace approximation.
 
@@ -57,7 +58,8 @@ def fit_mixed_logit(
     minimise the Laplace deviance together, until a step promises less than `stop` of it. Without `joint` only the
     deviations do, and as with given `sds` the fixed effects are at the joint mode with the random effects, which takes
     fewer scans and is close unless groups are nearly all alike. Factors of at most `small_levels` levels join the dense
-    system; with more than `driver_levels` levels the elimination runs on the executors, by the same steps. Larger
+    system; with more than `driver_levels` levels the elimination runs on the executors, by the same steps, in
+    the tasks that hold the rows, or by shuffled lines where an outer level has more than `level_rows` rows. Larger
     factors that are not nested, or more than two of them, are fitted by conjugate gradients (module `crossed`), with the
     fixed effects at the joint mode; with more than `driver_levels` levels together the largest factor is eliminated on the
     executors, and the others may have `crossed.KEPT_LEVELS` levels.
@@ -65,7 +67,7 @@ def fit_mixed_logit(
     if sds is not None and set(sds) != set(groups):
         raise ValueError(f"deviations given for {sorted(sds)}, factors are {sorted(groups)}")
     try:
-        problem = prepare(df, y, x, groups, small_levels, min(driver_levels, LOOKUP_MAX_ROWS))
+        problem = prepare(df, y, x, groups, small_levels, min(driver_levels, LOOKUP_MAX_ROWS), level_rows)
     except NotNested:
         return _crossed_fit(df, y, x, groups, sds, tolerance, stop, min(driver_levels, LOOKUP_MAX_ROWS))
     try:
@@ -122,7 +124,9 @@ def _result(problem: Problem, final: State, ahead: State) -> MixedFit:
         effects[g] = spark.createDataFrame(list(zip(names, map(float, values))), "level string, effect double")
         at += len(names)
     for g, table, key, value in zip(problem.nested, (ahead.levels, ahead.outer), "ab", ("ua", "ub")):
-        if isinstance(table, pd.DataFrame):
+        if isinstance(table, Placed):
+            table = table.effects(key, value)
+        elif isinstance(table, pd.DataFrame):
             table = spark.createDataFrame(table[[key, value]], f"{key} string, {value} double")
         effects[g] = table.select(F.col(key).alias("level"), (F.col(value) * sds[g]).alias("effect"))
     return MixedFit(

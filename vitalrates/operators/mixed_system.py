@@ -7,8 +7,11 @@ the first (inner) belongs to one level of the second (outer), as a litter has on
 the outer levels leaves the small system, exactly, with nothing but group-wise sums.
 
 The level lines are eliminated by the functions of `Elimination`. Up to `LOOKUP_MAX_ROWS` levels they run on the driver;
-above it they run on the executors, over lines kept in the shared checkpoint folder. Other deviations, the leverage of
-the rows and the adjoint solve of a gradient are answered from the same lines, on either side by the same functions.
+above it they run on the executors. There the rows are dealt by outer level, so that a task has all rows of its levels,
+makes their lines itself and eliminates them without a join; the effects stay with the rows in the shared checkpoint folder
+and only dense sums reach the driver. If an outer level has more than `LEVEL_ROWS` rows, no task holds it: the lines are
+then shuffled and kept in the checkpoint folder. Other deviations, the leverage of the rows and the adjoint solve of a
+gradient are answered from the same lines, on every side by the same functions.
 """
 
 from __future__ import annotations
@@ -31,6 +34,11 @@ from vitalrates.session import LOOKUP_MAX_ROWS, bounded_rows, cut_lineage
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SMALL_LEVELS = 64
+#: Rows of one outer level that a task may hold, and rows of a task's chunk of smaller levels.
+LEVEL_ROWS = 1_000_000
+CHUNK_ROWS = 50_000
+CHUNK = ("y binary, x binary, codes binary, a binary, b_of binary, names_a array<string>, names_b array<string>, "
+         "ua binary, ub binary, block binary, raw binary")
 
 
 class NotNested(ValueError):
@@ -44,12 +52,12 @@ class State:
 
     sds: tuple[float, ...]
     dense: np.ndarray
-    levels: DataFrame | pd.DataFrame | None = None
+    levels: DataFrame | pd.DataFrame | Placed | None = None
     objective: float = math.inf
     decrement: float = math.inf
     schur: np.ndarray | None = None
-    outer: DataFrame | pd.DataFrame | None = None
-    system: DriverLevels | SparkLevels | None = None
+    outer: DataFrame | pd.DataFrame | Placed | None = None
+    system: DriverLevels | ChunkLevels | SparkLevels | None = None
     step: np.ndarray | None = None
     penalised: float = math.inf
 
@@ -67,6 +75,8 @@ class Problem:
     hot_outer: list
     driver_levels: bool
     stored: DataFrame
+    #: Rows in chunks of whole outer levels, or None where the lines are on the driver or shuffled.
+    chunks: DataFrame | None = None
     passes: int = 0
     broadcasts: list[Broadcast] = field(default_factory=list)
 
@@ -85,7 +95,8 @@ class Problem:
 
 
 def prepare(
-    df: DataFrame, y: str, x: Sequence[str], groups: Sequence[str], small_levels: int, driver_levels: int
+    df: DataFrame, y: str, x: Sequence[str], groups: Sequence[str], small_levels: int, driver_levels: int,
+    level_rows: int = LEVEL_ROWS,
 ) -> Problem:
     """Sort the factors into small and large ones, check nesting, and keep only what a scan needs."""
     # Only what a scan needs is kept, once; every count below reads the kept columns.
@@ -114,9 +125,46 @@ def prepare(
     hot = hot_keys(rows, "__a") if large else []
     hot_outer = hot_keys(rows, "__b") if len(large) == 2 else []
     on_driver = all(counts[g] <= driver_levels for g in large)
-    return Problem(
+    problem = Problem(
         rows, list(x), small, levels, large, {g: counts[g] for g in groups}, counts["__n"], hot, hot_outer, on_driver, stored
     )
+    if not on_driver:
+        whole = "__b" if len(large) == 2 else "__a"
+        if rows.groupBy(whole).count().agg(F.max("count")).first()[0] <= level_rows:
+            problem.chunks = _chunks(problem, whole)
+    return problem
+
+
+def _numbered(keys: pd.Series) -> tuple[np.ndarray, list]:
+    """The place of each key among the different ones, a missing one among them."""
+    code, names = pd.factorize(keys, use_na_sentinel=False)
+    return code, [None if pd.isna(v) else v for v in names]
+
+
+def _chunks(problem: Problem, whole: str) -> DataFrame:
+    """One record per task: rows as arrays, sorted by inner level, with all rows of each level; effects start at zero."""
+    x, codes, size = problem.x, [f"__code_{g}" for g in problem.small], problem.size
+    parts = max(problem.rows.sparkSession.sparkContext.defaultParallelism, -(-problem.n // CHUNK_ROWS))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [pdf for pdf in batches if len(pdf)]
+        if not held:
+            return
+        pdf = pd.concat(held, ignore_index=True)
+        a, names_a = _numbered(pdf["__a"])
+        b, names_b = _numbered(pdf["__b"])
+        order = np.argsort(a, kind="stable")
+        first = order[np.searchsorted(a[order], np.arange(len(names_a)))]
+        pdf = pdf.iloc[order]
+        yield pd.DataFrame([{
+            "y": pdf["__y"].to_numpy(float).tobytes(), "x": pdf[x].to_numpy(float).tobytes(),
+            "codes": pdf[codes].to_numpy(np.int32).tobytes(), "a": a[order].astype(np.int32).tobytes(),
+            "b_of": b[first].astype(np.int32).tobytes(), "names_a": names_a, "names_b": names_b,
+            "ua": np.zeros(len(names_a)).tobytes(), "ub": np.zeros(len(names_b)).tobytes(),
+            "block": np.zeros((size + 1, max(size + 1, 4))).tobytes(), "raw": np.zeros((size, size + 2)).tobytes(),
+        }])
+
+    return cut_lineage(problem.rows.repartition(parts, whole).mapInPandas(pack, CHUNK))
 
 
 def _values(count: int) -> list[str]:
@@ -358,9 +406,9 @@ Asked = tuple[Elimination, np.ndarray, float, float]
 class DriverLevels:
     """Elimination with the level lines, of which `prepare` counted at most LOOKUP_MAX_ROWS, held on the driver."""
 
-    def __init__(self, scanned: DataFrame, rule: Elimination, bound: int):
+    def __init__(self, scanned: DataFrame | pd.DataFrame, rule: Elimination, bound: int):
         self.rule = rule
-        self.lines = lines = scanned.toArrow().to_pandas()
+        self.lines = lines = scanned if isinstance(scanned, pd.DataFrame) else scanned.toArrow().to_pandas()
         if len(lines) > bound:
             raise ValueError("more levels than counted")
         self.raw = _raw(lines, rule.size)
@@ -390,16 +438,184 @@ class DriverLevels:
         table, inner = self.rule.leverage(self.inner, *self._outer_of(h, m), p, inverse)
         return table, inner, self.rule.outer_trace(self.outer, p, inverse)
 
-    def adjoint(self, sums: pd.DataFrame, small: np.ndarray, p: int, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        told = sums.set_index("a")["value"]
-        r = told.reindex(self.inner["a"]).to_numpy(float)
+    def forward(self, r: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of right-hand sides r per inner line: what reaches each outer line, and what the small system loses."""
         reached, lost = self.rule.forward(self.inner, r, p)
         at = pd.Index(self.outer["b"]).get_indexer(self.inner["b"])
         g = np.bincount(at, weights=reached, minlength=len(self.outer))
         h, _, m = self.rule.outer_parts(self.outer)
-        v_s = inverse @ (small - lost - m[:, p:].T @ (g / h))
+        return g, lost + m[:, p:].T @ (g / h)
+
+    def back(self, r: np.ndarray, g: np.ndarray, v_s: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
         v_b, outer = self.rule.outer_back(self.outer, g, v_s, p)
-        return v_s, self.rule.inner_back(self.inner, r, v_b[at], v_s, p), outer
+        return self.rule.inner_back(self.inner, r, *self._outer_of(v_b), v_s, p), outer
+
+    def adjoint(self, sums: pd.DataFrame, small: np.ndarray, p: int, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        told = sums.set_index("a")["value"]
+        r = told.reindex(self.inner["a"]).to_numpy(float)
+        g, lost = self.forward(r, p)
+        v_s = inverse @ (small - lost)
+        return v_s, *self.back(r, g, v_s, p)
+
+
+@dataclass(frozen=True)
+class Point:
+    """Where a chunk is scored: elimination, coefficients, and the scale of every dense column."""
+
+    rule: Elimination
+    dense: np.ndarray
+    scale: np.ndarray
+
+
+class Chunk:
+    """Rows of whole levels, scored at a point; `levels` are their lines."""
+
+    def __init__(self, row: dict, p: int, at: Point):
+        rule, n_small = at.rule, np.frombuffer(row["codes"], np.int32)
+        self.y, self.a = np.frombuffer(row["y"]), np.frombuffer(row["a"], np.int32)
+        b_of, ua, ub = np.frombuffer(row["b_of"], np.int32), np.frombuffer(row["ua"]), np.frombuffer(row["ub"])
+        n, size = len(self.y), rule.size
+        self.s = s = np.zeros((n, size))
+        s[:, :p] = np.frombuffer(row["x"]).reshape(n, p)
+        for k in n_small.reshape(n, -1).T:
+            s[np.arange(n), k] = at.scale[k]
+        eta = s @ at.dense + (rule.sd_a * ua + rule.sd_b * ub[b_of])[self.a]
+        self.mu = 1.0 / (1.0 + np.exp(-eta))
+        w, r = self.mu * (1.0 - self.mu), self.y - self.mu
+        weighted = s * w[:, None]
+        block = np.zeros((size, size + 2))
+        block[:, :size], block[:, size] = s.T @ weighted, s.T @ r
+        block[0, size + 1] = self.y @ eta - np.logaddexp(0.0, eta).sum()
+        sums = self.by_level(np.column_stack([w, r, weighted]))
+        own = pd.DataFrame(sums, columns=_values(size + 2)).assign(
+            kind=1, i=0, a=np.arange(len(ua)), b=b_of, ua=ua, ub=ub[b_of])
+        lines = pd.concat([own, _block_lines(block, kind=0, a=-1, b=-1, ua=0.0, ub=0.0)], ignore_index=True)
+        self.levels = DriverLevels(lines, rule, len(lines))
+
+    def by_level(self, values: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(values, np.flatnonzero(np.diff(self.a, prepend=-1)), axis=0)
+
+    def moved(self, row: dict, step: np.ndarray, reach: float) -> dict:
+        inner, outer = self.levels.move(step, reach)
+        ub = np.zeros(len(outer))
+        ub[outer["b"].to_numpy(int)] = outer["ub"].to_numpy(float)
+        return {**row, "ua": inner["ua"].to_numpy(float).tobytes(), "ub": ub.tobytes()}
+
+    def leverage(self, p: int, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """Leverage times the derivative of the working weight, by dense column and inner level, and the traces."""
+        table, *traces = self.levels.leverage(p, inverse)
+        told = table[["v0", *[f"q{j}" for j in range(self.s.shape[1] - p)]]].to_numpy(float)[self.a]
+        apart = self.s[:, p:] - told[:, 1:]
+        mu = self.mu
+        r = (told[:, 0] + np.einsum("ij,jk,ik->i", apart, inverse, apart)) * mu * (1.0 - mu) * (1.0 - 2.0 * mu)
+        return self.s.T @ r, self.by_level(r[:, None])[:, 0], *traces
+
+
+@dataclass(frozen=True)
+class Placed:
+    """Effects that stay with the rows: stored chunks, a move from the point they were scored at, and then a change of scale."""
+
+    rows: DataFrame
+    p: int
+    move: tuple[Point, np.ndarray, float] | None = None
+    first: float = 1.0
+    second: float = 1.0
+
+    def apply(self, row: dict) -> dict:
+        if self.move is not None:
+            at, step, reach = self.move
+            row = Chunk(row, self.p, at).moved(row, step, reach)
+        return {**row, "ua": (np.frombuffer(row["ua"]) * self.first).tobytes(), "ub": (np.frombuffer(row["ub"]) * self.second).tobytes()}
+
+    def here(self) -> Placed:
+        """Without the table, as tasks need it."""
+        return Placed(None, self.p, self.move, self.first, self.second)
+
+    def scaled(self, first: float, second: float) -> Placed:
+        return Placed(self.rows, self.p, self.move, self.first * first, self.second * second)
+
+    def effects(self, key: str, value: str) -> DataFrame:
+        here = self.here()
+
+        def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for row in _records(batches):
+                yield pd.DataFrame({key: list(row[f"names_{key}"]), value: np.frombuffer(here.apply(row)[value])})
+
+        return self.rows.mapInPandas(told, f"{key} string, {value} double")
+
+
+def _records(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    for pdf in batches:
+        yield from pdf.to_dict("records")
+
+
+class ChunkLevels:
+    """The same elimination with rows, lines and effects of whole levels in one task; only dense sums reach the driver."""
+
+    def __init__(self, problem: Problem, state: State, rule: Elimination):
+        sds = dict(zip(problem.factors, state.sds))
+        scale = np.repeat([1.0, *[sds[g] for g in problem.small]], [len(problem.x), *[len(problem.small_levels[g]) for g in problem.small]])
+        self.p, self.at = len(problem.x), Point(rule, state.dense.copy(), scale)
+        begun = state.levels or Placed(problem.chunks, self.p)
+        here, p, at, size = begun.here(), self.p, self.at, rule.size
+
+        def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for row in _records(batches):
+                row = here.apply(row)
+                levels = Chunk(row, p, at).levels
+                yield pd.DataFrame([{**row, "block": levels.block.tobytes(), "raw": levels.raw.tobytes()}])
+
+        self.rows = cut_lineage(begun.rows.mapInPandas(place, CHUNK))
+        found = self.rows.select("block", "raw").collect()
+        self.block = sum(np.frombuffer(r["block"]).reshape(size + 1, -1) for r in found)
+        self.raw = sum(np.frombuffer(r["raw"]).reshape(size, size + 2) for r in found)
+
+    def _summed(self, of) -> np.ndarray:
+        """The array that `of` gives for each chunk, summed over all."""
+        p, at = self.p, self.at
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for row in _records(batches):
+                yield pd.DataFrame({"v": [of(Chunk(row, p, at)).tobytes()]})
+
+        return sum(np.frombuffer(r["v"]) for r in self.rows.mapInPandas(add, "v binary").collect())
+
+    def near(self, asked: list[Asked]) -> list[np.ndarray]:
+        rule = self.at.rule
+        return list(self._summed(lambda c: np.stack(c.levels.near(asked))).reshape(len(asked), rule.size + 1, rule.width))
+
+    def move(self, step: np.ndarray, reach: float = 1.0) -> tuple[Placed, Placed]:
+        moved = Placed(self.rows, self.p, (self.at, step, reach))
+        return moved, moved
+
+    def leverage(self, p: int, inverse: np.ndarray) -> tuple[Leverage, float, float]:
+        def told(c: Chunk) -> np.ndarray:
+            total, r, *traces = c.leverage(p, inverse)
+            return np.concatenate([total, c.levels.forward(r, 0)[1], traces])
+
+        found, size = self._summed(told), self.at.rule.size
+        return Leverage(p, inverse, found[:size], found[size:2 * size]), float(found[-2]), float(found[-1])
+
+    def adjoint(self, told: Leverage, small: np.ndarray, p: int, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        v_s = inverse @ (small - told.lost[p:])
+        of, matrix = told.p, told.inverse
+
+        def back(c: Chunk) -> np.ndarray:
+            r = c.leverage(of, matrix)[1]
+            return np.concatenate(c.levels.back(r, c.levels.forward(r, p)[0], v_s, p))
+
+        inner, outer = self._summed(back).reshape(2, -1)
+        return v_s, inner, outer
+
+
+@dataclass(frozen=True)
+class Leverage:
+    """Sums of the leverage by dense column, and what the levels take of them from the dense system."""
+
+    p: int
+    inverse: np.ndarray
+    total: np.ndarray
+    lost: np.ndarray
 
 
 class SparkLevels:
@@ -591,11 +807,13 @@ def solved(
 def newton(problem: Problem, state: State, hold: bool = False) -> None:
     """One scan at `state`: fills in what it gives and the Newton step from there."""
     problem.passes += 1
-    scanned, rule = _scan(problem, state), rule_of(problem, state.sds)
-    if problem.driver_levels:
-        state.system = DriverLevels(scanned, rule, LOOKUP_MAX_ROWS + problem.size)
+    rule = rule_of(problem, state.sds)
+    if problem.chunks is not None:
+        state.system = ChunkLevels(problem, state, rule)
+    elif problem.driver_levels:
+        state.system = DriverLevels(_scan(problem, state), rule, LOOKUP_MAX_ROWS + problem.size)
     else:
-        state.system = SparkLevels(scanned, rule, problem)
+        state.system = SparkLevels(_scan(problem, state), rule, problem)
     problem.release()
     block, u = state.system.block, state.dense[len(problem.x) :]
     state.schur, state.step, state.decrement, state.objective = solved(problem, state.dense, block, hold)
@@ -613,6 +831,8 @@ def following(problem: Problem, state: State, reach: float = 1.0) -> State:
 def leverage_sums(problem: Problem, state: State, table, inverse: np.ndarray) -> tuple[np.ndarray, DataFrame | pd.DataFrame]:
     """One scan at the settled `state`: leverage times the derivative of the working weight, summed by column and level."""
     problem.passes += 1
+    if isinstance(table, Leverage):
+        return table.total, table
     p, size, x, dense = len(problem.x), problem.size, problem.x, state.dense.copy()
     scale = {f"__code_{g}": sd for g, sd in zip(problem.small, state.sds)}
     names, nested, shared = ["off", "v0", *[f"q{j}" for j in range(size - p)]], bool(problem.nested), None
