@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalrates.functions.casting import inverse_logit
-from vitalrates.operators import crossed, effects
+from vitalrates.operators import crossed, effects, ranking
 from vitalrates.operators.lasso import coordinate_descent, cross_products, penalty_scores, tuning_table
 from vitalrates.operators.laplace import gradient, settle
 from vitalrates.operators.mixed import fit_mixed_logit
@@ -465,3 +465,29 @@ def test_levels_beyond_the_driver_in_tasks_or_shuffled(spark, level_rows):
     assert state.objective == pytest.approx(told.objective, abs=1e-6) and ahead.dense == pytest.approx(told.dense, abs=1e-5)
     for mine, other in zip(gradient(problem, state), gradient(near, told)):
         assert mine == pytest.approx(other, abs=1e-4)
+
+
+def test_residual_tests_read_the_rows_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(v):
+        met.add(1)
+        return v
+
+    data = spark.range(3000).selectExpr("cast(id % 2 as int) as y", "id / 1500 - 1 as link", "(id * 7 % 3000 + 0.5D) / 3000 as u")
+    assert residual_tests(data.withColumn("u", seen("u")), "y", "link", "u").count() == 6
+    assert met.value <= 6000  # the filter and the column may each call it
+
+
+@pytest.mark.parametrize("rows_", [10**6, 5])
+def test_uniformity_distance_between_the_ends_of_cells(spark, monkeypatch, rows_):
+    """Exact for values that share a cell, tied or outside the range, and where a cell is too full to be ranked at once."""
+    monkeypatch.setattr(ranking, "CELL_ROWS", rows_)
+    rng = np.random.default_rng(3)
+    for values in (rng.random(500)**3, rng.random(200) * 1e-6, np.r_[rng.random(50) * 3 - 1, [0.4] * 30], [0.25]):
+        u = np.sort(values)
+        i = np.arange(1, len(u) + 1)
+        want = max((i / len(u) - u).max(), (u - (i - 1) / len(u)).max())
+        found = ranking.uniformity_distance(spark.createDataFrame([(float(v),) for v in values] + [(None,)], "u double"), "u").first()
+        assert found["n"] == len(u) and found["ks"] == pytest.approx(want, abs=1e-12)

@@ -15,6 +15,8 @@ INF = float("inf")
 RANGES = 64
 BRACKET_ROWS = 20_000
 BINS = 512
+#: Cells of [0, 1] in which a distribution distance is searched, and rows of a cell that one task may sort.
+CELLS, CELL_ROWS = 65_536, 1_000_000
 
 
 def _with_range(df: DataFrame, column: str, ranges: int) -> DataFrame:
@@ -179,9 +181,41 @@ def fill_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def uniformity_distance(df: DataFrame, column: str, ranges: int | None = None) -> DataFrame:
-    """One row (n, ks): the largest gap between the distribution of `column` and the uniform one on [0, 1]."""
+    """One row (n, ks): the largest gap between the distribution of `column` and the uniform one on [0, 1].
+
+    One pass counts small cells with their ends, which give exact gaps there and bounds between; a second pass ranks only the
+    values of cells that may hold a larger gap. Cells too full for a task are ranked along value ranges instead.
+    """
+    u = F.col("u")
+    values = df.select(F.col(column).alias("u")).filter(u.isNotNull())
+    cell = F.greatest(F.least(F.floor(u * CELLS), F.lit(CELLS - 1)), F.lit(0))
+    cells = values.groupBy(cell.alias("cell")).agg(
+        F.count("*").alias("m"), F.min("u").cast("double").alias("lo"), F.max("u").cast("double").alias("hi"))
+    found = sorted(bounded_rows(cells, CELLS, "cells"), key=lambda r: r["cell"])
+    n, before, ks, at = sum(r["m"] for r in found), 0, None, []
+    for r in found:
+        upto = before + r["m"]
+        gap = max(upto / n - r["hi"], r["lo"] - before / n)
+        ks = gap if ks is None else max(ks, gap)
+        at.append((r["cell"], before, r["m"], max(upto / n - r["lo"], r["hi"] - before / n)))
+        before = upto
+    wanted = [(k, b) for k, b, m, most in at if m > 1 and most > ks]
+    full = max((m for _, _, m, most in at if most > (ks or 0.0)), default=0) > CELL_ROWS
+    if full or any(r["lo"] != r["lo"] or r["hi"] != r["hi"] for r in found):
+        return _ranked_distance(df, column, n, ranges)
+    if wanted:
+        table = F.broadcast(df.sparkSession.createDataFrame(wanted, "cell long, before long"))
+        inside = values.withColumn("cell", cell).join(table, "cell").groupBy("cell", "before", "u").agg(F.count("*").alias("c"))
+        upto = F.col("before") + F.sum("c").over(Window.partitionBy("cell").orderBy("u"))
+        ranked = inside.withColumn("upto", upto)
+        most = ranked.agg(F.greatest(F.max(F.col("upto") / n - u), F.max(u - (F.col("upto") - F.col("c")) / n)).cast("double"))
+        ks = max(ks, most.first()[0])
+    return df.sparkSession.createDataFrame([(n if found else None, ks)], "n long, ks double")
+
+
+def _ranked_distance(df: DataFrame, column: str, count: int, ranges: int | None) -> DataFrame:
     values = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("u")).agg(F.count("*").alias("c"))
-    n = F.lit(df.agg(F.count(column)).first()[0])
+    n = F.lit(count)
     return running_total(values, "u", "c", "upto", ranges).agg(
         F.sum("c").alias("n"),
         F.greatest(

@@ -35,11 +35,13 @@ def _present(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _bin_starts(rows: DataFrame, link: str, bins: int) -> list:
     """(bin, n, start): equal shares of the rows along `link`; equal predictions stay together, so bins may be missing."""
-    counted = rows.groupBy(link).agg(F.count("*").alias("c"))
-    n = rows.count()
+    counted = rows.groupBy(link).agg(F.count("*").alias("c")).persist()
+    n = counted.agg(F.sum("c")).first()[0] or 0
     ranked = running_total(counted, link, "c", "upto").withColumn("bin", F.expr(f"(upto - 1) * {bins} div {max(n, 1)}"))
     found = ranked.groupBy("bin").agg(F.sum("c").alias("n"), F.min(link).alias("start"))
-    return sorted(bounded_rows(found, bins, "bins of the prediction"), key=lambda r: r["bin"])
+    starts = sorted(bounded_rows(found, bins, "bins of the prediction"), key=lambda r: r["bin"])
+    counted.unpersist()
+    return starts
 
 
 def _bin_of(link: str, starts: list) -> Column:
@@ -110,7 +112,7 @@ def residual_tests(
     `outliers` the share of residuals beyond all of 250 draws from the model; `trend_q` the summed squared deviations
     of the shares below q in the bins of the ranked prediction, chi-square distributed with one degree a bin.
     """
-    rows = _present(df, [y, link, residual])
+    rows = _present(df, [y, link, residual]).persist()  # read by seven passes
     mu, outlier = inverse_logit(F.col(link)), 2 / (SIMULATIONS + 1)
     spread = mu * (1 - mu)
     u = F.col(residual)
@@ -134,4 +136,5 @@ def residual_tests(
         found = trend.groupBy("probability").agg(F.sum(F.col("z") ** 2).alias("total"), F.count("*").alias("bins"))
         for r in sorted(bounded_rows(found, len(probabilities), "trend"), key=lambda r: r["probability"]):
             out.append((f"trend_{r['probability']:g}", r["total"], float(r["bins"]), chi_square_tail(r["total"], r["bins"])))
+    rows.unpersist()
     return df.sparkSession.createDataFrame(out, "test string, statistic double, expected double, p double")
