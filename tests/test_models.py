@@ -11,7 +11,7 @@ from vitalrates.operators import crossed, effects, ranking
 from vitalrates.operators.lasso import coordinate_descent, cross_products, penalty_scores, tuning_table
 from vitalrates.operators.laplace import gradient, settle
 from vitalrates.operators.mixed import fit_mixed_logit
-from vitalrates.operators.mixed_system import State, prepare
+from vitalrates.operators.mixed_system import State, _packed_scan, _scan, prepare
 from vitalrates.operators.resample import bootstrap_weights, exact_bootstrap, poisson_limits
 from vitalrates.operators.residual_checks import kolmogorov_tail, residual_tests, residual_trend
 from vitalrates.operators.residuals import normal_quantile, quantile_residuals
@@ -467,6 +467,18 @@ def test_levels_beyond_the_driver_in_tasks_or_shuffled(spark, level_rows):
         assert mine == pytest.approx(other, abs=1e-4)
 
 
+def test_packed_scan_has_a_line_per_chunk_and_level(spark):
+    """Rows whose levels the driver holds are packed once; their lines are those of the row-wise scan."""
+    data, groups, sds = simulated(400), ["year", "dam", "litter"], {"year": 0.4, "dam": 0.8, "litter": 0.6}
+    problem = prepare(spark.createDataFrame(data), "y", ["one", "x1", "x2"], groups, 64, 10_000)
+    assert problem.packed.count() < 10  # records of many rows
+    state = State(tuple(sds[g] for g in problem.factors), np.full(problem.size, 0.1))
+    mine, rows_ = (f(problem, state).orderBy("kind", "i", "a").toPandas() for f in (_packed_scan, _scan))
+    numbers = [c for c in mine if c.startswith("v")]
+    assert mine[["kind", "i", "a", "b"]].fillna("").equals(rows_[["kind", "i", "a", "b"]].fillna(""))
+    assert np.allclose(mine[numbers], rows_[numbers])
+
+
 def test_residual_tests_read_the_rows_once(spark):
     met = spark.sparkContext.accumulator(0)
 

@@ -77,6 +77,8 @@ class Problem:
     stored: DataFrame
     #: Rows in chunks of whole outer levels, or None where the lines are on the driver or shuffled.
     chunks: DataFrame | None = None
+    #: Rows as arrays sorted by inner level, for scans whose level lines the driver holds.
+    packed: DataFrame | None = None
     passes: int = 0
     broadcasts: list[Broadcast] = field(default_factory=list)
 
@@ -128,7 +130,12 @@ def prepare(
     problem = Problem(
         rows, list(x), small, levels, large, {g: counts[g] for g in groups}, counts["__n"], hot, hot_outer, on_driver, stored
     )
-    if not on_driver:
+    if on_driver:
+        problem.packed = rows.mapInPandas(_packer(problem), CHUNK).persist()
+        problem.packed.select("a").write.format("noop").mode("overwrite").save()
+        stored.unpersist()
+        problem.stored = problem.packed
+    else:
         whole = "__b" if len(large) == 2 else "__a"
         if rows.groupBy(whole).count().agg(F.max("count")).first()[0] <= level_rows:
             problem.chunks = _chunks(problem, whole)
@@ -143,20 +150,22 @@ def _numbered(keys: pd.Series) -> tuple[np.ndarray, list]:
 
 def _chunks(problem: Problem, whole: str) -> DataFrame:
     """One record per task: rows as arrays, sorted by inner level, with all rows of each level; effects start at zero."""
-    x, codes, size = problem.x, [f"__code_{g}" for g in problem.small], problem.size
     parts = max(problem.rows.sparkSession.sparkContext.defaultParallelism, -(-problem.n // CHUNK_ROWS))
+    return cut_lineage(problem.rows.repartition(parts, whole).mapInPandas(_packer(problem, None), CHUNK))
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [pdf for pdf in batches if len(pdf)]
-        if not held:
-            return
+
+def _packer(problem: Problem, most: int | None = CHUNK_ROWS):
+    """Rows as arrays in records of about `most` rows, or one a task without it."""
+    x, codes, size = problem.x, [f"__code_{g}" for g in problem.small], problem.size
+
+    def record(held: list[pd.DataFrame]) -> pd.DataFrame:
         pdf = pd.concat(held, ignore_index=True)
         a, names_a = _numbered(pdf["__a"])
         b, names_b = _numbered(pdf["__b"])
         order = np.argsort(a, kind="stable")
         first = order[np.searchsorted(a[order], np.arange(len(names_a)))]
         pdf = pdf.iloc[order]
-        yield pd.DataFrame([{
+        return pd.DataFrame([{
             "y": pdf["__y"].to_numpy(float).tobytes(), "x": pdf[x].to_numpy(float).tobytes(),
             "codes": pdf[codes].to_numpy(np.int32).tobytes(), "a": a[order].astype(np.int32).tobytes(),
             "b_of": b[first].astype(np.int32).tobytes(), "names_a": names_a, "names_b": names_b,
@@ -164,7 +173,19 @@ def _chunks(problem: Problem, whole: str) -> DataFrame:
             "block": np.zeros((size + 1, max(size + 1, 4))).tobytes(), "raw": np.zeros((size, size + 2)).tobytes(),
         }])
 
-    return cut_lineage(problem.rows.repartition(parts, whole).mapInPandas(pack, CHUNK))
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for pdf in batches:
+            if len(pdf):
+                held.append(pdf)
+                n += len(pdf)
+            if most and n >= most:
+                yield record(held)
+                held, n = [], 0
+        if held:
+            yield record(held)
+
+    return pack
 
 
 def _values(count: int) -> list[str]:
@@ -256,6 +277,59 @@ def _scan(problem: Problem, state: State) -> DataFrame:
     return _summed(lines, ["kind", "i", "a"], ["b", "ua", "ub"], width)
 
 
+def _scales(problem: Problem, state: State) -> np.ndarray:
+    """The scale of every dense column: 1 for the fixed effects, else the deviation."""
+    sds = dict(zip(problem.factors, state.sds))
+    return np.repeat([1.0, *[sds[g] for g in problem.small]], [len(problem.x), *[len(problem.small_levels[g]) for g in problem.small]])
+
+
+def _columns(row: dict, p: int, scale: np.ndarray) -> np.ndarray:
+    """The dense columns of packed rows."""
+    n = len(row["a"]) // 4
+    s = np.zeros((n, len(scale)))
+    s[:, :p] = np.frombuffer(row["x"]).reshape(n, p)
+    for k in np.frombuffer(row["codes"], np.int32).reshape(n, -1).T:
+        s[np.arange(n), k] = scale[k]
+    return s
+
+
+def _first(a: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(a, prepend=-1))
+
+
+def _packed_scan(problem: Problem, state: State) -> DataFrame:
+    """The lines of `_scan` from packed rows, with the level offsets broadcast from the driver."""
+    p, size, scale, dense = len(problem.x), problem.size, _scales(problem, state), state.dense.copy()
+    columns, nested, shared = ["kind", "i", "a", "b", "ua", "ub", *_values(size + 2)], bool(problem.nested), None
+    if state.levels is not None:
+        shared = problem.rows.sparkSession.sparkContext.broadcast(state.levels.set_index("a")[["ua", "ub", "off"]])
+        problem.broadcasts.append(shared)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = np.zeros((size, size + 2))
+        for row in _records(batches):
+            a, y, s = np.frombuffer(row["a"], np.int32), np.frombuffer(row["y"]), _columns(row, p, scale)
+            told = np.zeros((len(row["names_a"]), 3))
+            if shared is not None:
+                told = shared.value.to_numpy()[shared.value.index.get_indexer(row["names_a"])]
+            eta = s @ dense + told[a, 2]
+            mu = 1.0 / (1.0 + np.exp(-eta))
+            w, r = mu * (1.0 - mu), y - mu
+            weighted = s * w[:, None]
+            block[:, :size] += s.T @ weighted
+            block[:, size] += s.T @ r
+            block[0, size + 1] += y @ eta - np.logaddexp(0.0, eta).sum()
+            if nested:
+                sums = np.add.reduceat(np.column_stack([w, r, weighted]), _first(a), axis=0)
+                b = np.array(row["names_b"], object)[np.frombuffer(row["b_of"], np.int32)]
+                yield pd.DataFrame(sums, columns=_values(size + 2)).assign(
+                    kind=1, i=0, a=row["names_a"], b=b, ua=told[:, 0], ub=told[:, 1])[columns]
+        yield _block_lines(block, kind=0, a=None, b=None, ua=0.0, ub=0.0)[columns]
+
+    lines = problem.packed.mapInPandas(score, _schema(size + 2, "kind int, i int, a string, b string, ua double, ub double"))
+    return _summed(lines, ["kind", "i", "a"], ["b", "ua", "ub"], size + 2)
+
+
 @dataclass(frozen=True)
 class Elimination:
     """Removes level lines from the dense system. `size` dense columns; deviations of the inner and outer factor."""
@@ -471,14 +545,11 @@ class Chunk:
     """Rows of whole levels, scored at a point; `levels` are their lines."""
 
     def __init__(self, row: dict, p: int, at: Point):
-        rule, n_small = at.rule, np.frombuffer(row["codes"], np.int32)
+        rule = at.rule
         self.y, self.a = np.frombuffer(row["y"]), np.frombuffer(row["a"], np.int32)
         b_of, ua, ub = np.frombuffer(row["b_of"], np.int32), np.frombuffer(row["ua"]), np.frombuffer(row["ub"])
-        n, size = len(self.y), rule.size
-        self.s = s = np.zeros((n, size))
-        s[:, :p] = np.frombuffer(row["x"]).reshape(n, p)
-        for k in n_small.reshape(n, -1).T:
-            s[np.arange(n), k] = at.scale[k]
+        size = rule.size
+        self.s = s = _columns(row, p, at.scale)
         eta = s @ at.dense + (rule.sd_a * ua + rule.sd_b * ub[b_of])[self.a]
         self.mu = 1.0 / (1.0 + np.exp(-eta))
         w, r = self.mu * (1.0 - self.mu), self.y - self.mu
@@ -493,7 +564,7 @@ class Chunk:
         self.levels = DriverLevels(lines, rule, len(lines))
 
     def by_level(self, values: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(values, np.flatnonzero(np.diff(self.a, prepend=-1)), axis=0)
+        return np.add.reduceat(values, _first(self.a), axis=0)
 
     def moved(self, row: dict, step: np.ndarray, reach: float) -> dict:
         inner, outer = self.levels.move(step, reach)
@@ -507,7 +578,7 @@ class Chunk:
         told = table[["v0", *[f"q{j}" for j in range(self.s.shape[1] - p)]]].to_numpy(float)[self.a]
         apart = self.s[:, p:] - told[:, 1:]
         mu = self.mu
-        r = (told[:, 0] + np.einsum("ij,jk,ik->i", apart, inverse, apart)) * mu * (1.0 - mu) * (1.0 - 2.0 * mu)
+        r = (told[:, 0] + ((apart @ inverse) * apart).sum(1)) * mu * (1.0 - mu) * (1.0 - 2.0 * mu)
         return self.s.T @ r, self.by_level(r[:, None])[:, 0], *traces
 
 
@@ -553,9 +624,7 @@ class ChunkLevels:
     """The same elimination with rows, lines and effects of whole levels in one task; only dense sums reach the driver."""
 
     def __init__(self, problem: Problem, state: State, rule: Elimination):
-        sds = dict(zip(problem.factors, state.sds))
-        scale = np.repeat([1.0, *[sds[g] for g in problem.small]], [len(problem.x), *[len(problem.small_levels[g]) for g in problem.small]])
-        self.p, self.at = len(problem.x), Point(rule, state.dense.copy(), scale)
+        self.p, self.at = len(problem.x), Point(rule, state.dense.copy(), _scales(problem, state))
         begun = state.levels or Placed(problem.chunks, self.p)
         here, p, at, size = begun.here(), self.p, self.at, rule.size
 
@@ -811,7 +880,7 @@ def newton(problem: Problem, state: State, hold: bool = False) -> None:
     if problem.chunks is not None:
         state.system = ChunkLevels(problem, state, rule)
     elif problem.driver_levels:
-        state.system = DriverLevels(_scan(problem, state), rule, LOOKUP_MAX_ROWS + problem.size)
+        state.system = DriverLevels(_packed_scan(problem, state), rule, LOOKUP_MAX_ROWS + problem.size)
     else:
         state.system = SparkLevels(_scan(problem, state), rule, problem)
     problem.release()
@@ -843,6 +912,19 @@ def leverage_sums(problem: Problem, state: State, table, inverse: np.ndarray) ->
     else:
         rows = left_join(rows, table.withColumnRenamed("a", "__a"), ["__a"], null_safe=False, hot=problem.hot, spread_by=rows.columns)
 
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for row in _records(batches):
+            a, s = np.frombuffer(row["a"], np.int32), _columns(row, p, scales)
+            told = shared.value.to_numpy()[shared.value.index.get_indexer(row["names_a"])][a]
+            mu = 1.0 / (1.0 + np.exp(-(s @ dense + told[:, 0])))
+            apart = s[:, p:] - told[:, 2:]
+            r = (told[:, 1] + ((apart @ inverse) * apart).sum(1)) * mu * (1.0 - mu) * (1.0 - 2.0 * mu)
+            total += s.T @ r
+            if nested:
+                yield pd.DataFrame({"kind": 1, "i": 0, "a": row["names_a"], "value": np.add.reduceat(r, _first(a))})
+        yield pd.DataFrame({"kind": 0, "i": np.arange(size), "a": None, "value": total})
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(size)
         for pdf in batches:
@@ -866,7 +948,9 @@ def leverage_sums(problem: Problem, state: State, table, inverse: np.ndarray) ->
                 yield pd.DataFrame({"kind": 1, "i": 0, "a": pdf["__a"].to_numpy()[first], "value": sums[:, 0]})
         yield pd.DataFrame({"kind": 0, "i": np.arange(size), "a": None, "value": total})
 
-    lines = rows.mapInPandas(score, "kind int, i int, a string, value double")
+    scales = _scales(problem, state)
+    lines = (rows if shared is None else problem.packed).mapInPandas(
+        score if shared is None else packed, "kind int, i int, a string, value double")
     sums = lines.groupBy("kind", "i", "a").agg(F.sum("value").alias("value"))
     dense_sums = np.zeros(size)
     if shared is not None:
