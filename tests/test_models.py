@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalrates.functions.casting import inverse_logit
-from vitalrates.operators import crossed, effects, ranking
+from vitalrates.operators import crossed, effects, laplace, ranking
 from vitalrates.operators.lasso import coordinate_descent, cross_products, penalty_scores, tuning_table
 from vitalrates.operators.laplace import gradient, settle
 from vitalrates.operators.mixed import fit_mixed_logit
-from vitalrates.operators.mixed_system import State, _packed_scan, _scan, prepare
+from vitalrates.operators.mixed_system import DriverLevels, State, _packed_scan, _scan, prepare, rescaled_lines, rule_of
 from vitalrates.operators.resample import bootstrap_weights, exact_bootstrap, poisson_limits
 from vitalrates.operators.residual_checks import kolmogorov_tail, residual_tests, residual_trend
 from vitalrates.operators.residuals import normal_quantile, quantile_residuals
@@ -467,6 +467,49 @@ def test_levels_beyond_the_driver_in_tasks_or_shuffled(spark, level_rows):
         assert mine == pytest.approx(other, abs=1e-4)
 
 
+@pytest.mark.parametrize("chunks", [None, "stored"])
+def test_downhill_takes_the_same_moves_in_few_jobs(monkeypatch, chunks):
+    """A long way along one axis costs a job per few rounds where a job is dear, and ends where the plain search does."""
+    target, jobs, steps = np.array([-1.5, 0.4, -6.0]), [], [0.4]
+
+    def bowl(logs):
+        apart = np.asarray(logs) - target
+        return float(apart @ [[3.0, 0.2, 0.0], [0.2, 5.0, 0.3], [0.0, 0.3, 0.05]] @ apart)
+
+    def told(problem, state, candidates):
+        jobs.append(len(candidates))
+        return [bowl(np.log(c)) for c in candidates]
+
+    best = list(np.log([0.5] * 3))
+    while steps[-1] >= 0.02:
+        step = steps[-1]
+        tried = [[min(max(v + move * (f == k), laplace.LOW), laplace.HIGH) for k, v in enumerate(best)] for f in range(3) for move in (step, -step)]
+        axes = [min(tried[2 * f : 2 * f + 2], key=bowl) for f in range(3)]
+        tried.append([t[f] if bowl(best) - bowl(t) > 1e-9 else best[f] for f, t in enumerate(axes)])
+        found = min(tried, key=bowl)
+        steps.append(step if bowl(found) < bowl(best) - 1e-9 else step / 2)
+        best = found if steps[-1] == step else best
+    monkeypatch.setattr(laplace, "objectives_near", told)
+    out = laplace._downhill(dataclasses.make_dataclass("Stub", ["chunks"])(chunks), State((0.5, 0.5, 0.5), np.zeros(1)))
+    assert out == pytest.approx(best, abs=1e-12)
+    plain_jobs = 1 + 2 * (len(steps) - 1)
+    assert chunks is None or 3 * len(jobs) < plain_jobs
+
+
+@pytest.mark.parametrize("groups", [["year"], ["year", "litter"], ["year", "dam", "litter"]])
+def test_deviance_near_is_that_of_rescaled_lines(spark, groups):
+    problem = prepare(spark.createDataFrame(simulated(400)), "y", ["one", "x1", "x2"], groups, 64, 10_000)
+    state, _ = settle(problem, State((0.5,) * len(groups), np.zeros(problem.size)), 1e-6)
+    system, asked, plain = state.system, [], []
+    for sds in ([0.5] * 3, [0.3, 0.9, 0.5], [0.5, 0.5, 1.7], [0.8, 0.9, 0.001]):
+        sds = sds[: len(groups)]
+        asked.append((rule_of(problem, sds), laplace._ratios(problem, state.sds, sds), *laplace._scales(problem, state.sds, sds)))
+        outer, block = asked[-1][0].inner_sums(rescaled_lines(system.lines, problem.size, *asked[-1][1:]))
+        plain.append(block + asked[-1][0].outer_block(outer))
+    assert isinstance(system, DriverLevels)
+    assert np.stack(system.near(asked)) == pytest.approx(np.stack(plain), rel=1e-10, abs=1e-9)
+
+
 def test_packed_scan_has_a_line_per_chunk_and_level(spark):
     """Rows whose levels the driver holds are packed once; their lines are those of the row-wise scan."""
     data, groups, sds = simulated(400), ["year", "dam", "litter"], {"year": 0.4, "dam": 0.8, "litter": 0.6}

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ SDS_START, SDS_FLOOR, SDS_CEILING = 0.5, 1e-3, 20.0
 LOW, HIGH = math.log(SDS_FLOOR), math.log(SDS_CEILING)
 #: How far a quasi-Newton step may go: in log deviations, and in standard errors of the fixed effects.
 MOST_LOG, MOST_ERRORS = 0.7, 3.0
+#: Rounds of the search for which points are asked ahead.
+MOST_AHEAD = 32
 
 
 def settle(problem: Problem, state: State, tolerance: float, hold: bool = False, limit: int = 60) -> tuple[State, State]:
@@ -89,30 +92,57 @@ def rescaled(problem: Problem, state: State, sds: Sequence[float], beta: np.ndar
     return State(tuple(sds), dense, levels)
 
 
+def _moved(at: Sequence[float], step: float, signs: Sequence[int]) -> tuple[float, ...]:
+    return tuple(min(max(v + step * sign, LOW), HIGH) for v, sign in zip(at, signs))
+
+
 def _downhill(problem: Problem, seen: State, step: float = 0.4, stop: float = 0.02) -> list[float]:
     """Log deviations with the smallest deviance as the last scan sees it, by moves along the axes with shrinking steps.
 
-    All moves of a round are asked at once, so that the level lines are read once a round.
+    All moves of a round are asked at once, so that the level lines are read once a round. Where asking takes a job, the
+    points that the next rounds may need are asked along: moves of several axes, smaller steps, and the last move repeated as
+    often as it was taken so far, as the search runs straight for long. The moves that are taken do not depend on that.
     """
-    best = [math.log(v) for v in seen.sds]
-    value = objectives_near(problem, seen, [seen.sds])[0]
+    factors = len(seen.sds)
+    signs = [tuple(sign * (f == k) for k in range(factors)) for f in range(factors) for sign in (1, -1)]
+    corners = [c for c in product((0, 1, -1), repeat=factors) if any(c)] if factors <= 3 else []
+    known: dict[tuple[float, ...], float] = {}
+
+    def values(points: list[tuple[float, ...]], along: list[tuple[float, ...]] = ()) -> list[float]:
+        if any(t not in known for t in points):
+            asked = [t for t in dict.fromkeys([*points, *along]) if t not in known]
+            known.update(zip(asked, objectives_near(problem, seen, [[math.exp(v) for v in t] for t in asked])))
+        return [known[t] for t in points]
+
+    def guesses() -> list[tuple[float, ...]]:
+        if problem.chunks is None:
+            return []
+        out = [_moved(best, step, c) for c in corners]
+        out += [_moved(best, step / shrunk, c) for shrunk in (2, 4) if step / shrunk >= stop for c in signs]
+        at = best
+        for _ in range(min(run, MOST_AHEAD)):
+            at = _moved(at, step, last)
+            out += [_moved(at, step, c) for c in signs]
+        return out
+
+    best, last, run = tuple(math.log(v) for v in seen.sds), None, 0
+    value = values([best], [*(_moved(best, step, c) for c in signs), *guesses()])[0]
     while step >= stop:
-        tried = []
-        for f in range(len(best)):
-            for move in (step, -step):
-                tried.append([min(max(b + move * (f == k), LOW), HIGH) for k, b in enumerate(best)])
-        found = objectives_near(problem, seen, [[math.exp(v) for v in t] for t in tried])
+        tried = [_moved(best, step, c) for c in signs]
+        found = values(tried, guesses())
         # Axes that gain are moved together when that gains more than the best one alone.
-        gains = [max((value - found[2 * f + s], tried[2 * f + s][f]) for s in (0, 1)) for f in range(len(best))]
-        both = [g[1] if g[0] > 1e-9 else b for g, b in zip(gains, best)]
-        tried.append(both)
-        found += objectives_near(problem, seen, [[math.exp(v) for v in both]])
+        gains = [max((value - found[2 * f + s], s) for s in (0, 1)) for f in range(factors)]
+        together = tuple((1, -1)[s] if gain > 1e-9 else 0 for gain, s in gains)
+        tried.append(_moved(best, step, together))
+        found += values(tried[-1:])
         at = int(np.argmin(found))
         if found[at] < value - 1e-9:
+            move = [*signs, together][at]
+            last, run = move, run + 1 if move == last else 1
             best, value = tried[at], found[at]
         else:
-            step /= 2
-    return best
+            step, run = step / 2, 0
+    return list(best)
 
 
 def gradient(problem: Problem, state: State, joint: bool = False) -> tuple[np.ndarray, np.ndarray]:

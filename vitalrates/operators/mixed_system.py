@@ -16,10 +16,12 @@ gradient are answered from the same lines, on every side by the same functions.
 
 from __future__ import annotations
 
+import json
 import math
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -37,7 +39,7 @@ SMALL_LEVELS = 64
 #: Rows of one outer level that a task may hold, and rows of a task's chunk of smaller levels.
 LEVEL_ROWS = 1_000_000
 CHUNK_ROWS = 50_000
-CHUNK = ("y binary, x binary, codes binary, a binary, b_of binary, names_a array<string>, names_b array<string>, "
+CHUNK = ("y binary, x binary, codes binary, a binary, b_of binary, names_a binary, names_b binary, "
          "ua binary, ub binary, block binary, raw binary")
 
 
@@ -148,6 +150,11 @@ def _numbered(keys: pd.Series) -> tuple[np.ndarray, list]:
     return code, [None if pd.isna(v) else v for v in names]
 
 
+def _told(names: list) -> bytes:
+    """Level names as one value, which a scan passes on unread."""
+    return json.dumps(names).encode()
+
+
 def _chunks(problem: Problem, whole: str) -> DataFrame:
     """One record per task: rows as arrays, sorted by inner level, with all rows of each level; effects start at zero."""
     parts = max(problem.rows.sparkSession.sparkContext.defaultParallelism, -(-problem.n // CHUNK_ROWS))
@@ -168,7 +175,7 @@ def _packer(problem: Problem, most: int | None = CHUNK_ROWS):
         return pd.DataFrame([{
             "y": pdf["__y"].to_numpy(float).tobytes(), "x": pdf[x].to_numpy(float).tobytes(),
             "codes": pdf[codes].to_numpy(np.int32).tobytes(), "a": a[order].astype(np.int32).tobytes(),
-            "b_of": b[first].astype(np.int32).tobytes(), "names_a": names_a, "names_b": names_b,
+            "b_of": b[first].astype(np.int32).tobytes(), "names_a": _told(names_a), "names_b": _told(names_b),
             "ua": np.zeros(len(names_a)).tobytes(), "ub": np.zeros(len(names_b)).tobytes(),
             "block": np.zeros((size + 1, max(size + 1, 4))).tobytes(), "raw": np.zeros((size, size + 2)).tobytes(),
         }])
@@ -309,9 +316,10 @@ def _packed_scan(problem: Problem, state: State) -> DataFrame:
         block = np.zeros((size, size + 2))
         for row in _records(batches):
             a, y, s = np.frombuffer(row["a"], np.int32), np.frombuffer(row["y"]), _columns(row, p, scale)
-            told = np.zeros((len(row["names_a"]), 3))
+            names_a = json.loads(row["names_a"])
+            told = np.zeros((len(names_a), 3))
             if shared is not None:
-                told = shared.value.to_numpy()[shared.value.index.get_indexer(row["names_a"])]
+                told = shared.value.to_numpy()[shared.value.index.get_indexer(names_a)]
             eta = s @ dense + told[a, 2]
             mu = 1.0 / (1.0 + np.exp(-eta))
             w, r = mu * (1.0 - mu), y - mu
@@ -321,9 +329,9 @@ def _packed_scan(problem: Problem, state: State) -> DataFrame:
             block[0, size + 1] += y @ eta - np.logaddexp(0.0, eta).sum()
             if nested:
                 sums = np.add.reduceat(np.column_stack([w, r, weighted]), _first(a), axis=0)
-                b = np.array(row["names_b"], object)[np.frombuffer(row["b_of"], np.int32)]
+                b = np.array(json.loads(row["names_b"]), object)[np.frombuffer(row["b_of"], np.int32)]
                 yield pd.DataFrame(sums, columns=_values(size + 2)).assign(
-                    kind=1, i=0, a=row["names_a"], b=b, ua=told[:, 0], ub=told[:, 1])[columns]
+                    kind=1, i=0, a=names_a, b=b, ua=told[:, 0], ub=told[:, 1])[columns]
         yield _block_lines(block, kind=0, a=None, b=None, ua=0.0, ub=0.0)[columns]
 
     lines = problem.packed.mapInPandas(score, _schema(size + 2, "kind int, i int, a string, b string, ua double, ub double"))
@@ -501,12 +509,61 @@ class DriverLevels:
         return self.rule.move_inner(self.inner, ub, db, step, reach), moved
 
     def near(self, asked: list[Asked]) -> list[np.ndarray]:
+        """Blocks of many candidates. The inner lines depend on the inner deviation alone, so they are summed once for each."""
+        by_inner: dict[tuple[float, float], tuple] = {}
         out = []
-        for rule, *scale in asked:
-            outer, block = rule.inner_sums(rescaled_lines(self.lines, rule.size, *scale))
-            out.append(block + rule.outer_block(outer))
+        for rule, ratios, first, second in asked:
+            told = by_inner.get((rule.sd_a, first))
+            if told is None:
+                told = by_inner[rule.sd_a, first] = self._inner_near(rule.sd_a, first)
+            out.append(self._block_near(rule, ratios, second, *told))
         return out
 
+    @cached_property
+    def _by_outer(self) -> tuple[np.ndarray, ...]:
+        """Weight, residual, effect and dense columns of the inner lines by outer line, and the first inner line of each."""
+        at = pd.Index(self.outer["b"]).get_indexer(self.inner["b"])
+        lines = self.inner.iloc[np.argsort(at, kind="stable")]
+        v = lines[_values(self.rule.size + 2)].to_numpy(float)
+        return v[:, 0], v[:, 1], lines["ua"].to_numpy(float), np.ascontiguousarray(v[:, 2:]), _first(np.sort(at))
+
+    @cached_property
+    def _outer_near(self) -> tuple[np.ndarray, ...]:
+        """Weight, residual, effect and dense columns of the outer lines."""
+        v = self.outer[_values(4 + self.rule.size)].to_numpy(float)
+        return v[:, 0], v[:, 1], self.outer["ub"].to_numpy(float), np.ascontiguousarray(v[:, 4:])
+
+    def _inner_near(self, sd_a: float, first: float) -> tuple:
+        """What the inner lines give at another inner deviation: their block, and sums per outer line, both unscaled."""
+        size = self.rule.size
+        w, r, ua, s, starts = self._by_outer
+        u = ua * first
+        h, g = sd_a**2 * w + 1.0, sd_a * r - u
+        scaled = s / h[:, None]
+        block = np.zeros((size + 1, self.rule.width))
+        block[:size, :size] = sd_a**2 * (s.T @ scaled)
+        block[:size, size] = sd_a * (scaled.T @ g)
+        block[size, :3] = np.log(h).sum(), (u * u).sum(), (g * g / h).sum()
+        if not len(w):
+            return block, np.zeros((0, 2)), np.zeros((0, size))
+        pivots = np.add.reduceat(np.column_stack([sd_a**2 * w * w / h, sd_a * w * g / h]), starts, axis=0)
+        return block, pivots, sd_a**2 * np.add.reduceat(scaled * w[:, None], starts, axis=0)
+
+    def _block_near(
+        self, rule: Elimination, ratios: np.ndarray, second: float, inner: np.ndarray, pivots: np.ndarray, lost: np.ndarray
+    ) -> np.ndarray:
+        size, sd_b = rule.size, rule.sd_b
+        both = np.outer(ratios, ratios)
+        block = inner.copy()
+        block[:size, :size] = both * (inner[:size, :size] - self.raw[:, :size])
+        block[:size, size] = ratios * (inner[:size, size] - self.raw[:, size])
+        block[size, 3] += self.raw[:, size + 1].sum()
+        w, r, ub, s = self._outer_near
+        u = ub * second
+        h = sd_b**2 * (w - pivots[:, 0]) + 1.0
+        g = sd_b * (r - pivots[:, 1]) - u
+        return block + rule.removed(h, g, sd_b * ratios * (s - lost), u)
+
     def leverage(self, p: int, inverse: np.ndarray) -> tuple[pd.DataFrame, float, float]:
         h, _, m = self.rule.outer_parts(self.outer)
         table, inner = self.rule.leverage(self.inner, *self._outer_of(h, m), p, inverse)
@@ -610,7 +667,7 @@ class Placed:
 
         def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for row in _records(batches):
-                yield pd.DataFrame({key: list(row[f"names_{key}"]), value: np.frombuffer(here.apply(row)[value])})
+                yield pd.DataFrame({key: json.loads(row[f"names_{key}"]), value: np.frombuffer(here.apply(row)[value])})
 
         return self.rows.mapInPandas(told, f"{key} string, {value} double")
 
@@ -916,13 +973,14 @@ def leverage_sums(problem: Problem, state: State, table, inverse: np.ndarray) ->
         total = np.zeros(size)
         for row in _records(batches):
             a, s = np.frombuffer(row["a"], np.int32), _columns(row, p, scales)
-            told = shared.value.to_numpy()[shared.value.index.get_indexer(row["names_a"])][a]
+            names_a = json.loads(row["names_a"])
+            told = shared.value.to_numpy()[shared.value.index.get_indexer(names_a)][a]
             mu = 1.0 / (1.0 + np.exp(-(s @ dense + told[:, 0])))
             apart = s[:, p:] - told[:, 2:]
             r = (told[:, 1] + ((apart @ inverse) * apart).sum(1)) * mu * (1.0 - mu) * (1.0 - 2.0 * mu)
             total += s.T @ r
             if nested:
-                yield pd.DataFrame({"kind": 1, "i": 0, "a": row["names_a"], "value": np.add.reduceat(r, _first(a))})
+                yield pd.DataFrame({"kind": 1, "i": 0, "a": names_a, "value": np.add.reduceat(r, _first(a))})
         yield pd.DataFrame({"kind": 0, "i": np.arange(size), "a": None, "value": total})
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
