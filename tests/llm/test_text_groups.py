@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from vitalrates.llm import decontaminate, exact_dedup, fuzzy_lines, ngram_join, queries
@@ -171,6 +172,44 @@ def test_tiles_match_brute_force():
         assert own == plain_tiles(a, b, 3)
 
 
+def line_pairs(count, seed=8):
+    random_ = random.Random(seed)
+    x = ["".join(random_.choice("abc de") for _ in range(random_.randrange(1, 120))) for _ in range(count)]
+    y = ["".join(random_.choice("abc dez") if random_.random() < 0.02 else c for c in line) + random_.choice(["", "tail", line]) for line in x]
+    return [*x, "ab" * 80_000, "a", "\U0001f600\u00e4 short"], [*y, "ab" * 70_000, "b", "\U0001f600\u00e4 short"]
+
+
+def alike(a, b, percent=75):
+    a, b = ({t[i : i + 8] for i in range(max(1, len(t) - 7))} for t in (a, b))
+    return 100 * len(a & b) >= percent * len(a | b)
+
+
+def test_similar_lines_are_those_of_their_shingles():
+    x, y = line_pairs(1_300)
+    expected = [alike(a, b) for a, b in zip(x, y)]
+    assert fuzzy_lines._similar(x, y, 75).tolist() == expected and 200 < sum(expected) < 1_100
+    assert fuzzy_lines._similar([], [], 75).tolist() == []
+
+
+def test_small_tiles_are_compared_together(monkeypatch):
+    """A bucket of few lines costs no hashing of its own; links are those that join components."""
+    x, y = line_pairs(1_200, seed=9)
+    rows, expected = [], set()
+    for t, (a, b) in enumerate(zip(x, y)):
+        two = t % 3 == 0  # the main component has one line, or two that are linked already
+        rows += [(t, 0, 0, 0, 10 * t + 1, 10 * t + 1, a), (t, 0, 0, 1, 10 * t + 1, 10 * t + 1, a), (t, 0, 0, 1, 10 * t, 10 * t, b)]
+        rows += [(t, 0, 0, 1, 10 * t + 2, 10 * t, b)] * two
+        expected |= {10 * t} if alike(a, b) else set()
+    names = ["bucket", "row", "column", "side", "node", "root", "line"]
+    table = pa.table({n: list(c) for n, c in zip(names, zip(*rows))})
+    made, batch = [], fuzzy_lines.LineBatch
+    monkeypatch.setattr(fuzzy_lines, "LineBatch", lambda lines: made.append(1) or batch(lines))
+    found = pa.Table.from_batches(list(fuzzy_lines._tile_links(75)(table.to_batches(700))))
+    links = list(zip(found["a"].to_pylist(), found["b"].to_pylist()))
+    assert len(links) == len(expected) and {b - b % 10 for _, b in links} == expected == {a - 1 for a, _ in links}
+    assert len(made) < len(x) / 50
+
+
 def test_fuzzy_lines_match_brute_force(spark):
     random_ = random.Random(4)
     base = ["".join(random_.choice("abcdefgh ijklmn") for _ in range(90)) for _ in range(12)]

@@ -25,10 +25,21 @@ from vitalrates.session import cut_lineage
 SHINGLE, BANDS, ROWS = 8, 12, 4
 PERCENT = 75
 HELD = 150_000
-CHARS_AT_ONCE = 1_000_000
+CHARS_AT_ONCE = 100_000
+HASHES_AT_ONCE, PAIRS_AT_ONCE = 50_000, 500
 _CONSTANTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32)
 
 
+def _slices(sizes, most: int, count: int | None = None) -> Iterator[tuple[int, int]]:
+    """Neighbours whose sizes add up to about `most`, at most `count` of them; one alone may be larger."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(ends):
+        b = max(int(np.searchsorted(ends, most + (ends[a - 1] if a else 0), side="right")), a + 1)
+        b = min(b, a + (count or b))
+        yield a, b
+        a = b
+
+
 def lines_of(text: str) -> list[tuple[int, str]]:
     """(line number, line) of the lines that hold more than white space."""
     return [(i, line) for i, line in enumerate(text.split("\n")) if line and not line.isspace()]
@@ -62,7 +73,12 @@ class LineBatch:
         """Bucket keys, one row per line and one column per band."""
         hashes, first = self.shingles(SHINGLE)
         low = (hashes >> np.uint64(32)).astype(np.uint32)
-        least = np.stack([np.minimum.reduceat(low ^ c, first[:-1]) for c in _CONSTANTS], axis=1).astype(np.uint64)
+        least = np.empty((len(first) - 1, BANDS * ROWS), np.uint64)
+        for a, b in _slices(np.diff(first), HASHES_AT_ONCE):  # a slice stays in the processor's cache
+            own, starts = low[first[a] : first[b]], first[a:b] - first[a]
+            moved = np.empty_like(own)
+            for r, c in enumerate(_CONSTANTS):
+                least[a:b, r] = np.minimum.reduceat(np.bitwise_xor(own, c, out=moved), starts)
         key = np.zeros((len(least), BANDS), np.uint64)
         for r in range(ROWS):
             key = mix(key + least[:, r::ROWS] + np.uint64(r + 1))
@@ -174,24 +190,32 @@ def _entries(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return owner[new], hashes[new]
 
 
+def _similar(x: list[str], y: list[str], percent: int) -> np.ndarray:
+    """Which pairs of lines share at least `percent` of their shingles, told apart by 54 bits of their hashes."""
+    keep = [np.zeros(0, bool)]
+    for a, b in _slices([len(v) + len(w) for v, w in zip(x, y)], CHARS_AT_ONCE, PAIRS_AT_ONCE):
+        n = b - a
+        hashes, first = LineBatch(x[a:b] + y[a:b]).shingles(SHINGLE)
+        # One sort of pair (9 bits), hash (54) and side (1): equal neighbours are repeats, equal but for the side are common.
+        head = np.concatenate((np.arange(n), np.arange(n))).astype(np.uint64) << np.uint64(55)
+        head[n:] |= np.uint64(1)
+        key = np.repeat(head, np.diff(first)) | (hashes >> np.uint64(10) << np.uint64(1))
+        key.sort()
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        key = key[new]
+        pair, key = (key >> np.uint64(55)).astype(np.int64), key >> np.uint64(1)
+        common = np.bincount(pair[1:][key[1:] == key[:-1]], minlength=n)
+        keep.append(100 * common >= percent * (np.bincount(pair, minlength=n) - common))
+    return np.concatenate(keep)
+
+
 def _alike(percent: int):
     def checked(batches):
         import pyarrow as pa
 
         for batch in batches:
-            a, b = batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()
-            keep = [np.zeros(0, bool)]
-            for start in range(0, len(a), 500):
-                x, y = a[start : start + 500], b[start : start + 500]
-                owner, hashes = _entries(x + y)
-                sizes = np.bincount(owner, minlength=2 * len(x))
-                pair = owner % len(x)
-                order = np.lexsort((hashes, pair))
-                hashes, pair = hashes[order], pair[order]
-                both = (hashes[1:] == hashes[:-1]) & (pair[1:] == pair[:-1])
-                common = np.bincount(pair[1:][both], minlength=len(x))
-                keep.append(100 * common >= percent * (sizes[: len(x)] + sizes[len(x) :] - common))
-            mask = pa.array(np.concatenate(keep), pa.bool_())
+            mask = pa.array(_similar(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist(), percent), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     return checked
@@ -209,11 +233,31 @@ def _tile_links(percent: int):
     def read(batch):
         return {"line": batch.column("line").to_pylist()}
 
+    def joined(small):
+        """Links of many small tiles, whose pairs are compared together."""
+        if not small:
+            return
+        both = _similar([rows["line"][i] for rows, x, _, _ in small for i in x], [rows["line"][j] for rows, _, y, _ in small for j in y], percent)
+        for (rows, x, y, label), alike in zip(small, np.split(both, np.cumsum([len(x) for _, x, _, _ in small])[:-1])):
+            if alike.any():
+                i, j = x[alike], y[alike]
+                joining, _ = spanning(i, j, label)
+                yield _edges(rows, i[joining], j[joining])
+
     def compared(batches):
+        small, held = [], 0
         for rows in _tile_rows(batches, ("bucket", "row", "column"), read):
             x, y, label = _two_sides(rows)
             if not len(x) or not len(y):
                 continue
+            i, j = np.nonzero(label[x][:, None] != label[y][None, :])
+            if len(i) <= 2 * len(label):
+                small.append((rows, x[i], y[j], label))
+                held += len(i)
+                if held >= PAIRS_AT_ONCE:
+                    yield from joined(small)
+                    small, held = [], 0
+                continue
             owner, hashes = _entries(rows["line"])
             sizes = np.bincount(owner, minlength=len(label))
             sets = np.split(hashes, np.cumsum(sizes)[:-1])
@@ -222,6 +266,7 @@ def _tile_links(percent: int):
             i, j = np.nonzero((100 * common >= percent * union) & (label[x][:, None] != label[y][None, :]))
             joining, _ = spanning(x[i], y[j], label)
             yield _edges(rows, x[i][joining], y[j][joining])
+        yield from joined(small)
 
     return compared
 
