@@ -23,7 +23,7 @@ from vitalrates.operators import (
 from vitalrates.operators.lasso import coordinate_descent, cross_products
 from vitalrates.operators.mixed import MixedFit, fit_mixed_logit
 from vitalrates.plans import analysis, birthdate, cones, density, figures, litters, survival, trials
-from vitalrates.session import cut_lineage, ensure_checkpoint_dir
+from vitalrates.session import cut_lineage, ensure_checkpoint_dir, freed_shuffles
 from vitalrates.sources import models
 from vitalrates.sources.standins import standin
 from vitalrates.sources.tables import query_text, read_table_csv, scan_between, write_table_csv
@@ -654,11 +654,13 @@ def full_scored(spark, sf) -> DataFrame:
 
 
 def q10(spark, sf):
-    return model_report(spark, analysis.autumn_design(full_scored(spark, sf), (1999,)))
+    with freed_shuffles(spark):
+        return model_report(spark, analysis.autumn_design(full_scored(spark, sf), (1999,)))
 
 
 def q11(spark, sf):
-    return model_report(spark, analysis.days200_design(full_scored(spark, sf)))
+    with freed_shuffles(spark):
+        return model_report(spark, analysis.days200_design(full_scored(spark, sf)))
 
 
 OPERATORS: dict[str, Query] = {

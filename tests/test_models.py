@@ -1,4 +1,5 @@
 import dataclasses
+import os
 from decimal import Decimal
 
 import numpy as np
@@ -11,13 +12,16 @@ from vitalrates.operators import crossed, effects, laplace, ranking
 from vitalrates.operators.lasso import coordinate_descent, cross_products, penalty_scores, tuning_table
 from vitalrates.operators.laplace import gradient, settle
 from vitalrates.operators.mixed import fit_mixed_logit
-from vitalrates.operators.mixed_system import DriverLevels, State, _packed_scan, _scan, prepare, rescaled_lines, rule_of
+from vitalrates.operators.mixed_system import (
+    DriverLevels, State, _packed_scan, _scan, following, newton, prepare, rescaled_lines, rule_of,
+)
 from vitalrates.operators.resample import bootstrap_weights, exact_bootstrap, poisson_limits
 from vitalrates.operators.residual_checks import kolmogorov_tail, residual_tests, residual_trend
 from vitalrates.operators.residuals import normal_quantile, quantile_residuals
 from vitalrates.operators.scores import add_scores, first_components
 from vitalrates.plans import birthdate
 from vitalrates.plans.figures import normal_ellipse, robust_ellipse
+from vitalrates.session import ensure_checkpoint_dir
 from vitalrates.sources.models import load_mixed_fit, save_mixed_fit
 
 
@@ -467,6 +471,25 @@ def test_levels_beyond_the_driver_in_tasks_or_shuffled(spark, level_rows):
         assert mine == pytest.approx(other, abs=1e-4)
 
 
+def stored_bytes(spark):
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+
+
+def test_steps_above_the_driver_bound_do_not_pile_up(spark):
+    """The rows are stored once; a step stores effects, and those of earlier steps are dropped."""
+    data = simulated(20_000)
+    problem = prepare(spark.createDataFrame(data), "y", ["one", "x1", "x2"], ["year", "dam", "litter"], 64, 10)
+    state, sizes = State((0.4, 0.8, 0.6), np.zeros(problem.size)), []
+    for _ in range(9):
+        newton(problem, state)
+        state = following(problem, state)
+        sizes.append(stored_bytes(spark))
+    assert sizes[-1] - sizes[2] < 20_000 * 8  # six steps; one copy of the rows has 44 bytes a row
+    problem.close()
+    assert stored_bytes(spark) < sizes[-1] - 20_000 * 20
+
+
 @pytest.mark.parametrize("chunks", [None, "stored"])
 def test_downhill_takes_the_same_moves_in_few_jobs(monkeypatch, chunks):
     """A long way along one axis costs a job per few rounds where a job is dear, and ends where the plain search does."""

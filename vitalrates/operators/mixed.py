@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vitalrates.operators import crossed
 from vitalrates.operators.laplace import HIGH, LOW, MOST_LOG, SDS_START, least_deviance, settle
 from vitalrates.operators.mixed_system import LEVEL_ROWS, SMALL_LEVELS, NotNested, Placed, Problem, State, prepare
-from vitalrates.session import LOOKUP_MAX_ROWS
+from vitalrates.session import LOOKUP_MAX_ROWS, cut_lineage, freed_shuffles
 
 
 @dataclass
@@ -66,10 +66,16 @@ def fit_mixed_logit(
     """
     if sds is not None and set(sds) != set(groups):
         raise ValueError(f"deviations given for {sorted(sds)}, factors are {sorted(groups)}")
-    try:
-        problem = prepare(df, y, x, groups, small_levels, min(driver_levels, LOOKUP_MAX_ROWS), level_rows)
-    except NotNested:
-        return _crossed_fit(df, y, x, groups, sds, tolerance, stop, min(driver_levels, LOOKUP_MAX_ROWS))
+    bound = min(driver_levels, LOOKUP_MAX_ROWS)
+    with freed_shuffles(df.sparkSession):
+        try:
+            problem = prepare(df, y, x, groups, small_levels, bound, level_rows)
+        except NotNested:
+            return _crossed_fit(df, y, x, groups, sds, tolerance, stop, bound)
+        return _nested_fit(problem, sds, tolerance, joint, stop)
+
+
+def _nested_fit(problem: Problem, sds: dict[str, float] | None, tolerance: float, joint: bool, stop: float) -> MixedFit:
     try:
         begin = tuple((sds or {}).get(g, SDS_START) for g in problem.factors)
         state = State(begin, np.zeros(problem.size))
@@ -77,8 +83,7 @@ def fit_mixed_logit(
         final, ahead = least_deviance(problem, state, tolerance, joint, stop) if searched else settle(problem, state, tolerance)
         return _result(problem, final, ahead)
     finally:
-        problem.release()
-        problem.stored.unpersist()
+        problem.close()
 
 
 def _crossed_fit(
@@ -125,7 +130,7 @@ def _result(problem: Problem, final: State, ahead: State) -> MixedFit:
         at += len(names)
     for g, table, key, value in zip(problem.nested, (ahead.levels, ahead.outer), "ab", ("ua", "ub")):
         if isinstance(table, Placed):
-            table = table.effects(key, value)
+            table = cut_lineage(table.effects(key, value))
         elif isinstance(table, pd.DataFrame):
             table = spark.createDataFrame(table[[key, value]], f"{key} string, {value} double")
         effects[g] = table.select(F.col(key).alias("level"), (F.col(value) * sds[g]).alias("effect"))

@@ -8,8 +8,8 @@ the outer levels leaves the small system, exactly, with nothing but group-wise s
 
 The level lines are eliminated by the functions of `Elimination`. Up to `LOOKUP_MAX_ROWS` levels they run on the driver;
 above it they run on the executors. There the rows are dealt by outer level, so that a task has all rows of its levels,
-makes their lines itself and eliminates them without a join; the effects stay with the rows in the shared checkpoint folder
-and only dense sums reach the driver. If an outer level has more than `LEVEL_ROWS` rows, no task holds it: the lines are
+makes their lines itself and eliminates them without a shuffle. The rows are stored once; a step stores the effects alone,
+beside the rows, and the effects of earlier steps are dropped. Only dense sums reach the driver. If an outer level has more than `LEVEL_ROWS` rows, no task holds it: the lines are
 then shuffled and kept in the checkpoint folder. Other deviations, the leverage of the rows and the adjoint solve of a
 gradient are answered from the same lines, on every side by the same functions.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalrates.operators.joins import hot_keys, left_join
-from vitalrates.session import LOOKUP_MAX_ROWS, bounded_rows, cut_lineage
+from vitalrates.session import LOOKUP_MAX_ROWS, StepTable, StepTables, bounded_rows, cut_lineage
 
 # Tasks carry the functions of this module, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,8 +39,9 @@ SMALL_LEVELS = 64
 #: Rows of one outer level that a task may hold, and rows of a task's chunk of smaller levels.
 LEVEL_ROWS = 1_000_000
 CHUNK_ROWS = 50_000
-CHUNK = ("y binary, x binary, codes binary, a binary, b_of binary, names_a binary, names_b binary, "
-         "ua binary, ub binary, block binary, raw binary")
+CHUNK = "chunk string, y binary, x binary, codes binary, a binary, b_of binary, names_a binary, names_b binary"
+#: Of a chunk at one step: effects, and what its lines take from the dense system.
+EFFECTS = "chunk string, ua binary, ub binary, block binary, raw binary"
 
 
 class NotNested(ValueError):
@@ -79,6 +80,9 @@ class Problem:
     stored: DataFrame
     #: Rows in chunks of whole outer levels, or None where the lines are on the driver or shuffled.
     chunks: DataFrame | None = None
+    #: The chunks and the effects of the steps in use, as stored tables.
+    steps: StepTables | None = None
+    held: StepTable | None = None
     #: Rows as arrays sorted by inner level, for scans whose level lines the driver holds.
     packed: DataFrame | None = None
     passes: int = 0
@@ -93,6 +97,13 @@ class Problem:
         while self.broadcasts:
             self.broadcasts.pop().destroy()
 
+    def close(self) -> None:
+        """Give back everything; level tables of a state are then gone."""
+        self.release()
+        self.stored.unpersist()
+        if self.steps is not None:
+            self.steps.close()
+
     @property
     def size(self) -> int:
         return len(self.x) + sum(len(v) for v in self.small_levels.values())
@@ -140,7 +151,8 @@ def prepare(
     else:
         whole = "__b" if len(large) == 2 else "__a"
         if rows.groupBy(whole).count().agg(F.max("count")).first()[0] <= level_rows:
-            problem.chunks = _chunks(problem, whole)
+            _store_chunks(problem, whole)
+            stored.unpersist()
     return problem
 
 
@@ -155,15 +167,21 @@ def _told(names: list) -> bytes:
     return json.dumps(names).encode()
 
 
-def _chunks(problem: Problem, whole: str) -> DataFrame:
-    """One record per task: rows as arrays, sorted by inner level, with all rows of each level; effects start at zero."""
-    parts = max(problem.rows.sparkSession.sparkContext.defaultParallelism, -(-problem.n // CHUNK_ROWS))
-    return cut_lineage(problem.rows.repartition(parts, whole).mapInPandas(_packer(problem, None), CHUNK))
+def _store_chunks(problem: Problem, whole: str) -> None:
+    """One record per task: rows as arrays, sorted by inner level, with all rows of each level.
+
+    A chunk is named by one of its levels, whose bucket is the partition the level was dealt to.
+    """
+    spark = problem.rows.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-problem.n // CHUNK_ROWS))
+    problem.steps = StepTables(spark, "chunk", parts)
+    problem.held = problem.steps.store(problem.rows.repartition(parts, whole).mapInPandas(_packer(problem, None, whole), CHUNK))
+    problem.chunks = problem.held.rows
 
 
-def _packer(problem: Problem, most: int | None = CHUNK_ROWS):
+def _packer(problem: Problem, most: int | None = CHUNK_ROWS, whole: str = "__a"):
     """Rows as arrays in records of about `most` rows, or one a task without it."""
-    x, codes, size = problem.x, [f"__code_{g}" for g in problem.small], problem.size
+    x, codes = problem.x, [f"__code_{g}" for g in problem.small]
 
     def record(held: list[pd.DataFrame]) -> pd.DataFrame:
         pdf = pd.concat(held, ignore_index=True)
@@ -172,12 +190,12 @@ def _packer(problem: Problem, most: int | None = CHUNK_ROWS):
         order = np.argsort(a, kind="stable")
         first = order[np.searchsorted(a[order], np.arange(len(names_a)))]
         pdf = pdf.iloc[order]
+        names = names_b if whole == "__b" else names_a
         return pd.DataFrame([{
+            "chunk": next((v for v in names if v is not None), "\0"),
             "y": pdf["__y"].to_numpy(float).tobytes(), "x": pdf[x].to_numpy(float).tobytes(),
             "codes": pdf[codes].to_numpy(np.int32).tobytes(), "a": a[order].astype(np.int32).tobytes(),
             "b_of": b[first].astype(np.int32).tobytes(), "names_a": _told(names_a), "names_b": _told(names_b),
-            "ua": np.zeros(len(names_a)).tobytes(), "ub": np.zeros(len(names_b)).tobytes(),
-            "block": np.zeros((size + 1, max(size + 1, 4))).tobytes(), "raw": np.zeros((size, size + 2)).tobytes(),
         }])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -641,15 +659,20 @@ class Chunk:
 
 @dataclass(frozen=True)
 class Placed:
-    """Effects that stay with the rows: stored chunks, a move from the point they were scored at, and then a change of scale."""
+    """Effects that stay beside the rows: stored chunks, a move from the point they were scored at, and then a change of
+    scale. Chunks without stored effects (`table`) start at zero."""
 
-    rows: DataFrame
+    rows: DataFrame | None
     p: int
     move: tuple[Point, np.ndarray, float] | None = None
     first: float = 1.0
     second: float = 1.0
+    table: StepTable | None = None
 
     def apply(self, row: dict) -> dict:
+        if "ua" not in row:
+            b_of = np.frombuffer(row["b_of"], np.int32)
+            row = {**row, "ua": np.zeros(len(b_of)).tobytes(), "ub": np.zeros(b_of.max() + 1).tobytes()}
         if self.move is not None:
             at, step, reach = self.move
             row = Chunk(row, self.p, at).moved(row, step, reach)
@@ -660,7 +683,7 @@ class Placed:
         return Placed(None, self.p, self.move, self.first, self.second)
 
     def scaled(self, first: float, second: float) -> Placed:
-        return Placed(self.rows, self.p, self.move, self.first * first, self.second * second)
+        return Placed(self.rows, self.p, self.move, self.first * first, self.second * second, self.table)
 
     def effects(self, key: str, value: str) -> DataFrame:
         here = self.here()
@@ -678,7 +701,9 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
 
 
 class ChunkLevels:
-    """The same elimination with rows, lines and effects of whole levels in one task; only dense sums reach the driver."""
+    """The same elimination with rows, lines and effects of whole levels in one task; only dense sums reach the driver.
+
+    The rows stay as they were stored; `table` holds the effects at this point and nothing else of a row's length."""
 
     def __init__(self, problem: Problem, state: State, rule: Elimination):
         self.p, self.at = len(problem.x), Point(rule, state.dense.copy(), _scales(problem, state))
@@ -689,10 +714,12 @@ class ChunkLevels:
             for row in _records(batches):
                 row = here.apply(row)
                 levels = Chunk(row, p, at).levels
-                yield pd.DataFrame([{**row, "block": levels.block.tobytes(), "raw": levels.raw.tobytes()}])
+                yield pd.DataFrame([{"chunk": row["chunk"], "ua": row["ua"], "ub": row["ub"],
+                                     "block": levels.block.tobytes(), "raw": levels.raw.tobytes()}])
 
-        self.rows = cut_lineage(begun.rows.mapInPandas(place, CHUNK))
-        found = self.rows.select("block", "raw").collect()
+        self.table = problem.steps.store(begun.rows.mapInPandas(place, EFFECTS))
+        self.rows = problem.steps.beside(problem.chunks, self.table).drop("block", "raw")
+        found = self.table.rows.select("block", "raw").collect()
         self.block = sum(np.frombuffer(r["block"]).reshape(size + 1, -1) for r in found)
         self.raw = sum(np.frombuffer(r["raw"]).reshape(size, size + 2) for r in found)
 
@@ -711,7 +738,7 @@ class ChunkLevels:
         return list(self._summed(lambda c: np.stack(c.levels.near(asked))).reshape(len(asked), rule.size + 1, rule.width))
 
     def move(self, step: np.ndarray, reach: float = 1.0) -> tuple[Placed, Placed]:
-        moved = Placed(self.rows, self.p, (self.at, step, reach))
+        moved = Placed(self.rows, self.p, (self.at, step, reach), table=self.table)
         return moved, moved
 
     def leverage(self, p: int, inverse: np.ndarray) -> tuple[Leverage, float, float]:
@@ -936,6 +963,7 @@ def newton(problem: Problem, state: State, hold: bool = False) -> None:
     rule = rule_of(problem, state.sds)
     if problem.chunks is not None:
         state.system = ChunkLevels(problem, state, rule)
+        state.levels = Placed(state.system.rows, len(problem.x), table=state.system.table)  # no longer those of the step before
     elif problem.driver_levels:
         state.system = DriverLevels(_packed_scan(problem, state), rule, LOOKUP_MAX_ROWS + problem.size)
     else:
