@@ -509,15 +509,20 @@ def g2_crossed(spark, sf):
         (C("l_returnflag") == "R").cast("double").alias("returned"))
     sds = {"supplier": 0.4, "part": 0.3}
     fit = fit_mixed_logit(items, "returned", ["constant", "quantity"], list(sds), sds=sds, tolerance=1e-12)
-    linked = effects.link_predictions(items, fit, {g: g for g in sds}).withColumn(
-        "rest", C("returned") - casting.inverse_logit(C("link")))
-    parts = [linked.agg(F.sum("rest").alias("constant"), F.sum(C("rest") * C("quantity")).alias("quantity")).select(
-        F.lit("fixed").alias("factor"), F.expr("stack(2, 'constant', constant, 'quantity', quantity) as (level, gap)"))]
-    for g, sd in sds.items():
-        sums = linked.groupBy(C(g).alias("level")).agg(F.sum("rest").alias("gap"))
-        parts.append(sums.join(fit.effects[g], "level", "full").select(
-            F.lit(g).alias("factor"), "level", (C("gap") - C("effect") / sd**2).alias("gap")))
-    return rows.bind_rows(*parts).select("factor", "level", (F.abs(C("gap")) < 1e-3).alias("balanced"))
+    with freed_shuffles(spark):
+        linked = effects.link_predictions(items, fit, {g: g for g in sds}).withColumn(
+            "rest", C("returned") - casting.inverse_logit(C("link")))
+        # All sums come from one pass, so that the rows are joined with their effects once.
+        every = 2 ** len(sds) - 1
+        sums = cut_lineage(linked.groupingSets([[], *[[g] for g in sds]], *sds).agg(
+            F.sum("rest").alias("constant"), F.sum(C("rest") * C("quantity")).alias("quantity"), F.grouping_id().alias("left_out")))
+        parts = [sums.filter(C("left_out") == every).select(
+            F.lit("fixed").alias("factor"), F.expr("stack(2, 'constant', constant, 'quantity', quantity) as (level, gap)"))]
+        for i, (g, sd) in enumerate(sds.items()):
+            own = sums.filter(C("left_out") == every - 2 ** (len(sds) - 1 - i)).select(C(g).alias("level"), C("constant").alias("gap"))
+            parts.append(own.join(fit.effects[g], "level", "full").select(
+                F.lit(g).alias("factor"), "level", (C("gap") - C("effect") / sd**2).alias("gap")))
+        return rows.bind_rows(*parts).select("factor", "level", (F.abs(C("gap")) < 1e-3).alias("balanced"))
 
 
 def given_fit(design: analysis.Design, tables_: dict[str, DataFrame] | None = None) -> MixedFit:

@@ -490,6 +490,18 @@ def test_steps_above_the_driver_bound_do_not_pile_up(spark):
     assert stored_bytes(spark) < sizes[-1] - 20_000 * 20
 
 
+def test_crossed_steps_above_the_driver_bound_do_not_pile_up(spark):
+    """The rows are stored once; a step stores the effects of the eliminated factor, and earlier ones are dropped."""
+    data = simulated(20_000)
+    data["litter"] = (data["litter"] * 7 + data.index % 3) % data["litter"].nunique()
+    problem = crossed.prepare_crossed(spark.createDataFrame(data), "y", ["one", "x1", "x2"], ["dam", "litter"], 150)
+    held, sizes = None, []
+    for _ in range(7):
+        held = crossed.system_at(problem, [0.8, 0.6], np.zeros(problem.size), held).held
+        sizes.append(stored_bytes(spark))
+    assert problem.gone == 1 and sizes[-1] - sizes[2] < 20_000 * 8  # four steps; one copy of the rows has 52 bytes a row
+
+
 @pytest.mark.parametrize("chunks", [None, "stored"])
 def test_downhill_takes_the_same_moves_in_few_jobs(monkeypatch, chunks):
     """A long way along one axis costs a job per few rounds where a job is dear, and ends where the plain search does."""

@@ -6,8 +6,9 @@ emit one line per level they met. Newton steps solve by conjugate gradients, pre
 and the diagonal, and the log-determinant is a Lanczos quadrature over seeded random signs, all of them in one block.
 The driver holds vectors as long as the levels of all factors together, at most `LOOKUP_MAX_ROWS`; rows never leave the
 executors. With more levels the largest factor is eliminated exactly: rows are dealt by its levels, so a task holds all
-rows of a level and takes it out of every product on its own, and its effects stay with the rows in the checkpoint folder.
-The driver then holds the other factors only, at most `KEPT_LEVELS`. Levels of the largest factor above 1 % of the rows are
+rows of a level and takes it out of every product on its own. The rows are stored once and a step stores the effects of the
+eliminated factor alone; tasks add up many chunks before they emit lines, and each shuffle is removed with its query. The
+driver then holds the other factors only, at most `KEPT_LEVELS`. Levels of the largest factor above 1 % of the rows are
 kept on the driver as well, so their rows may lie in any task.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalrates.operators.joins import attach_small, hot_keys
-from vitalrates.session import LOOKUP_MAX_ROWS, bounded_rows, cut_lineage
+from vitalrates.session import LOOKUP_MAX_ROWS, StepTable, StepTables, bounded_rows
 
 # Tasks carry the functions of this module, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -41,7 +42,12 @@ SEARCH_TOLERANCE = 1e-4
 KEPT_LEVELS = 500_000
 #: Rows a task holds at once when a factor is eliminated.
 CHUNK_ROWS = 200_000
-CHUNK = "y binary, x binary, k binary, a binary, names array<string>, u binary, w binary"
+CHUNK = "chunk bigint, y binary, x binary, k binary, a binary, names array<string>"
+EFFECTS = "chunk bigint, u binary"
+#: Bound of the table that numbers the levels of a factor, which is sent to the tasks.
+CODE_BYTES = 64 << 20
+#: Lines a task emits at once.
+LINES = 50_000
 
 
 @dataclass
@@ -57,6 +63,14 @@ class Crossed:
     #: Position of the eliminated factor, whose `levels` are then only those kept on the driver; `rows` are then chunks.
     gone: int | None = None
     counts: list[int] = field(default_factory=list)
+    #: The chunks and the effects of the steps in use, as stored tables.
+    steps: StepTables | None = None
+    stored: StepTable | None = None
+
+    def close(self) -> None:
+        self.rows.unpersist()
+        if self.steps is not None:
+            self.steps.close()
 
     @property
     def ends(self) -> np.ndarray:
@@ -72,11 +86,13 @@ class Crossed:
 
 @dataclass
 class Held:
-    """Effects of the eliminated factor, in chunks; `move` (scale, sd, at, step, reach) and `ratio` are still to be applied."""
+    """Chunks with the effects of the eliminated factor, zero without a `table`; `move` (scale, sd, at, step, reach) and
+    `ratio` are still to be applied."""
 
     rows: DataFrame
     move: tuple | None = None
     ratio: float = 1.0
+    table: StepTable | None = None
 
 
 @dataclass
@@ -103,7 +119,7 @@ def prepare_crossed(
     text = [F.col(g).cast("string").alias(f"__group_{g}") for g in groups]
     rows = df.select(F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in x], *text)
     stored = rows = rows.persist()
-    counts = list(rows.agg(*[F.countDistinct(f"__group_{g}") for g in groups]).first())
+    n, *counts = rows.agg(F.count("*"), *[F.countDistinct(f"__group_{g}") for g in groups]).first()
     gone = int(np.argmax(counts)) if sum(counts) + len(x) > driver_levels else None
     bound = LOOKUP_MAX_ROWS if gone is None else KEPT_LEVELS
     levels, start = [], len(x)
@@ -115,17 +131,17 @@ def prepare_crossed(
             levels.append(sorted(r[0] for r in found))
         codes = [(v, start + k) for k, v in enumerate(levels[-1])]
         table = df.sparkSession.createDataFrame(codes, "__level string, __code int").withColumnRenamed("__code", f"__c{i}")
-        rows = attach_small(rows, table, [(f"__group_{g}", "__level")], null_safe=False)
+        rows = attach_small(rows, table, [(f"__group_{g}", "__level")], null_safe=False, max_bytes=CODE_BYTES)
         rows = rows if i == gone else rows.drop(f"__group_{g}")
         start += len(levels[-1])
+    problem = Crossed(rows, list(x), list(groups), levels, n, gone=gone, counts=counts)
     if gone is None:
-        rows = rows.persist()
-        n = rows.count()
+        problem.rows = rows.persist()
+        problem.rows.count()
     else:
-        n = rows.count()
-        rows = cut_lineage(_chunks(rows, list(x), len(groups), f"__group_{groups[gone]}", gone, start, n))
+        _store_chunks(problem, f"__group_{groups[gone]}")
     stored.unpersist()
-    return Crossed(rows, list(x), list(groups), levels, n, gone=gone, counts=counts)
+    return problem
 
 
 def _kept_levels(rows: DataFrame, group: str) -> list[str]:
@@ -135,14 +151,15 @@ def _kept_levels(rows: DataFrame, group: str) -> list[str]:
     return sorted(hot_keys(rows, group))
 
 
-def _chunks(rows: DataFrame, x: list[str], factors: int, group: str, gone: int, size: int, n: int) -> DataFrame:
+def _store_chunks(problem: Crossed, group: str) -> None:
     """One record per task: its rows as arrays, with all rows of every eliminated level it meets.
 
     Positions point into the driver's vectors, `size` where a row has none; `a` numbers the eliminated levels of the chunk,
-    the last number stands for rows of a kept level.
+    the last number stands for rows of a kept level. A chunk is named by the value that dealt one of its rows.
     """
-    codes, own = [f"__c{i}" for i in range(factors)], f"__c{gone}"
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // CHUNK_ROWS))
+    rows, x, size, spark = problem.rows, problem.x, problem.size, problem.rows.sparkSession
+    codes, own = [f"__c{i}" for i in range(len(problem.factors))], f"__c{problem.gone}"
+    parts = max(spark.sparkContext.defaultParallelism, -(-problem.n // CHUNK_ROWS))
     by = F.when(F.col(own).isNull(), F.xxhash64(group)).otherwise(F.xxhash64("__y", *x, *codes))
     name = F.when(F.col(own).isNull(), F.col(group))
     dealt = rows.select("__y", *x, *[F.coalesce(c, F.lit(size)).alias(c) for c in codes], name.alias("__a"), by.alias("__by"))
@@ -157,31 +174,50 @@ def _chunks(rows: DataFrame, x: list[str], factors: int, group: str, gone: int,
         order = np.argsort(a, kind="stable")
         pdf, a = pdf.iloc[order], a[order]
         yield pd.DataFrame([{
-            "y": pdf["__y"].to_numpy(float).tobytes(), "x": pdf[x].to_numpy(float).tobytes(),
+            "chunk": pdf["__by"].iloc[0], "y": pdf["__y"].to_numpy(float).tobytes(), "x": pdf[x].to_numpy(float).tobytes(),
             "k": pdf[codes].to_numpy(np.int32).tobytes(), "a": a.tobytes(), "names": list(names),
-            "u": np.zeros(len(names) + 1).tobytes(), "w": b"",
         }])
 
-    return dealt.repartition(parts, "__by").mapInPandas(pack, CHUNK)
+    problem.steps = StepTables(spark, "chunk", parts)
+    problem.stored = problem.steps.store(dealt.repartition(parts, "__by").mapInPandas(pack, CHUNK))
+    problem.rows = problem.stored.rows
+
+
+@dataclass(frozen=True)
+class Point:
+    """Where chunks are scored: scale of every position, deviation of the eliminated factor, and `spread_out` coefficients."""
+
+    p: int
+    scale: np.ndarray
+    sd: float
+    at: np.ndarray
+
+
+def spread_out(block: np.ndarray, scale: np.ndarray, p: int) -> np.ndarray:
+    """A block in units of the linear predictor, with a line of zeros for rows that have no position."""
+    out = np.vstack([block, np.zeros((1, block.shape[1]))])
+    out[p:-1] *= scale[p:, None]
+    return out
 
 
 class Chunk:
-    """The arrays of a chunk and its products; `sd` is the deviation of the eliminated factor."""
+    """The arrays of a chunk, its effects and working weights at a point, and its products."""
 
-    def __init__(self, row, p: int, factors: int, scale: np.ndarray, sd: float):
-        self.p, self.size, self.scale = p, len(scale), np.append(scale, 0.0)
+    def __init__(self, row, point: Point):
+        self.p, self.scale, self.size = point.p, point.scale, len(point.scale)
         self.y = np.frombuffer(row["y"])
-        self.x = np.frombuffer(row["x"]).reshape(-1, p)
-        self.k = np.frombuffer(row["k"], np.int32).reshape(-1, factors)
+        self.x = np.frombuffer(row["x"]).reshape(len(self.y), -1)
+        self.k = np.frombuffer(row["k"], np.int32).reshape(len(self.y), -1)
         self.a = np.frombuffer(row["a"], np.int32)
-        self.u, self.w = np.frombuffer(row["u"]), np.frombuffer(row["w"])
-        self.own = np.where(np.arange(len(self.u)) < len(self.u) - 1, sd, 0.0)  # the last level stands for none
+        self.u = np.frombuffer(row["u"]) if "u" in row else np.zeros(len(row["names"]) + 1)
+        self.own = np.where(np.arange(len(self.u)) < len(self.u) - 1, point.sd, 0.0)  # the last level stands for none
         self.first = np.flatnonzero(np.diff(self.a, prepend=-1))
+        self.eta = (self.line(point.at) + self.spread(self.u[:, None]))[:, 0]
+        self.mu = 1.0 / (1.0 + np.exp(-self.eta))
+        self.w = self.mu * (1.0 - self.mu)
 
     def line(self, block: np.ndarray) -> np.ndarray:
-        """Per row: its columns times the block."""
-        block = np.vstack([block, np.zeros((1, block.shape[1]))])
-        block[self.p:] *= self.scale[self.p:, None]
+        """Per row: its columns times a block that is spread out."""
         return self.x @ block[:self.p] + sum(block[k] for k in self.k.T)
 
     def by_level(self, values: np.ndarray) -> np.ndarray:
@@ -193,16 +229,11 @@ class Chunk:
     def spread(self, values: np.ndarray) -> np.ndarray:
         return (self.own[:, None] * values)[self.a]
 
-    def score(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Linear predictor and mean of each row."""
-        eta = (self.line(at[:, None]) + self.spread(self.u[:, None]))[:, 0]
-        return eta, 1.0 / (1.0 + np.exp(-eta))
-
     def pivots(self) -> np.ndarray:
         return 1.0 + self.own * self.by_level(self.w[:, None])[:, 0]
 
-    def level_gradient(self, mu: np.ndarray) -> np.ndarray:
-        return self.by_level((self.y - mu)[:, None])[:, 0] - self.u
+    def level_gradient(self) -> np.ndarray:
+        return self.by_level((self.y - self.mu)[:, None])[:, 0] - self.u
 
     def reduced(self, values: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Weighted products per row, less what the eliminated levels take."""
@@ -219,19 +250,28 @@ class Chunk:
             total[found[inside]] += self.scale[found[inside], None] ** power * sums[inside]
 
 
-def _lines(df: DataFrame, size: int, width: int, of: Callable[[Chunk, np.ndarray], None], opened: Callable) -> np.ndarray:
-    """Sum over all chunks of what `of` adds to a table with a line per position."""
+def _records(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    for pdf in batches:
+        yield from pdf.to_dict("records")
+
+
+def _lines(df: DataFrame, size: int, width: int, of: Callable[[dict, np.ndarray], None]) -> np.ndarray:
+    """Sum over all chunks of what `of` adds to a table with a line per position.
+
+    A task adds up its chunks, as many as there are for each core, so that lines do not multiply with the chunks.
+    """
     names = [f"v{j}" for j in range(width)]
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((size, width))
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                of(opened(row), total)
+        for row in _records(batches):
+            of(row, total)
         met = np.flatnonzero(total.any(axis=1))
-        yield pd.DataFrame(total[met], columns=names).assign(i=met)[["i", *names]]
+        for some in np.array_split(met, -(-len(met) // LINES) or 1):
+            yield pd.DataFrame(total[some], columns=names).assign(i=some)[["i", *names]]
 
-    lines = df.mapInPandas(add, "i int, " + ", ".join(f"{v} double" for v in names))
+    tasks = df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+    lines = tasks.mapInPandas(add, "i int, " + ", ".join(f"{v} double" for v in names))
     found = lines.groupBy("i").agg(*[F.sum(v).alias(v) for v in names]).toPandas()
     out = np.zeros((size, width))
     out[found["i"].to_numpy(int)] = found[names].to_numpy(float)
@@ -240,32 +280,32 @@ def _lines(df: DataFrame, size: int, width: int, of: Callable[[Chunk, np.ndarray
 
 def _reduced_system(problem: Crossed, sds: Sequence[float], at: np.ndarray, held: Held) -> System:
     """The system of the driver's positions once the largest factor is eliminated, at `at` and the effects of `held`."""
-    p, factors, size = len(problem.x), len(problem.factors), problem.size
-    scale, sd, move, ratio = problem.scales(sds), sds[problem.gone], held.move, held.ratio
+    p, size, ratio = len(problem.x), problem.size, held.ratio
+    scale, sd = problem.scales(sds), sds[problem.gone]
+    point, old = Point(p, scale, sd, spread_out(at[:, None], scale, p)), None
+    if held.move is not None:
+        old_scale, old_sd, old_at, step, reach = held.move
+        old = Point(p, old_scale, old_sd, spread_out(old_at[:, None], old_scale, p)), spread_out(step[:, None], old_scale, p), reach
     context = problem.rows.sparkSession.sparkContext
-    sent = context.broadcast((scale, sd, at, move))
+    sent = context.broadcast((point, old))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scale, sd, at, move = sent.value
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                row = row.to_dict()
-                if move is not None:
-                    old_scale, old_sd, old_at, step, reach = move
-                    c = Chunk(row, p, factors, old_scale, old_sd)
-                    coupled = c.by_level(c.w[:, None] * c.line(step[:, None]))[:, 0]
-                    row["u"] = (c.u + reach * (c.level_gradient(c.score(old_at)[1]) - coupled) / c.pivots()).tobytes()
-                row["u"] = (np.frombuffer(row["u"]) * ratio).tobytes()
-                mu = Chunk(row, p, factors, scale, sd).score(at)[1]
-                yield pd.DataFrame([{**row, "w": (mu * (1.0 - mu)).tobytes()}])
-
-    def opened(row) -> Chunk:
-        return Chunk(row, p, factors, *sent.value[:2])
-
-    def point(c: Chunk, total: np.ndarray) -> None:
-        eta, mu = c.score(sent.value[2])
-        h, g = c.pivots(), c.level_gradient(mu)
-        rest = (c.y - mu)[:, None] - c.w[:, None] * c.spread((g / h)[:, None])
+        point, old = sent.value
+        for row in _records(batches):
+            if old is None:
+                u = np.frombuffer(row["u"]) if "u" in row else np.zeros(len(row["names"]) + 1)
+            else:
+                at, step, reach = old
+                c = Chunk(row, at)
+                coupled = c.by_level(c.w[:, None] * c.line(step))[:, 0]
+                u = c.u + reach * (c.level_gradient() - coupled) / c.pivots()
+            yield pd.DataFrame([{"chunk": row["chunk"], "u": (u * ratio).tobytes()}])
+
+    def scored(row: dict, total: np.ndarray) -> None:
+        c = Chunk(row, sent.value[0])
+        eta = c.eta
+        h, g = c.pivots(), c.level_gradient()
+        rest = (c.y - c.mu)[:, None] - c.w[:, None] * c.spread((g / h)[:, None])
         lost = c.by_level(c.w[:, None] * c.x)
         total[:p, 0] += (c.x.T @ rest)[:, 0]
         total[:p, 2:2 + p] += c.x.T @ (c.x * c.w[:, None]) - lost.T @ (lost / h[:, None])
@@ -273,37 +313,41 @@ def _reduced_system(problem: Crossed, sds: Sequence[float], at: np.ndarray, held
         c.back(total[:, 1:2], c.w[:, None], 2)
         total[0, -4:] += (c.y @ eta - np.logaddexp(0.0, eta).sum(), c.u @ c.u, np.log(h).sum(), (g * g / h).sum())
 
-    stored = cut_lineage(held.rows.mapInPandas(place, CHUNK))
-    lines = _lines(stored, size, p + 6, point, opened)
+    table = problem.steps.store(held.rows.mapInPandas(place, EFFECTS))
+    stored = problem.steps.beside(problem.rows, table)
+    scanned = stored.drop("names")
+    lines = _lines(scanned, size, p + 6, scored)
+    sent.destroy()
     problem.passes += 2
     ridge = np.r_[np.zeros(p), np.ones(size - p)]
 
     def times(block: np.ndarray) -> np.ndarray:
-        told = context.broadcast((scale, sd, block))
+        told = context.broadcast((point, spread_out(block, scale, p)))
 
-        def product(c: Chunk, total: np.ndarray) -> None:
-            rest = c.reduced(c.line(told.value[2]), c.pivots())
+        def product(row: dict, total: np.ndarray) -> None:
+            at, block = told.value
+            c = Chunk(row, at)
+            rest = c.reduced(c.line(block), c.pivots())
             total[:p] += c.x.T @ rest
             c.back(total, rest)
 
-        out = _lines(stored, size, block.shape[1], product, lambda row: Chunk(row, p, factors, *told.value[:2]))
+        out = _lines(scanned, size, block.shape[1], product)
         told.destroy()
         problem.passes += 1
         return out + ridge[:, None] * block
 
     likelihood, squares, logdet, decrement = lines[0, -4:]
     # The diagonal only scales; that of the whole system bounds the one that is left.
-    return System(at, likelihood, lines[:, 0] - ridge * at, lines[:, 1] + ridge, lines[:p, 2:2 + p], times, Held(stored),
-                  squares, logdet, decrement)
+    return System(at, likelihood, lines[:, 0] - ridge * at, lines[:, 1] + ridge, lines[:p, 2:2 + p], times,
+                  Held(stored, table=table), squares, logdet, decrement)
 
 
 def gone_effects(problem: Crossed, system: System, sd: float) -> DataFrame:
     """Level and effect of the eliminated factor, without the levels kept on the driver."""
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                yield pd.DataFrame({"level": list(row["names"]), "effect": sd * np.frombuffer(row["u"])[:-1]})
+        for row in _records(batches):
+            yield pd.DataFrame({"level": list(row["names"]), "effect": sd * np.frombuffer(row["u"])[:-1]})
 
     return system.held.rows.mapInPandas(told, "level string, effect double")
 
@@ -469,7 +513,8 @@ def mode(
                 return system
         at = system.at + reach * step
         if system.held is not None:
-            held = Held(system.held.rows, (problem.scales(sds), sds[problem.gone], system.at, step, reach))
+            held = Held(
+                system.held.rows, (problem.scales(sds), sds[problem.gone], system.at, step, reach), table=system.held.table)
     raise ArithmeticError(f"no convergence in {limit} Newton steps")
 
 
@@ -494,7 +539,7 @@ def search(
 
     def start(sds: np.ndarray) -> tuple[np.ndarray, Held | None]:
         moved = near * problem.scales(near_sds) / problem.scales(sds)
-        return moved, held and Held(held.rows, ratio=near_sds[problem.gone] / sds[problem.gone])
+        return moved, held and Held(held.rows, ratio=near_sds[problem.gone] / sds[problem.gone], table=held.table)
 
     def value(logs: np.ndarray) -> float:
         nonlocal near, near_sds, held

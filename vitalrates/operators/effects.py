@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from vitalrates.operators.joins import attach_small
 from vitalrates.operators.mixed import MixedFit
 
+#: Bound of a table of effects that is sent to the tasks instead of shuffling the rows by their level.
+EFFECT_BYTES = 64 << 20
+
 
 def normal_tail(z: float) -> float:
     """Two-sided tail probability of the standard normal distribution."""
@@ -94,7 +97,7 @@ def link_predictions(rows: DataFrame, fit: MixedFit, groups: dict[str, str], nam
     for factor, column in groups.items():
         effects = fit.effects[factor].select(F.col("level").alias("__level"), F.col("effect").alias("__effect"))
         keyed = out.withColumn("__key", F.col(column).cast("string"))
-        joined = attach_small(keyed, effects, [("__key", "__level")], null_safe=False)
+        joined = attach_small(keyed, effects, [("__key", "__level")], null_safe=False, max_bytes=EFFECT_BYTES)
         out = joined.withColumn(name, F.col(name) + F.coalesce("__effect", F.lit(0.0))).drop("__key", "__effect")
     return out
 

@@ -108,13 +108,13 @@ def _crossed_fit(
         }
         if problem.gone is not None:
             g = problem.factors[problem.gone]
-            effects[g] = effects[g].union(crossed.gone_effects(problem, system, float(begin[problem.gone])))
+            effects[g] = effects[g].union(cut_lineage(crossed.gone_effects(problem, system, float(begin[problem.gone]))))
         return MixedFit(
             problem.x, system.at[:p], (covariance + covariance.T) / 2, dict(zip(groups, map(float, begin))), effects, value,
             problem.n, dict(zip(groups, problem.counts)), problem.passes, error,
         )
     finally:
-        problem.rows.unpersist()
+        problem.close()
 
 
 def _result(problem: Problem, final: State, ahead: State) -> MixedFit:
