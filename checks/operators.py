@@ -29,6 +29,8 @@ from vitalrates.sources.standins import standin
 from vitalrates.sources.tables import query_text, read_table_csv, scan_between, write_table_csv
 
 C = F.col
+#: Days after the order from which a line counts as shipped late.
+LATE_DAYS = 60
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -486,16 +488,17 @@ def g2_plain(spark, sf):
 
 
 def g2_mixed(spark, sf):
-    """A joint fit with crossed and nested intercepts: which orders are shipped late, by season, supplier and part."""
-    items = spark.read.parquet(f"{sf}/lineitem.parquet").select(
-        F.lit(1.0).alias("constant"), (C("l_quantity") / 50).alias("quantity"), C("l_discount").cast("double").alias("discount"),
-        F.month("l_shipdate").alias("season"), (C("l_orderkey") % 500).alias("nest"), (C("l_orderkey") % 100).alias("dam"),
-        F.pmod(F.xxhash64(C("l_orderkey") % 500), F.lit(1000)).alias("nest_draw"),
-        F.pmod(F.xxhash64(C("l_orderkey") % 100, F.lit(7)), F.lit(1000)).alias("dam_draw"),
-        F.pmod(F.xxhash64("l_orderkey", "l_linenumber", F.lit(3)), F.lit(1 << 30)).alias("draw"))
-    eta = -0.6 + 0.8 * C("quantity") + (C("nest_draw") / 1000 - 0.5) * 2.4 + (C("dam_draw") / 1000 - 0.5) * 1.6
-    rows_ = items.withColumn("late", (C("draw") / (1 << 30) < casting.inverse_logit(eta)).cast("double"))
-    fit = fit_mixed_logit(rows_, "late", ["constant", "quantity", "discount"], ["season", "dam", "nest"])
+    """A joint fit with crossed and nested intercepts: which order lines are shipped late, by season, supplier and part of
+    the supplier. Complete lines whose order is known take part."""
+    placed = spark.read.parquet(f"{sf}/orders.parquet").groupBy(C("o_orderkey").alias("l_orderkey")).agg(
+        F.min("o_orderdate").alias("ordered"))
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(
+        "l_orderkey", "l_shipdate", F.lit(1.0).alias("constant"), (C("l_quantity").cast("double") / 50).alias("quantity"),
+        C("l_discount").cast("double").alias("discount"), F.month("l_shipdate").alias("season"), C("l_suppkey").alias("supplier"),
+        F.concat(C("l_suppkey").cast("string"), F.lit("/"), C("l_partkey").cast("string")).alias("part"))
+    late = lines.join(placed, "l_orderkey").withColumn(
+        "late", (F.datediff("l_shipdate", "ordered") > LATE_DAYS).cast("double")).drop("l_orderkey", "l_shipdate", "ordered")
+    fit = fit_mixed_logit(late.dropna(), "late", ["constant", "quantity", "discount"], ["season", "supplier", "part"])
     return rows.bind_rows(
         effects.fixed_effects(spark, fit).select(C("term").alias("name"), C("estimate").alias("value"), "std_error"),
         effects.random_effects(spark, fit).select(C("grouping").alias("name"), C("sd").alias("value")))

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from checks import operators
 from vitalrates.functions.casting import inverse_logit
 from vitalrates.operators import crossed, effects, laplace, ranking
 from vitalrates.operators.lasso import coordinate_descent, cross_products, penalty_scores, tuning_table
@@ -471,6 +472,31 @@ def test_levels_beyond_the_driver_in_tasks_or_shuffled(spark, level_rows):
         assert mine == pytest.approx(other, abs=1e-4)
 
 
+def test_mixed_fit_query_reads_lateness_suppliers_and_parts(spark, tmp_path):
+    """The outcome and the levels are those of the tables, also where order keys say nothing."""
+    rng, n = np.random.default_rng(3), 1500
+    supplier, part, order = rng.integers(0, 8, n), rng.integers(0, 3, n), rng.integers(0, 700, n)
+    eta = -0.3 + rng.normal(size=8)[supplier] + rng.normal(size=24)[supplier * 3 + part]
+    late = rng.random(n) < 1 / (1 + np.exp(-eta))
+    ordered = pd.to_datetime("1996-01-01") + pd.to_timedelta(rng.integers(0, 700, 700), "D")
+    shipped = ordered[order] + pd.to_timedelta(np.where(late, 61, 60), "D")
+    lines = pd.DataFrame(dict(
+        l_orderkey=order * 500, l_partkey=part, l_suppkey=supplier, l_linenumber=1, l_quantity=rng.integers(1, 51, n) * 1.0,
+        l_discount=rng.integers(0, 11, n) / 100, l_shipdate=shipped))
+    spark.createDataFrame(lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = pd.DataFrame(dict(o_orderkey=np.arange(700) * 500, o_orderdate=ordered))
+    spark.createDataFrame(pd.concat([orders, orders[:50]])).write.parquet(f"{tmp_path}/orders.parquet")
+    found = {r["name"]: r["value"] for r in operators.g2_mixed(spark, str(tmp_path)).collect()}
+    same = pd.DataFrame(dict(
+        y=late * 1.0, one=1.0, quantity=lines["l_quantity"] / 50, discount=lines["l_discount"], season=shipped.month,
+        supplier=supplier, part=supplier * 3 + part))
+    fit = fit_mixed_logit(spark.createDataFrame(same), "y", ["one", "quantity", "discount"], ["season", "supplier", "part"])
+    assert set(found) == {"constant", "quantity", "discount", "season", "supplier", "part"}
+    assert [found[g] for g in fit.sds] == pytest.approx(list(fit.sds.values()), abs=1e-3)
+    assert [found[c] for c in ("constant", "quantity", "discount")] == pytest.approx(fit.beta, abs=1e-3)
+    assert found["supplier"] > 0.2 and found["part"] > 0.2
+
+
 def stored_bytes(spark):
     folder = ensure_checkpoint_dir(spark).removeprefix("file:")
     return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)

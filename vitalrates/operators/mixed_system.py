@@ -41,6 +41,7 @@ LEVEL_ROWS = 1_000_000
 CHUNK_ROWS = 50_000
 CHUNK = "chunk string, y binary, x binary, codes binary, a binary, b_of binary, names_a binary, names_b binary"
 #: Of a chunk at one step: effects, and what its lines take from the dense system.
+NAMES = ("names_a", "names_b")
 EFFECTS = "chunk string, ua binary, ub binary, block binary, raw binary"
 
 
@@ -717,7 +718,7 @@ class ChunkLevels:
                 yield pd.DataFrame([{"chunk": row["chunk"], "ua": row["ua"], "ub": row["ub"],
                                      "block": levels.block.tobytes(), "raw": levels.raw.tobytes()}])
 
-        self.table = problem.steps.store(begun.rows.mapInPandas(place, EFFECTS))
+        self.table = problem.steps.store(begun.rows.drop(*NAMES).mapInPandas(place, EFFECTS))
         self.rows = problem.steps.beside(problem.chunks, self.table).drop("block", "raw")
         found = self.table.rows.select("block", "raw").collect()
         self.block = sum(np.frombuffer(r["block"]).reshape(size + 1, -1) for r in found)
@@ -731,7 +732,7 @@ class ChunkLevels:
             for row in _records(batches):
                 yield pd.DataFrame({"v": [of(Chunk(row, p, at)).tobytes()]})
 
-        return sum(np.frombuffer(r["v"]) for r in self.rows.mapInPandas(add, "v binary").collect())
+        return sum(np.frombuffer(r["v"]) for r in self.rows.drop(*NAMES).mapInPandas(add, "v binary").collect())
 
     def near(self, asked: list[Asked]) -> list[np.ndarray]:
         rule = self.at.rule
